@@ -22,6 +22,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times (higher-order functions do not share sub-expressions)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(c: Column | str) -> Column:
     """Case fold (``lower`` alone keeps ß and final sigma)."""
     return reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), FOLD_PAIRS, F.lower(col(c)))

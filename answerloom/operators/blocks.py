@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, rstrip, split_lines, strip
+from ..functions.text import bind, is_blank, rstrip, split_lines, strip
 
 HEADING_LINE = r"(?U)^(#{1,6})\s+(.+?)\s*$"
 TABLE_RULE = r"(?U)^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$"
@@ -38,9 +38,10 @@ def normalize_table(rows: Column) -> Column:
         F.transform(rows, lambda r: F.transform(r, lambda c: strip(F.coalesce(c, F.lit(""))))),
         lambda r: F.exists(r, lambda c: F.length(c) > 0),
     )
-    head = F.get(clean, F.lit(0))
-    width = F.array_max(F.transform(clean, lambda r: F.size(r)))
+    return bind(clean, lambda c: bind(c[0], lambda head: _table_text(c, head)))
 
+
+def _table_text(clean: Column, head: Column) -> Column:
     def column_name(i: Column) -> Column:
         given = F.coalesce(F.get(head, i), F.lit(""))
         return F.when(F.length(given) > 0, given).otherwise(F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("列")))
@@ -49,12 +50,9 @@ def normalize_table(rows: Column) -> Column:
         cells = F.transform(row, lambda v, i: F.when(F.length(v) > 0, F.concat(name(i), F.lit("="), v)))
         return F.array_join(F.array_compact(cells), "；")
 
-    def numbered(i: Column, body: Column) -> Column:
-        return F.concat(F.lit("第"), i.cast("string"), F.lit("行："), body)
-
     body = F.transform(
         F.slice(clean, F.lit(2), F.greatest(F.size(clean) - 1, F.lit(0))),
-        lambda r, i: F.when(F.exists(r, lambda c: F.length(c) > 0), numbered(i + 1, joined(r, column_name))),
+        lambda r, i: F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("行："), joined(r, column_name)),
     )
     only = F.get(head, F.lit(0))
     inner = F.filter(F.transform(split_lines(only), lambda x: strip(x)), lambda x: F.length(x) > 0)
@@ -63,10 +61,8 @@ def normalize_table(rows: Column) -> Column:
         F.concat(F.lit("第1行："), inner[0], F.lit("="), F.array_join(F.slice(inner, F.lit(2), F.size(inner) - 1), "\n")),
     ).otherwise(F.concat(F.lit("第1行：内容="), only))
     plain = joined(head, lambda i: F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("列")))
-    single = F.when(width == 1, boxed).otherwise(F.concat(F.lit("第1行："), plain))
-    return F.when(F.size(clean) == 0, F.lit(None)).when(F.size(clean) == 1, single).otherwise(
-        F.array_join(F.array_compact(body), "\n")
-    )
+    single = F.when(F.size(head) == 1, boxed).otherwise(F.concat(F.lit("第1行："), plain))
+    return F.when(F.size(clean) == 0, F.lit(None)).when(F.size(clean) == 1, single).otherwise(F.array_join(body, "\n"))
 
 
 _STATE = (
@@ -118,7 +114,7 @@ def _step(acc: Column, x: Column) -> Column:
     return F.struct(
         done.alias("done"), path.alias("path"), buf.alias("buf"),
         (carry | opens).alias("in_table"), opens.alias("skip"),
-    ).cast(_STATE)
+    )
 
 
 def markdown_blocks(df: DataFrame, column: str = "text") -> DataFrame:

@@ -111,19 +111,19 @@ def check_window(size: int, overlap: int) -> None:
         raise ValueError("need size > 0 and 0 <= overlap < size")
 
 
-def chunk_generic(blocks: DataFrame, size: int = 160, overlap: int = 20, phase: int = 0) -> DataFrame:
+def chunk_generic(blocks: DataFrame, size: int = 160, overlap: int = 20) -> DataFrame:
     """CHK-1/2: one parent per non-heading block, children packed at sentence ends. No shuffle."""
     check_window(size, overlap)
-    run = _run(blocks)
+    phase = F.col("phase") if "phase" in blocks.columns else F.lit(0)
     body = blocks.where(F.col("block_type") != "heading").select(
         "version_id", "ordinal", "content", "heading_path", _pages(F.col("page_number")).alias("pages"),
-        run.alias("run"), sentences(F.col("content")).alias("_sentences"),
+        _run(blocks).alias("run"), phase.alias("phase"), sentences(F.col("content")).alias("_sentences"),
     ).withColumn("_bodies", pack(F.col("_sentences"), size, overlap))
     num = F.col("ordinal").cast("string")
     parent_id = F.concat(F.lit("parent-"), num)
     common = dict(
         source_block_ordinal=F.col("ordinal"), strategy=F.lit("generic"), heading_path=F.col("heading_path"),
-        page_numbers=F.col("pages"), run=F.col("run"), phase=F.lit(phase), unit=F.col("ordinal"),
+        page_numbers=F.col("pages"), run=F.col("run"), phase=F.col("phase"), unit=F.col("ordinal"),
     )
     parent = _draft(
         local_id=parent_id, kind=F.lit("parent"), content=_parent_text(F.col("heading_path"), "正文", F.col("content")),
@@ -191,6 +191,14 @@ def chunk_faq(blocks: DataFrame, openings=lex.QUESTION_OPENINGS, size: int = 160
     The open record of a line is a running count of question lines; text before the first question falls back to the
     generic strategy.
     """
+    chunks, orphans, errors = _faq_parts(blocks, openings)
+    return chunks.unionByName(chunk_generic(orphans, size, overlap)), errors
+
+
+FALLBACK = ["version_id", "run", "phase", "ordinal", "block_type", "content", "heading_path", "page_number"]
+
+
+def _faq_parts(blocks: DataFrame, openings) -> tuple[DataFrame, DataFrame, DataFrame]:
     base = blocks.where(F.col("block_type") != "table").withColumn("run", _run(blocks))
     head = F.col("block_type") == "heading"
     asks = _is_question(F.col("content"), openings)
@@ -257,8 +265,8 @@ def chunk_faq(blocks: DataFrame, openings=lex.QUESTION_OPENINGS, size: int = 160
     orphans = marked.where(closed & (F.col("_kind") == "plain")).groupBy("version_id", "run", "ordinal").agg(
         F.array_join(grouped_list(F.col("_value"), F.col("_line")), "\n").alias("content"),
         F.first("heading_path").alias("heading_path"), F.first("page_number").alias("page_number"),
-    ).withColumn("block_type", F.lit("paragraph"))
-    return chunks.unionByName(chunk_generic(orphans, size, overlap, phase=1)), misplaced.unionByName(unanswered)
+    ).withColumn("block_type", F.lit("paragraph")).withColumn("phase", F.lit(1))
+    return chunks, orphans.select(*FALLBACK), misplaced.unionByName(unanswered)
 
 
 # --- manual and policy -----------------------------------------------------------------------------------------------
@@ -302,6 +310,11 @@ def _section_drafts(prefix: str, label: str, strategy: str, items: Column, child
 
 def chunk_manual(blocks: DataFrame, size: int = 160, overlap: int = 20) -> DataFrame:
     """CHK-5: sections with steps; each child repeats goal, description and the step before it."""
+    stepped, rest = _manual_parts(blocks)
+    return stepped.unionByName(chunk_generic(rest, size, overlap))
+
+
+def _manual_parts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     facts = _group_facts(path_groups(blocks))
 
     def lines(b: Column) -> Column:
@@ -337,8 +350,8 @@ def chunk_manual(blocks: DataFrame, size: int = 160, overlap: int = 20) -> DataF
     stepped = _emit(parsed.where(F.size("_steps") > 0), _section_drafts("manual", "操作手册", "manual", F.col("_steps"), child))
     rest = parsed.where(F.size("_steps") == 0).select(
         "version_id", "run", "heading_path", F.explode("_blocks").alias("_b"), F.get(F.col("_pages"), F.lit(0)).alias("page_number")
-    ).select("version_id", "run", "heading_path", "page_number", "_b.*")
-    return stepped.unionByName(chunk_generic(rest, size, overlap))
+    ).select("version_id", "run", F.lit(0).alias("phase"), "heading_path", "page_number", "_b.*")
+    return stepped, rest.select(*FALLBACK)
 
 
 def chunk_policy(blocks: DataFrame, markers=lex.EXCEPTION_MARKERS) -> DataFrame:
@@ -400,11 +413,13 @@ def chunk_corpus(blocks: DataFrame, documents: DataFrame, size: int = 160, overl
     def of(name: str) -> DataFrame:
         return routed.where(F.col("strategy") == name).drop("strategy", "knowledge_type")
 
-    faq, faq_errors = chunk_faq(of("faq"), faq_openings, size, overlap)
+    faq, orphans, faq_errors = _faq_parts(of("faq"), faq_openings)
+    manual, unstepped = _manual_parts(of("manual"))
+    plain = of("generic").withColumn("phase", F.lit(0)).select(*FALLBACK)
     errors = faq_errors.unionByName(table_errors(of("table")))
     drafts = reduce(DataFrame.unionByName, [
-        chunk_generic(of("generic"), size, overlap), chunk_table(of("table")), faq,
-        chunk_manual(of("manual"), size, overlap), chunk_policy(of("policy"), exception_markers),
+        chunk_generic(plain.unionByName(orphans).unionByName(unstepped), size, overlap), chunk_table(of("table")), faq,
+        manual, chunk_policy(of("policy"), exception_markers),
     ])
     return drafts.join(errors.select("version_id").distinct(), "version_id", "left_anti"), errors
 
