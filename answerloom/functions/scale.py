@@ -29,6 +29,15 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = B
     return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Feed CPU-heavy row-local work to all cores when the input has fewer splits than cores (a few large row groups).
+
+    An input with enough splits, as any large one has, is left alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], keep: list[str] | None = None) -> DataFrame:
     """First row of every key by ``order`` as a combining aggregate.
 

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as lex
 from ..functions.scale import grouped_list
-from ..functions.text import contains_any, fold, rstrip, split_lines, strip
+from ..functions.text import contains_any, fold, rstrip, split_after, split_lines, strip
 
-SENTENCE_END = "(?<=[。！？!?；;\n])"
 STEP_LINE = r"(?U)^\s*(?:(?:第\s*)?(\d+)\s*(?:步|[.、)]))[ \t]*(.+)$"
 BULLET_LINE = r"(?U)^\s*[-*•]\s+(.+)$"
 ROW_PREFIX = r"(?U)^第(\d+)行[：:]\s*"
@@ -74,8 +73,8 @@ def _run(blocks: DataFrame) -> Column:
 # --- generic ---------------------------------------------------------------------------------------------------------
 
 def sentences(content: Column) -> Column:
-    text = strip(F.regexp_replace(content, "\r\n|\r", "\n"))
-    parts = F.filter(F.split(text, SENTENCE_END), lambda s: F.length(strip(s)) > 0)
+    text = strip(F.replace(F.replace(content, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
+    parts = F.filter(split_after(text), lambda s: F.length(strip(s)) > 0)
     return F.transform(parts, lambda s: F.concat(strip(s), F.when(F.endswith(s, F.lit("\n")), F.lit("\n")).otherwise("")))
 
 
@@ -359,7 +358,7 @@ def chunk_policy(blocks: DataFrame, markers=lex.EXCEPTION_MARKERS) -> DataFrame:
     facts = _group_facts(path_groups(blocks))
 
     def pieces(b: Column) -> Column:
-        parts = F.filter(F.transform(F.split(b["content"], SENTENCE_END), lambda s: strip(s)), lambda s: F.length(s) > 0)
+        parts = F.filter(F.transform(split_after(b["content"]), lambda s: strip(s)), lambda s: F.length(s) > 0)
         return F.transform(parts, lambda s: F.struct(b["ordinal"].alias("ordinal"), s.alias("text")))
 
     def merge(acc: Column, x: Column) -> Column:

@@ -3,8 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scale import spread
 from ..operators import blocks as blk
 from ..operators import chunks as chk
+from ..session import durable
 from .registry import query, table
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -15,7 +17,8 @@ def _strip(x: str) -> str:
 
 
 def documents(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("version_id"), "lang", "text")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("version_id"), "lang", "text")
+    return spread(docs, "version_id")
 
 
 def line_blocks(spark, d):
@@ -241,7 +244,8 @@ def corpus_chunks(spark, d):
     kinds = F.array(*[F.lit(k) for k in ("generic", "policy", "manual", "mixed")])
     docs = documents(spark, d).select("version_id", F.element_at(kinds, (F.col("version_id") % 4 + 1).cast("int")).alias("knowledge_type"))
     markers = dict(MARKERS, faq=("###never###",))
-    return chk.chunk_corpus(section_blocks(spark, d), docs, SIZE, OVERLAP, **markers)
+    # Blocks are a table of their own in ingestion: written once, then read by every strategy.
+    return chk.chunk_corpus(durable(section_blocks(spark, d)), docs, SIZE, OVERLAP, **markers)
 
 
 @query("chunk_corpus")
