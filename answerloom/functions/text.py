@@ -6,12 +6,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The Unicode white-space characters, and line separators as one pattern.
+# The Unicode white-space characters, and the line separators besides the newline.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-LINE_BREAK = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
+LINE_BREAKS = ("\r\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 # Characters whose case fold differs from their lower-case form.
 FOLD_PAIRS = (("ß", "ss"), ("ſ", "s"), ("ς", "σ"), ("ŉ", "ʼn"), ("ﬁ", "fi"), ("ﬂ", "fl"))
 
@@ -60,7 +60,7 @@ def is_blank(c: Column | str) -> Column:
 
 
 def split_lines(c: Column | str) -> Column:
-    return F.split(col(c), LINE_BREAK)
+    return F.split(reduce(lambda acc, b: F.replace(acc, F.lit(b), F.lit("\n")), LINE_BREAKS, col(c)), "\n")
 
 
 def clip(c: Column | str, n: int) -> Column:

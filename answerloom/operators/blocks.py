@@ -12,9 +12,8 @@ TABLE_RULE = r"(?U)^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$"
 
 def clean_block(content: Column | str) -> Column:
     """DOC-5: outer blanks stripped, every line right-stripped, inner newlines kept; blank becomes NULL."""
-    lines = F.transform(F.split(strip(content), "\r\n|\r|\n"), lambda x: rstrip(x))
-    text = F.array_join(lines, "\n")
-    return F.when(F.length(text) > 0, text)
+    lines = F.transform(split_lines(strip(content)), lambda x: rstrip(x))
+    return F.nullif(F.array_join(lines, "\n"), F.lit(""))
 
 
 def text_blocks(df: DataFrame, column: str = "text", separator: str = r"(?U)\n\s*\n") -> DataFrame:
