@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicons as lex
-from .text import fold, string_array
+from .text import bind, fold, string_array
 
 SPAN = "[a-zA-Z0-9_]+|[一-鿿]+"
 UNIT = "[a-zA-Z0-9_]+|[一-鿿]"
@@ -43,8 +43,8 @@ def tokenize_unigram(c: Column) -> Column:
 def semantic_tokens(c: Column) -> Column:
     """TOK-3: distinct bigrams over all CJK characters joined across punctuation, plus words."""
     text = fold(c)
-    cjk = F.regexp_replace(text, "[^一-鿿]+", "")
-    grams = F.when(F.length(cjk) > 1, _grams(cjk)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    grams = bind(F.regexp_replace(text, "[^一-鿿]+", ""), lambda cjk: F.when(F.length(cjk) > 1, _grams(cjk)).otherwise(none))
     return F.array_distinct(F.concat(grams, F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))))
 
 

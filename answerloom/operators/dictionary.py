@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scale import fits_broadcast, grouped_list, last_per_key
-from ..functions.text import fold, strip
+from ..functions.text import bind, fold, strip
 
 
 def normalize_terms(feed: DataFrame) -> DataFrame:
@@ -111,12 +111,12 @@ def scan_column(text: Column, aliases: Column) -> Column:
 
     All occurrences (overlapping starts too), then the longest first, ties by start and name, as long as they do not overlap.
     """
-    folded = fold(text)
-
-    def occurrences(a: Column) -> Column:
+    def occurrences(folded: Column, a: Column) -> Column:
         size = F.length(a["surface"])
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(folded), F.lit(1))),
-                          lambda i: F.substring(folded, i, size) == a["surface"])
+        pieces = F.split(folded, "")
+        first = F.substring(a["surface"], 1, 1)
+        heads = F.filter(F.transform(pieces, lambda ch, i: F.when(ch == first, i + 1)), lambda i: i.isNotNull())
+        starts = F.filter(heads, lambda i: F.substring(folded, i, size) == a["surface"])
         spans = F.transform(starts, lambda i: F.struct(
             (-size).alias("neg"), i.alias("start"), a["canonical"].alias("canonical"), (i + size).alias("stop")))
         none = F.array().cast("array<struct<neg:int,start:int,canonical:string,stop:int>>")
@@ -124,9 +124,10 @@ def scan_column(text: Column, aliases: Column) -> Column:
 
     def choose(acc: Column, s: Column) -> Column:
         clash = F.exists(acc, lambda u: (s["start"] < u["stop"]) & (s["stop"] > u["start"]))
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["canonical"].alias("canonical"), s["stop"].alias("stop")))))
+        return F.when(clash, acc).otherwise(F.concat(acc, F.array(F.struct(
+            s["start"].alias("start"), s["canonical"].alias("canonical"), s["stop"].alias("stop")))))
 
-    spans = F.array_sort(F.flatten(F.transform(aliases, occurrences)))
+    spans = bind(fold(text), lambda folded: F.array_sort(F.flatten(F.transform(aliases, lambda a: occurrences(folded, a)))))
     picked = F.aggregate(spans, F.array().cast("array<struct<start:int,canonical:string,stop:int>>"), choose)
     return F.transform(F.array_sort(picked), lambda s: s["canonical"])
 

@@ -249,7 +249,8 @@ def q_lexical_snapshot(spark, d):
 DIM = 32
 
 
-@query("hash_embed", f"""WITH t AS (SELECT item_id AS chunk_id, text, {WORDS.format('text')} AS toks FROM benchmark UNION ALL SELECT 1000000 + conv_id * 100 + turn, text, {WORDS.format('text')} FROM conversations),
+@query("hash_embed", f"""WITH x AS (SELECT item_id AS chunk_id, text FROM benchmark UNION ALL SELECT 1000000 + conv_id * 100 + turn, text FROM conversations),
+ t AS (SELECT chunk_id, text, list_transform(regexp_extract_all(text, '[a-zA-Z0-9_]+'), lambda s: lower(s)) AS toks FROM x),
  f AS (SELECT chunk_id, unnest(list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || toks[i + 1]))) AS feat FROM t),
  h AS (SELECT chunk_id, sha256(feat) AS s FROM f),
  c AS (SELECT chunk_id, CAST(('0x' || substr(s, 1, 16))::UBIGINT % {DIM} AS INT) AS bucket, sum(CASE WHEN ('0x' || substr(s, 18, 1))::INT % 2 = 1 THEN 1.0 ELSE -1.0 END) AS v FROM h GROUP BY ALL)

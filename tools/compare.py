@@ -1,7 +1,9 @@
 """Run registered queries against their SQL in DuckDB: python tools/compare.py SF_DIR [name ...]."""
 import math
 import os
+import signal
 import sys
+import threading
 import time
 
 import duckdb
@@ -26,7 +28,11 @@ def norm(v):
         return (0, "")
     if isinstance(v, bool):
         return (1, str(v))
-    if isinstance(v, (int, float)):
+    if isinstance(v, int):
+        return (2, str(v))
+    if isinstance(v, float) and v.is_integer() and abs(v) < 2**53:
+        return (2, str(int(v)))
+    if isinstance(v, float):
         f = float(v)
         return (2, "nan" if math.isnan(f) else f"{f:.6g}")
     return (3, str(v))
@@ -56,12 +62,22 @@ if __name__ == "__main__":
     spark = local_session(8)
     con = connect(sf)
     bad = 0
+
+    def late(*_):
+        raise TimeoutError("query took over 60 s")
+
+    signal.signal(signal.SIGALRM, late)
     for n in names:
         t = time.time()
+        guard = threading.Timer(40, con.interrupt)
+        guard.start()
+        signal.alarm(60)
         try:
             ok, msg = compare(spark, con, n, sf)
         except Exception as e:  # noqa: BLE001
             ok, msg = False, f"{type(e).__name__}: {str(e)[:1500]}"
+        signal.alarm(0)
+        guard.cancel()
         bad += not ok
         print("ok  " if ok else "FAIL", n, f"{time.time() - t:.1f}s", msg, flush=True)
     print("failures:", bad)
