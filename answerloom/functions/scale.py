@@ -60,22 +60,8 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return numbered.where(F.col(rank) <= k)
 
 
-def split_rank(
-    df: DataFrame,
-    keys: list[str],
-    position: Column,
-    tiebreak: list[Column],
-    name: str = "rn",
-    hot_rows: int = 1_000_000,
-    max_hot: int = 20_000,
-) -> DataFrame:
-    """Exact row_number per key that never sorts a hot group in one task.
-
-    ``position`` is a numeric first order key. A group above the threshold is cut into ranges of ``position`` of equal
-    width between its own minimum and maximum; each range is numbered alone and offset by the counts of the ranges
-    before it. The cut depends only on the data, so a retried task reproduces it. The threshold is at least
-    rows/max_hot, hence at most ``max_hot`` keys are hot and their side tables are bounded by construction.
-    """
+def _sliced(df: DataFrame, keys: list[str], position: Column, hot_rows: int, max_hot: int):
+    """Adds ``_pos``, ``_cuts`` (NULL for ordinary keys) and ``_slice``, the position range inside a hot key."""
     base = df.withColumn("_pos", position.cast("double"))
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     aliases = [f"_k{i}" for i in range(len(keys))]
@@ -95,6 +81,26 @@ def split_rank(
             F.least(F.col("_cuts") - 1, F.floor((F.col("_pos") - F.col("_lo")) / width))
         ).cast("int"),
     ).drop(*aliases)
+    return sliced, match, renamed, aliases
+
+
+def split_rank(
+    df: DataFrame,
+    keys: list[str],
+    position: Column,
+    tiebreak: list[Column],
+    name: str = "rn",
+    hot_rows: int = 1_000_000,
+    max_hot: int = 20_000,
+) -> DataFrame:
+    """Exact row_number per key that never sorts a hot group in one task.
+
+    ``position`` is a numeric first order key. A group above the threshold is cut into ranges of ``position`` of equal
+    width between its own minimum and maximum; each range is numbered alone and offset by the counts of the ranges
+    before it. The cut depends only on the data, so a retried task reproduces it. The threshold is at least
+    rows/max_hot, hence at most ``max_hot`` keys are hot and their side tables are bounded by construction.
+    """
+    sliced, match, renamed, aliases = _sliced(df, keys, position, hot_rows, max_hot)
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         sliced.where(F.col("_cuts").isNotNull()).groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"))
@@ -110,6 +116,37 @@ def split_rank(
     )
 
 
+def split_previous(
+    df: DataFrame,
+    keys: list[str],
+    position: Column,
+    tiebreak: list[Column],
+    value: Column,
+    name: str,
+    hot_rows: int = 1_000_000,
+    max_hot: int = 20_000,
+) -> DataFrame:
+    """Last non-NULL ``value`` strictly before each row of its key, with hot keys cut as in ``split_rank``.
+
+    Inside a range it is a running window; what a range hands to the next ones is one value per range.
+    """
+    sliced, match, renamed, aliases = _sliced(df.withColumn("_value", value), keys, position, hot_rows, max_hot)
+    local = W.partitionBy(*keys, "_slice").orderBy(F.col("_pos"), *tiebreak).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    ends = (
+        sliced.where(F.col("_cuts").isNotNull()).groupBy(*keys, "_slice")
+        .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct("_pos", *tiebreak))).alias("_end"))
+        .withColumn("_carry", F.last("_end", ignorenulls=True).over(before))
+        .select(*renamed, F.col("_slice").alias("_s"), "_carry")
+    )
+    return (
+        sliced.withColumn("_near", F.last("_value", ignorenulls=True).over(local))
+        .join(F.broadcast(ends), match & (F.col("_slice") == F.col("_s")), "left")
+        .withColumn(name, F.coalesce("_near", "_carry"))
+        .drop("_value", "_pos", "_lo", "_hi", "_cuts", "_slice", "_near", "_s", "_carry", *aliases)
+    )
+
+
 def grouped_list(value: Column, *order: Column, distinct: bool = False) -> Column:
     """Ordered list of a *bounded* group (per query, per document)."""
     rows = F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], value.alias("v"))))

@@ -187,14 +187,14 @@ def build_evidence(views: DataFrame, max_parents: int = 5, max_chars: int = 2000
 
     def step(acc: Column, x: Column) -> Column:
         take = F.least(F.length(x["_v"]["content"]), max_total - acc["used"])
-        room = (F.size(acc["takes"]) < acc["at"] + 1) & (acc["count"] < max_parents) & (take > 0)
+        room = (acc["count"] < max_parents) & (take > 0)
         keep = room & ~is_blank(F.substring(x["_v"]["content"], F.lit(1), take))
         return F.struct(
             F.concat(acc["takes"], F.array(F.when(keep, take).otherwise(0))).alias("takes"),
             (acc["used"] + F.when(keep, take).otherwise(0)).alias("used"),
-            (acc["count"] + keep.cast("int")).alias("count"), (acc["at"] + 1).alias("at"))
+            (acc["count"] + keep.cast("int")).alias("count"))
 
-    start = F.struct(F.array().cast("array<int>").alias("takes"), F.lit(0).alias("used"), F.lit(0).alias("count"), F.lit(0).alias("at"))
+    start = F.struct(F.array().cast("array<int>").alias("takes"), F.lit(0).alias("used"), F.lit(0).alias("count"))
     taken = lists.withColumn("_takes", F.aggregate("_l", start, step, lambda a: a["takes"]))
     picked = F.filter(F.arrays_zip(F.col("_l").alias("item"), F.col("_takes").alias("take")), lambda z: z["take"] > 0)
     rows = taken.select("question_id", F.posexplode(picked).alias("_p", "_z")).select(
