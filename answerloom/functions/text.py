@@ -41,13 +41,13 @@ def rstrip(c: Column | str, chars: str = WHITESPACE) -> Column:
 
 
 SENTENCE_MARKS = "。！？!?；;\n"
-_CUT = "\ufdd0"  # a Unicode noncharacter, never part of interchanged text
+CUT = "\ufdd0"  # a Unicode noncharacter, never part of interchanged text
 
 
 def split_after(c: Column | str, marks: str = SENTENCE_MARKS) -> Column:
     """Split behind every mark, keeping it. Literal replaces and a one-character split avoid the regex engine."""
-    marked = reduce(lambda acc, m: F.replace(acc, F.lit(m), F.lit(m + _CUT)), marks, col(c))
-    return F.split(marked, _CUT)
+    marked = reduce(lambda acc, m: F.replace(acc, F.lit(m), F.lit(m + CUT)), marks, col(c))
+    return F.split(marked, CUT)
 
 
 def squeeze(c: Column | str) -> Column:

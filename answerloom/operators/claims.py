@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as lex
 from ..functions.scale import grouped_list
-from ..functions.text import bind, contains_any, fold, is_blank, rstrip
+from ..functions.text import CUT, bind, contains_any, fold, is_blank, rstrip
 from ..functions.tokens import semantic_tokens
 
 EVIDENCE_ID = "^E[1-9][0-9]*$"
@@ -53,10 +53,10 @@ def token_coverage(claim: Column, evidence: Column) -> Column:
 def polarities(text: Column, predicate: str, negations=lex.NEGATIONS, window: int = 8) -> Column:
     """CLM-3: for every occurrence of a predicate whether a negation stands in the ``window`` characters before it,
     inside the same sentence. Splitting at the predicate leaves exactly the texts before its occurrences."""
-    parts = F.split(F.replace(reduce(lambda acc, m: F.replace(acc, F.lit(m), F.lit("\n")), "。！？；;", text), F.lit(predicate), F.lit("﷐")), "\n")
+    parts = F.split(F.replace(reduce(lambda acc, m: F.replace(acc, F.lit(m), F.lit("\n")), "。！？；;", text), F.lit(predicate), F.lit(CUT)), "\n")
 
     def sentence(s: Column) -> Column:
-        pieces = F.split(s, "﷐")
+        pieces = F.split(s, CUT)
 
         def before(piece: Column, i: Column) -> Column:
             lead = F.array_join(F.slice(pieces, 1, i + 1), predicate)
