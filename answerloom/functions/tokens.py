@@ -11,8 +11,11 @@ SPAN = "[a-zA-Z0-9_]+|[一-鿿]+"
 UNIT = "[a-zA-Z0-9_]+|[一-鿿]"
 
 
-def _grams(span: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(span) - 1), lambda i: F.substring(span, i, F.lit(2)))
+def char_bigrams(span: Column) -> Column:
+    """All adjacent character pairs, in one pass (a substring per position would rescan the text each time)."""
+    return bind(F.split(span, ""), lambda ch: F.zip_with(
+        F.slice(ch, F.lit(1), F.greatest(F.size(ch) - 1, F.lit(0))), F.slice(ch, F.lit(2), F.greatest(F.size(ch) - 1, F.lit(0))),
+        lambda a, b: F.concat(a, b)))
 
 
 def bigram_tokenizer(terms=lex.DOMAIN_TERMS):
@@ -22,7 +25,7 @@ def bigram_tokenizer(terms=lex.DOMAIN_TERMS):
     def tokenize(c: Column) -> Column:
         def expand(span: Column) -> Column:
             found = F.filter(string_array(known), lambda t: F.contains(span, t))
-            grams = F.when(F.length(span) == 1, F.array(span)).otherwise(_grams(span))
+            grams = F.when(F.length(span) == 1, F.array(span)).otherwise(char_bigrams(span))
             return F.when(F.octet_length(span) == F.length(span), F.array(span)).otherwise(F.concat(found, grams))
 
         return F.flatten(F.transform(F.regexp_extract_all(fold(c), F.lit(SPAN), F.lit(0)), expand))
@@ -44,7 +47,7 @@ def semantic_tokens(c: Column) -> Column:
     """TOK-3: distinct bigrams over all CJK characters joined across punctuation, plus words."""
     text = fold(c)
     none = F.array().cast("array<string>")
-    grams = bind(F.regexp_replace(text, "[^一-鿿]+", ""), lambda cjk: F.when(F.length(cjk) > 1, _grams(cjk)).otherwise(none))
+    grams = bind(F.regexp_replace(text, "[^一-鿿]+", ""), lambda cjk: F.when(F.length(cjk) > 1, char_bigrams(cjk)).otherwise(none))
     return F.array_distinct(F.concat(grams, F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))))
 
 

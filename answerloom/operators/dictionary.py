@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scale import fits_broadcast, grouped_list, last_per_key
 from ..functions.text import bind, fold, strip
+from ..functions.tokens import char_bigrams
 
 
 def normalize_terms(feed: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def publish_dictionary(terms: DataFrame, versions: DataFrame) -> DataFrame:
     )
 
 
-def match_terms(texts: DataFrame, entries: DataFrame, text: str = "text", key: str = "text_id") -> DataFrame:
+def match_terms(texts: DataFrame, entries: DataFrame, text: str = "text", key: str = "text_id", max_rows: int = 200_000) -> DataFrame:
     """DIC-5: canonical terms whose term or alias occurs in the folded text, in entry order.
 
     ``entries``: domain, position, term, aliases. A dictionary that fits is attached as one list per domain and tested
@@ -87,16 +88,15 @@ def match_terms(texts: DataFrame, entries: DataFrame, text: str = "text", key: s
         "domain", "position", "term",
         F.filter(F.transform(F.concat(F.array("term"), "aliases"), fold), lambda s: F.length(s) > 0).alias("surfaces"))
     body = texts.withColumn("_folded", fold(text))
-    if fits_broadcast(surfaces):
+    if fits_broadcast(surfaces, max_rows):
         lists = surfaces.groupBy("domain").agg(
             F.array_sort(F.collect_list(F.struct("position", "term", "surfaces"))).alias("_entries"))
         hits = F.filter("_entries", lambda e: F.exists(e["surfaces"], lambda s: F.contains(F.col("_folded"), s)))
         terms = F.array_distinct(F.transform(hits, lambda e: e["term"]))
         return body.join(F.broadcast(lists), "domain", "left").select(
             *texts.columns, F.coalesce(terms, F.array().cast("array<string>")).alias("domain_terms"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_folded"), F.lit(1))),
-                                         lambda i: F.substring(F.col("_folded"), i, F.lit(2))))
-    singles = F.array_distinct(F.transform(grams, lambda g: F.substring(g, 1, 1)))
+    grams = F.array_distinct(char_bigrams(F.col("_folded")))
+    singles = F.array_distinct(F.split("_folded", ""))
     keyed = body.select(key, "domain", "_folded", F.explode(F.array_union(grams, singles)).alias("_gram"))
     probe = surfaces.select("domain", "position", "term", F.explode("surfaces").alias("_s")).withColumn(
         "_gram", F.substring("_s", 1, 2))

@@ -144,7 +144,7 @@ RCASES = f"""{BM25}, st AS (SELECT count(*) AS n, avg(length) AS avg_length FROM
  it AS (SELECT item_id AS case_id, unnest(['a', 'b']) AS rid, unnest([{FOLD.format('upper(substr(text, 1, 30))')}, {FOLD.format('substr(text, 1, 3)')}]) AS m FROM benchmark WHERE item_id % 5 <> 0),
  rnk AS (SELECT it.case_id, rid, min(rank) FILTER (contains(t, m)) AS rank FROM it LEFT JOIN shown USING (case_id) GROUP BY ALL),
  pc AS (SELECT case_id, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) AS r1, avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END) AS r3, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END) AS r5, coalesce(1.0 / min(rank), 0) AS rr FROM rnk GROUP BY 1),
- cse AS (SELECT item_id AS case_id, item_id % 5 = 0 AS neg, item_id % 9 = 0 AS err, item_id % 4 = 0 AS deg, item_id * 1.5 AS lat, CASE WHEN item_id % 9 = 0 THEN 0 ELSE coalesce(r1, 0) END AS r1, CASE WHEN item_id % 9 = 0 THEN 0 ELSE coalesce(r3, 0) END AS r3, CASE WHEN item_id % 9 = 0 THEN 0 ELSE coalesce(r5, 0) END AS r5,
+ cse AS (SELECT item_id AS case_id, item_id % 5 = 0 AS neg, item_id % 9 = 0 AS err, item_id % 4 = 0 AS deg, (item_id * 1.5)::DOUBLE AS lat, CASE WHEN item_id % 9 = 0 THEN 0 ELSE coalesce(r1, 0) END AS r1, CASE WHEN item_id % 9 = 0 THEN 0 ELSE coalesce(r3, 0) END AS r3, CASE WHEN item_id % 9 = 0 THEN 0 ELSE coalesce(r5, 0) END AS r5,
    CASE WHEN item_id % 9 = 0 THEN 0 ELSE coalesce(rr, 0) END AS rr, CASE WHEN item_id % 9 = 0 THEN 'execution_error' WHEN item_id % 5 = 0 THEN CASE WHEN EXISTS (SELECT 1 FROM shown WHERE shown.case_id = item_id) THEN 'unexpected_parent' ELSE '' END WHEN coalesce(r5, 0) < 1 THEN 'relevant_parent_missed' ELSE '' END AS failure
    FROM benchmark LEFT JOIN pc ON pc.case_id = item_id)"""
 
@@ -202,7 +202,7 @@ def q_compare_runs(spark, d):
 CHUNKEV = f"""{WHOLE}, {PACK}, ln AS (SELECT version_id, content, string_split(content, chr(10)) AS l FROM whole), m AS (SELECT unnest(['packed', 'parents_only']) AS mode),
 g AS (SELECT mode, m2.* FROM m, generic m2 WHERE mode = 'packed' OR kind = 'parent'),
 ce AS (SELECT mode, ln.version_id AS case_id, count(*) FILTER (kind = 'parent') AS parent_count, count(*) FILTER (kind = 'child') AS child_count,
-  CAST(coalesce(bool_or(kind = 'child' AND contains(g.content, l[1])), FALSE) AS INT) AS child_passed, CAST(coalesce(bool_or(kind = 'parent' AND contains(g.content, l[1]) AND contains(g.content, l[-1])), FALSE) AS INT) AS parent_passed
+  CAST(coalesce(bool_or(kind = 'child' AND contains(g.content, l[1])), FALSE) AS BIGINT) AS child_passed, CAST(coalesce(bool_or(kind = 'parent' AND contains(g.content, l[1]) AND contains(g.content, l[-1])), FALSE) AS BIGINT) AS parent_passed
   FROM ln JOIN g USING (version_id) GROUP BY mode, ln.version_id),
 cx AS (SELECT *, array_to_string(list_filter([CASE WHEN child_passed = 0 THEN 'child_semantic_unit' END, CASE WHEN mode = 'parents_only' THEN 'strategy_selection' END, CASE WHEN child_count > 30 THEN 'chunk_count' END], lambda x: x IS NOT NULL), ',') AS failures FROM ce)"""
 
@@ -224,7 +224,7 @@ def q_chunk_cases(spark, d):
 
 
 @query("chunk_metrics", f"""WITH {CHUNKEV} SELECT mode, round(avg(CASE WHEN failures = '' THEN 1.0 ELSE 0 END), 6) AS case_pass_rate, round(sum(child_passed) / count(*), 6) AS child_semantic_recall, round(sum(parent_passed) / count(*), 6) AS parent_context_recall,
- CASE WHEN mode = 'packed' THEN 1.0 ELSE 0.0 END AS strategy_match_rate, 1.0 AS traceability_rate, 1.0 AS average_parent_count, round(avg(child_count), 6) AS average_child_count FROM cx GROUP BY mode""")
+ CASE WHEN mode = 'packed' THEN 1.0 ELSE 0.0 END::DOUBLE AS strategy_match_rate, 1.0::DOUBLE AS traceability_rate, 1.0::DOUBLE AS average_parent_count, round(avg(child_count), 6) AS average_child_count FROM cx GROUP BY mode""")
 def q_chunk_metrics(spark, d):
     m = me.chunk_metrics(chunk_eval(spark, d))
     return m.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
@@ -318,7 +318,7 @@ def rag_scored(spark, d):
     return me.rag_cases(cases, judged(spark, d)[1])
 
 
-@query("rag_cases", f"WITH {RAG} SELECT case_id, round(faithfulness, 6) AS faithfulness, cp AS citation_precision, cr AS citation_recall, ar AS answer_relevancy, failures FROM rf")
+@query("rag_cases", f"WITH {RAG} SELECT case_id, round(faithfulness, 6) AS faithfulness, cp::DOUBLE AS citation_precision, cr::DOUBLE AS citation_recall, ar::DOUBLE AS answer_relevancy, failures FROM rf")
 def q_rag_cases(spark, d):
     return rag_scored(spark, d).select("case_id", F.round("faithfulness", 6).alias("faithfulness"), "citation_precision", "citation_recall", "answer_relevancy", F.array_join("failures", ",").alias("failures"))
 

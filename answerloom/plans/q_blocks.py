@@ -216,7 +216,7 @@ SELECT version_id, g AS section, CAST(unit - 1 AS INT) AS unit, any_value(lang)
     "sum(CASE WHEN prefix(t, '但') AND row_number() OVER (PARTITION BY version_id, g ORDER BY ordinal, k) > 1", "sum(CASE WHEN prefix(t, '但') AND rn > 1").replace("FROM fr)", "FROM (SELECT *, row_number() OVER (PARTITION BY version_id, g ORDER BY ordinal, k) AS rn FROM fr))"))
 def q_chunk_policy(spark, d):
     return chk.chunk_policy(policy_blocks(spark, d)).where("kind = 'child'").select(
-        "version_id", F.floor(F.col("unit") / 5).alias("section"), (F.col("minor") - 1).alias("unit"), "content", "contains_exception")
+        "version_id", F.floor(F.col("unit") / 5).cast("int").alias("section"), (F.col("minor") - 1).alias("unit"), "content", "contains_exception")
 
 
 MARKERS = dict(faq=("the", "que"), manual=("tion", "eau"), policy=("in", "de"))

@@ -17,6 +17,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, target = _fs(spark, path)
+    return fs.getFileStatus(target).isDirectory()
+
+
 def publish_generation(df: DataFrame, path: str, generation: str, partition_by: list[str] | None = None) -> bool:
     """SNK-1: write a full snapshot under its generation key, then move the pointer.
 
