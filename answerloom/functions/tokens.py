@@ -28,7 +28,11 @@ def bigram_tokenizer(terms=lex.DOMAIN_TERMS):
             grams = F.when(F.length(span) == 1, F.array(span)).otherwise(char_bigrams(span))
             return F.when(F.octet_length(span) == F.length(span), F.array(span)).otherwise(F.concat(found, grams))
 
-        return F.flatten(F.transform(F.regexp_extract_all(fold(c), F.lit(SPAN), F.lit(0)), expand))
+        def split(text: Column) -> Column:
+            mixed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(SPAN), F.lit(0)), expand))
+            return F.when(F.rlike(text, F.lit("[一-鿿]")), mixed).otherwise(F.regexp_extract_all(text, F.lit("[a-z0-9_]+"), F.lit(0)))
+
+        return bind(fold(c), split)
 
     return tokenize
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scale import fits_broadcast, top_k
 from ..functions.text import fold, strip
 from ..functions.tokens import bigram_tokenizer
+from ..session import durable
 
 K1, B = 1.2, 0.75
 SET = "target_set"
@@ -18,13 +19,16 @@ def _with_set(df: DataFrame) -> DataFrame:
     return df if SET in df.columns else df.withColumn(SET, F.lit(0))
 
 
-def bm25_index(chunks: DataFrame, tokenizer: Callable[[Column], Column] | None = None, field: str = "text") -> tuple[DataFrame, DataFrame]:
+def bm25_index(chunks: DataFrame, tokenizer: Callable[[Column], Column] | None = None, field: str = "text",
+               stored: bool = False) -> tuple[DataFrame, DataFrame]:
     """LEX-1: (documents with their tokens and length, corpus statistics per target set).
 
-    Chunks stay one row each; postings are made by the search from the query vocabulary only.
+    Chunks stay one row each; postings are made by the search from the query vocabulary only. ``stored`` writes the token
+    table once, so that statistics and searches do not tokenize the corpus again.
     """
     tokenize = tokenizer or bigram_tokenizer()
     docs = _with_set(chunks).select(SET, "chunk_id", tokenize(F.col(field)).alias("tokens")).withColumn("length", F.size("tokens"))
+    docs = durable(docs) if stored else docs
     stats = docs.groupBy(SET).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
     return docs, stats
 
@@ -66,7 +70,7 @@ def bm25_scores(docs: DataFrame, stats: DataFrame, queries: DataFrame, tokenizer
 
 def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 20, tokenizer=None, field: str = "text") -> DataFrame:
     """LEX-2; LEX-3 when both tables carry ``target_set`` (statistics are then those of the set)."""
-    docs, stats = bm25_index(chunks, tokenizer, field)
+    docs, stats = bm25_index(chunks, tokenizer, field, stored=True)
     pairs = bm25_scores(docs, stats, queries, tokenizer)
     return top_k(pairs, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
@@ -92,7 +96,7 @@ def fielded_search(index: DataFrame, queries: DataFrame, k: int = 20, tokenizer=
     asked = queries.withColumn("_phrase", _phrase(tokenize(F.col("query"))))
 
     def field(name: str) -> DataFrame:
-        docs, stats = bm25_index(live, tokenize, name)
+        docs, stats = bm25_index(live, tokenize, name, stored=True)
         return bm25_scores(docs, stats, queries, tokenize)
 
     shared = live.select("chunk_id", F.explode("domain_terms").alias("_t")).withColumn("_t", fold("_t"))

@@ -12,6 +12,7 @@ from ..operators import evidence as ev
 from ..operators import lexical as lx
 from ..operators import ranking as rk
 from ..operators import vectors as vec
+from ..session import durable
 from .registry import table
 
 DIM = 64
@@ -41,7 +42,7 @@ def lexical_hits(chunks: DataFrame, questions: DataFrame, k: int = 40) -> DataFr
 
 
 def grounded_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    chunks = line_chunks(spark, d)
+    chunks = durable(line_chunks(spark, d))  # the chunk table: recall, expansion and evidence all read it
     questions = benchmark_questions(spark, d)
     lexical = lexical_hits(chunks, questions)
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding", F.lit(0).alias("domain"))

@@ -1,7 +1,6 @@
 """Registered queries: sources, sinks and relational operators on the given tables."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import strip
 from ..operators import relational as rel
+from ..session import shared_folder
 from ..sources import files, sinks
 from .registry import query, table
 from .tables import (
@@ -20,9 +20,8 @@ WITH = "WITH " + KNOWLEDGE_SQL
 
 
 def scratch(spark, name: str) -> str:
-    """Folder for sink queries: next to the cluster's checkpoint folder, else a local scratch folder (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the cluster's shared folder for sink queries."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 UPLOADS_SQL = """up AS (SELECT doc_id AS upload_id, doc_id AS ts, source AS owner, substr(text, 1, 8) AS title, lang AS domain,

@@ -1,8 +1,9 @@
-"""Session helpers: configuration for tests/bench and the durable checkpoint folder."""
+"""Session helpers: configuration for tests/bench and tables written to the cluster's shared folder."""
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,15 +29,17 @@ def local_session(cpus: int | str = "*", app: str = "answerloom", **conf: str) -
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a scratch folder only where none is set (local tests)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return configured or tempfile.mkdtemp(prefix="spark-")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder of the cluster.
+    """Cut lineage by writing a table into the shared folder and reading it back.
 
-    The folder comes from ``spark.checkpoint.dir``; only when the session names none
-    (local tests) is a scratch folder set.
+    A written table survives lost executors and, unlike a checkpoint of rows, lets every later reader prune columns.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
