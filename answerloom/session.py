@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,17 +30,43 @@ def local_session(cpus: int | str = "*", app: str = "answerloom", **conf: str) -
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+_TABLES: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a scratch folder only where none is set (local tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return configured or tempfile.mkdtemp(prefix="spark-")
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a single-process ``local`` session may go without: it gets one scratch folder of its own. A cluster without the
+    setting is an error, since a folder of the driver's machine is not visible to executors.
+    """
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if configured:
+        return configured
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage by writing a table into the shared folder and reading it back.
 
     A written table survives lost executors and, unlike a checkpoint of rows, lets every later reader prune columns.
+    ``drop_tables`` deletes what a session has written.
     """
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables of ``durable``; frames that read them must have been used up."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _TABLES.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
