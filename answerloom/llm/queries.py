@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answerloom.llm import exact_dedup, mixing, packing, quality_rules
+import corpus_pipeline
+from answerloom.llm import exact_dedup, minhash_dedup, mixing, packing, quality_rules
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -63,6 +64,28 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", f"{m}.size", f"{m}.source_size", f"{m}.target", f"{m}.taken")
 
 
+@query("""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) END AS s
+  FROM worded),
+classes AS (SELECT s, min(doc_id) AS id, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT id, n, unnest(s) AS item FROM classes),
+links AS (
+  SELECT a.id AS a, b.id AS b FROM items a JOIN items b ON a.item = b.item AND a.id <> b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(id, top) AS (
+  SELECT id, id FROM classes UNION SELECT l.b, r.top FROM reach r JOIN links l ON l.a = r.id),
+tops AS (SELECT id, min(top) AS top FROM reach GROUP BY id)
+SELECT x.doc_id, CAST(len(x.s) AS BIGINT) AS n_shingles, coalesce(t.top, x.doc_id) AS component_id, x.doc_id = coalesce(t.top, x.doc_id) AS kept
+FROM sets x LEFT JOIN classes c ON x.s = c.s LEFT JOIN tops t ON t.id = c.id""")
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.group_near(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -75,3 +98,8 @@ grouped AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVE
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND copy = 1 AS kept, sha256(t) AS text_sha256 FROM grouped""")
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_copies(table(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
