@@ -15,9 +15,12 @@ matter. The vocabulary file is a parameter.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +30,11 @@ from answerloom.session import durable
 CAPACITY = 4096
 END_ID = 1
 RANGES = 256
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
+TOGETHER = 1 << 20
+"""Characters whose new words are encoded together."""
+BEYOND_LATIN = re.compile("[^\x00-\xff]")
+LONE_STOP = re.compile(r"[,.](?<=[a-zß-öø-ÿ][,.])(?=[ \n])")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"
 
 
@@ -38,28 +45,64 @@ def vocabulary() -> str:
 
 
 class WordIds:
-    """Ids of a text as little-endian bytes. The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its space-separated parts; parts are looked up in a bounded cache and new ones encoded together."""
+    """Ids of a text as little-endian bytes.
+
+    The tokenizer drops white space and never joins across it, so the ids of a text are those of its space-separated
+    parts. Parts are looked up in a cache of two generations (the older one goes when the younger is full); new ones are
+    encoded together. To meet fewer different parts, texts of Latin-1 letters are lower-cased first, as the tokenizer
+    does itself (no composition and no context there), and a comma or stop between a letter and a space is set apart.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def parts(self, text: str) -> list[str]:
+        if "<|" not in text and not BEYOND_LATIN.search(text):  # special tokens are told by their case
+            text = LONE_STOP.sub(r" \g<0>", text.lower())
+        return text.replace("\n", " ").split(" ")
+
+    def learn(self, wanted: set[str]) -> None:
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        new = []
+        for part in wanted:
+            if part in self.old:
+                self.young[part] = self.old[part]
+            else:
+                new.append(part)
+        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.young[part] = np.array(found.ids, "<u4").tobytes()
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        held: list[tuple[list[str], list[bytes | None]]] = []
+        size = 0
         for text in texts:
-            parts = text.split(" ") if "\n" not in text else text.replace("\n", " ").split(" ")
-            cache = self.cache
-            new = [p for p in dict.fromkeys(parts) if p not in cache]
-            if new:
-                if len(cache) > CACHED_WORDS:
-                    cache.clear()
-                    new = list(dict.fromkeys(parts))
-                for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    cache[part] = b"".join(i.to_bytes(4, "little") for i in found.ids)
-            yield b"".join(map(cache.__getitem__, parts))
+            parts = self.parts(text)
+            held.append((parts, list(map(self.young.get, parts))))
+            size += len(text)
+            if size > TOGETHER:
+                yield from self._filled(held)
+                held, size = [], 0
+        yield from self._filled(held)
+
+    def _filled(self, held: list[tuple[list[str], list[bytes | None]]]) -> Iterator[bytes]:
+        missing = {p for parts, found in held if None in found for p, f in zip(parts, found) if f is None}
+        if missing:
+            self.learn(missing)
+        young = self.young
+        for parts, found in held:
+            yield b"".join([young[p] if f is None else f for p, f in zip(parts, found)] if None in found else found)
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, so later tasks find the words of earlier ones."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -67,10 +110,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, step = WordIds(path), 4 * capacity
+        words, step = word_ids(path), 4 * capacity
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0), words.encode([t.as_py() or "" for t in batch.column(1)])):
+            for doc_id, text in zip(batch.column(0), words.encode(t.as_py() or "" for t in batch.column(1))):
                 ids = text + END_ID.to_bytes(4, "little")
                 number = doc_id.as_py()
                 for at in range(0, len(ids), step):
