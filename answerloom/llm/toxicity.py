@@ -2,8 +2,9 @@
 
 A classifier is trained in numpy from confirmed toxic examples and unlabelled text. The share of toxic text (class prior)
 corrects the risk: what the positives add to the unlabelled risk is taken off, and where the estimate of the negative
-risk falls below zero the step goes the other way, so it can't be overfitted. Features are the words of a vocabulary of
-the sample (letters only, lower case), present or not; the score is a calibrated probability.
+risk falls below zero the step goes the other way, so it can't be overfitted. Features are words (letters only, lower
+case) and word beginnings that the positives have significantly more often, by how many different words of the text have
+them; the score is a calibrated probability.
 
 Positives are rows of ``labels`` with toxic = 1, unlabelled text is a hash sample of all learnable documents. Labels are
 read only for rows whose remainder is not held out; the share of toxic ones among them is the class prior. Both samples
@@ -29,10 +30,13 @@ from answerloom.llm.common import learnable
 
 MODULUS, HELD_OUT = 3, 1
 POSITIVES, UNLABELLED = 2_000, 6_000
-LEAST_DOCUMENTS = 3
-"""Sample documents a word must occur in to be a feature."""
-VOCABULARY = 20_000
+LEAST_DOCUMENTS = 5
+"""Positives a feature must occur in."""
+LEAST_Z = 4.0
+VOCABULARY = 2_000
+CACHED_WORDS = 200_000
 THRESHOLD = 0.7
+RECALL = 0.99
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -40,6 +44,20 @@ def words_of(text: str | None) -> set[str]:
     return set(WORDS.findall((text or "").lower()))
 
 
+def parts_of(word: str) -> list[str]:
+    """The word itself and its beginnings of four to eight letters."""
+    return [f"{word}$", *(f"^{word[:n]}" for n in range(4, min(len(word), 9)))]
+
+
+def levels(counts: dict[str, int]) -> set[str]:
+    """Features: a part occurs in one, two, or four and more different words of the text."""
+    return {f"{part}{least}" for part, n in counts.items() for least in (1, 2, 4) if n >= least}
+
+
+def features_of(words: set[str]) -> set[str]:
+    return levels(Counter(part for word in words for part in parts_of(word)))
+
+
 @dataclass
 class ToxicModel:
     weights: dict[str, float]
@@ -47,28 +65,45 @@ class ToxicModel:
     slope: float = 1.0
     shift: float = 0.0
 
-    def margin(self, words: set[str]) -> float:
-        known = self.weights
-        return self.bias + sum(known[w] for w in words if w in known)
+    def __post_init__(self) -> None:
+        self.parts = {name[:-1] for name in self.weights}
+        self.known: dict[str, tuple[str, ...]] = {}
 
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(words_of(text)) + self.shift, -40, 40))))
-
-
-def select_words(positive: list[set[str]], unlabelled: list[set[str]]) -> list[str]:
-    """Words of enough documents, at most VOCABULARY, those most unlike in both samples first."""
-    p, u = Counter(w for s in positive for w in s), Counter(w for s in unlabelled for w in s)
-    share = {w: (p[w] + 1) / (len(positive) + 2) / ((u[w] + 1) / (len(unlabelled) + 2)) for w in p.keys() | u.keys() if p[w] + u[w] >= LEAST_DOCUMENTS}
-    return sorted(share, key=lambda w: (-abs(np.log(share[w])) * np.sqrt(p[w] + u[w]), w))[:VOCABULARY]
+    def margin(self, features: set[str]) -> float:
+        return self.bias + sum(self.weights.get(f, 0.0) for f in sorted(features & self.weights.keys()))
 
-
-def nn_pu(positive: list[set[str]], unlabelled: list[set[str]], prior: float, epochs: int = 60, batch: int = 500, penalty: float = 2e-4) -> ToxicModel:
+    def score(self, text: str | None) -> float:
+        counts: Counter[str] = Counter()
+        for word in words_of(text):
+            parts = self.known.get(word)
+            if parts is None:
+                if len(self.known) > CACHED_WORDS:
+                    self.known.clear()
+                parts = self.known[word] = tuple(p for p in parts_of(word) if p in self.parts)
+            if parts:
+                counts.update(parts)
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(levels(counts)) + self.shift, -40, 40))))
+
+
+def select_features(positive: list[set[str]], unlabelled: list[set[str]]) -> list[str]:
+    """Features that occur significantly (LEAST_Z) and at least twice as often in the positives; VOCABULARY at most."""
+    p, u = Counter(f for s in positive for f in s), Counter(f for s in unlabelled for f in s)
+    n_p, n_u, found = len(positive), len(unlabelled), {}
+    for name, n in p.items():
+        if n >= LEAST_DOCUMENTS and n / n_p >= 2 * u[name] / n_u:
+            z = (n / n_p - u[name] / n_u) / np.sqrt((n + u[name]) / (n_p + n_u) * (1 / n_p + 1 / n_u))
+            if z >= LEAST_Z:
+                found[name] = z
+    return sorted(found, key=lambda f: (-found[f], f))[:VOCABULARY]
+
+
+def nn_pu(positive: list[set[str]], unlabelled: list[set[str]], prior: float, epochs: int = 60, batch: int = 500, penalty: float = 1e-3) -> ToxicModel:
     """Linear model under the non-negative risk with the logistic loss, by Adam over shuffled batches of both samples.
 
     risk = prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]); a batch whose second part is negative
-    descends on minus that part alone.
+    descends on minus that part alone. Samples come as sets of features.
     """
-    names = select_words(positive, unlabelled)
+    names = select_features(positive, unlabelled)
     at = {w: i for i, w in enumerate(names)}
     rows = [np.array(sorted(at[w] for w in s if w in at), np.int64) for s in positive + unlabelled]
     n_pos, rng = len(positive), np.random.default_rng(7)
@@ -103,16 +138,17 @@ def nn_pu(positive: list[set[str]], unlabelled: list[set[str]], prior: float, ep
 
 
 def calibrate(model: ToxicModel, positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> ToxicModel:
-    """Slope and shift so that positives lie above the threshold and the unlabelled score ``prior`` on average, by grid
-    search on the prior-corrected logistic risk without the clamp (two parameters can't overfit)."""
+    """Slope by the prior-corrected logistic risk; shift so that THRESHOLD is met where the share of unlabelled text
+    above it is the prior, or lower, where RECALL of the positives lie above it."""
     zp, zu = np.array([model.margin(s) for s in positive]), np.array([model.margin(s) for s in unlabelled])
-    best = (np.inf, 1.0, 0.0)
-    for slope in (0.5, 1.0, 1.5, 2.0, 3.0):
-        for shift in np.linspace(-6, 6, 49):
+    best = (np.inf, 1.0)
+    for slope in (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0):
+        for shift in np.linspace(-10, 10, 81):
             p, u = slope * zp + shift, slope * zu + shift
             negative = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
-            best = min(best, (prior * np.logaddexp(0, -p).mean() + max(0.0, negative), slope, float(shift)))
-    return ToxicModel(model.weights, model.bias, best[1], best[2])
+            best = min(best, (prior * np.logaddexp(0, -p).mean() + max(0.0, negative), slope))
+    cut = min(np.quantile(zu, 1 - prior), np.quantile(zp, 1 - RECALL))
+    return ToxicModel(model.weights, model.bias, best[1], float(np.log(THRESHOLD / (1 - THRESHOLD)) - best[1] * cut))
 
 
 def _sampled(df: DataFrame, n: int) -> list[set[str]]:
@@ -136,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
         return ToxicModel({}, -40.0)
     open_docs = docs.select("doc_id", "text").filter(learnable("doc_id", MODULUS) != HELD_OUT)
     toxic = open_docs.join(known.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    positive, unlabelled = _sampled(toxic, POSITIVES), _sampled(open_docs, UNLABELLED)
+    positive, unlabelled = ([features_of(words) for words in _sampled(*side)] for side in ((toxic, POSITIVES), (open_docs, UNLABELLED)))
     if not positive or not unlabelled:
         return ToxicModel({}, -40.0)
     return nn_pu(positive, unlabelled, min(0.95, float(share)))
