@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +34,7 @@ CACHED_WORDS = 300_000
 TOGETHER = 1 << 20
 """Characters whose new words are encoded together."""
 BEYOND_LATIN = re.compile("[^\x00-\xff]")
+LATIN_WORD = re.compile(r"[a-zß-öø-ÿ]+\Z")
 LONE_STOP = re.compile(r"[,.](?<=[a-zß-öø-ÿ][,.])(?=[ \n])")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"
 
@@ -44,6 +45,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_of_letter() -> dict[str, int]:
+    """The letters that byte-level vocabularies write for bytes: printable Latin-1 for itself, the rest from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class WordIds:
     """Ids of a text as little-endian bytes.
 
@@ -51,6 +59,7 @@ class WordIds:
     parts. Parts are looked up in a cache of two generations (the older one goes when the younger is full); new ones are
     encoded together. To meet fewer different parts, texts of Latin-1 letters are lower-cased first, as the tokenizer
     does itself (no composition and no context there), and a comma or stop between a letter and a space is set apart.
+    A part of such letters alone is one word to the tokenizer, so it goes to the tokenizer's model as the bytes' letters.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,6 +67,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        letters = {b: c for c, b in byte_of_letter().items()}
+        self.spelling = str.maketrans({chr(n): "".join(letters[b] for b in chr(n).encode()) for n in range(0x80, 0x100)})
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -69,14 +81,16 @@ class WordIds:
     def learn(self, wanted: set[str]) -> None:
         if len(self.young) > CACHED_WORDS:
             self.old, self.young = self.young, {}
-        new = []
+        words, others = [], []
         for part in wanted:
-            if part in self.old:
-                self.young[part] = self.old[part]
+            if (ids := self.old.get(part)) is not None:
+                self.young[part] = ids
             else:
-                new.append(part)
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.young[part] = np.array(found.ids, "<u4").tobytes()
+                (words if LATIN_WORD.match(part) else others).append(part)
+        spelt = [w if w.isascii() else w.translate(self.spelling) for w in words]
+        for new, found in ((words, self.model.encode_batch_fast(spelt, add_special_tokens=False)), (others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False))):
+            for part, ids in zip(new, found):
+                self.young[part] = struct.pack(f"<{len(ids.ids)}I", *ids.ids)
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         held: list[tuple[list[str], list[bytes | None]]] = []

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.llm.packing import vocabulary
+from answerloom.llm.packing import byte_of_letter, vocabulary
 
 WORD_END = 256
 """The symbol after a word's bytes."""
@@ -34,13 +34,6 @@ CACHED_WORDS = 300_000
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
-def byte_of_letter() -> dict[str, int]:
-    """The letters that byte-level vocabularies write for bytes: printable Latin-1 for itself, the rest from U+0100 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def symbols_of(pieces: Iterable[str], ending: str = "</w>") -> list[tuple[int, ...]]:
     """Pieces as byte symbols, a word end as a symbol of its own; pieces outside the byte letters (special ones) go."""
     letters, found = byte_of_letter(), []
