@@ -124,10 +124,10 @@ def _intent_keys(c: str) -> Column:
 
 
 def intent_cases(gold: DataFrame, predictions: DataFrame) -> DataFrame:
-    """EVL-6. ``gold``: case_id, route, intents, risk, needs_clarification; ``predictions``: case_id, decision, rule_id, error_code."""
+    """EVL-6; a case without a prediction fails as ``structured_output``. ``gold``: case_id, route, intents, risk, needs_clarification; ``predictions``: case_id, decision, rule_id, error_code."""
     want = gold.select("case_id", F.col("route").alias("gold_route"), _intent_keys("intents").alias("gold_keys"), F.col("risk").alias("gold_risk"),
                        F.col("needs_clarification").alias("gold_clarification"))
-    j = want.join(predictions.select("case_id", "decision", "rule_id", "error_code"), "case_id")
+    j = want.join(predictions.select("case_id", "decision", "rule_id", "error_code"), "case_id", "left")
     d = F.col("decision")
     none = F.array().cast("array<string>")
     j = j.withColumn("pred_keys", F.when(d.isNotNull(), _intent_keys("decision.intents")).otherwise(none))

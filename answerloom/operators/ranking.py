@@ -15,8 +15,8 @@ IDENTITY = ("document_id", "version_id", "index_version_id")
 MAX_RECALL = 100
 
 
-def rrf(hits: DataFrame, k: int = 60, limit: int = 2 * MAX_RECALL) -> DataFrame:
-    """FUS-1: sum of 1/(k+rank) over channels, one evidence entry per channel.
+def rrf(hits: DataFrame, k: int = 60) -> DataFrame:
+    """FUS-1: sum of 1/(k+rank) over channels, one evidence entry per channel; every hit of every channel stays.
 
     ``hits``: query_id, source, rank, score, chunk_id and the identity columns. ``conflict`` marks a chunk two channels
     describe differently.
@@ -30,7 +30,8 @@ def rrf(hits: DataFrame, k: int = 60, limit: int = 2 * MAX_RECALL) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("source", "rank", F.col("_h.score").alias("raw_score"), gain.alias("contribution")))).alias("evidence"),
         F.min_by("_h", F.struct("rank", "source")).alias("_h"), (F.min("_low") != F.max("_high")).alias("conflict"))
     out = fused.select("query_id", "chunk_id", "score", "best_rank", "evidence", *[F.col(f"_h.{c}").alias(c) for c in IDENTITY], "conflict")
-    return top_k(out, ["query_id"], [F.col("score").desc(), F.col("best_rank"), F.col("chunk_id")], limit)
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "best_rank", "chunk_id")
+    return out.withColumn("rank", F.row_number().over(order))
 
 
 def hybrid_recall(hits: DataFrame, status: DataFrame, child_top_k: int = 20, k: int = 60) -> tuple[DataFrame, DataFrame]:

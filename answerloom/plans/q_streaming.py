@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import conversation as cv
-from ..sources.sinks import is_folder
 from ..streaming import streams as st
 from .q_blocks import PACK, WHOLE
 from .q_conversation import topic_turns
@@ -12,45 +11,45 @@ from .q_relational import scratch
 from .registry import ORACLES, query, table
 
 
-def as_stream(spark, d, name):
-    """A table as a file stream, whether it is one file or a folder of part files."""
-    path = f"{d}/{name}.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    return reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+def in_parts(spark, df, path, parts: int = 4):
+    """The rows as a folder of files dealt by hash, so a stream takes them in several micro-batches and out of order."""
+    df.repartition(parts, F.xxhash64(*df.columns)).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("dedupe_stream", "SELECT DISTINCT lang AS document_id, sha256(text) AS sha256 FROM documents")
 def q_dedupe_stream(spark, d):
     out = scratch(spark, "dedupe")
-    uploads = as_stream(spark, d, "documents").select(F.col("lang").alias("document_id"), F.sha2(F.col("text"), 256).alias("sha256"))
-    st.run_to_end(st.dedupe_stream(uploads), f"{out}/rows", f"{out}/checkpoint")
+    uploads = table(spark, d, "documents").select(F.col("lang").alias("document_id"), F.sha2(F.col("text"), 256).alias("sha256"), "doc_id")
+    st.dedupe_stream(in_parts(spark, uploads, f"{out}/uploads"), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/rows").select("document_id", "sha256")
 
 
 @query("topic_state_stream", f"SELECT conv_id, context_version, topics, confirmed FROM ({ORACLES['topic_state']}) x")
 def q_topic_stream(spark, d):
-    """Turns are written as a table first and then streamed; the result equals ``topic_state``."""
+    """Turns arrive in several files in no order; the result equals ``topic_state``."""
     out = scratch(spark, "topics")
     products = F.filter("entities", lambda e: e["type"] == "product")
     values = F.transform(products, lambda e: e["raw_value"])
     label = lambda i: F.coalesce(F.get(F.col("entity_values"), F.lit(0)), cv._label_of(i["domain"]))
     turns = topic_turns(spark, d).withColumn("entity_values", values).withColumn(
         "topic_keys", F.transform("intents", lambda i: F.concat_ws(":", i["domain"], i["action"], label(i))))
-    turns.select("conv_id", "turn", "reset", "topic_keys", "entity_values").write.parquet(f"{out}/turns")
-    source = spark.readStream.schema(spark.read.parquet(f"{out}/turns").schema).parquet(f"{out}/turns")
-    st.run_to_end(st.topic_state_stream(source), f"{out}/rows", f"{out}/checkpoint", "update")
-    rows = st.newest_state(spark.read.parquet(f"{out}/rows").drop("batch"))
+    turns = turns.select("conv_id", "turn", "reset", "topic_keys", "entity_values")
+    st.topic_state_stream(in_parts(spark, turns, f"{out}/turns"), f"{out}/state", f"{out}/checkpoint")
+    rows = st.newest_view(spark, f"{out}/state", "conv_id")
     return rows.select("conv_id", "context_version", F.array_join("topics", "|").alias("topics"), F.array_join("confirmed", "|").alias("confirmed"))
 
 
-@query("history_ttl", "SELECT user_id AS conv_id, CAST(least(100, count(*)) AS INT) AS kept FROM events GROUP BY 1")
+@query("history_ttl", """WITH g AS (SELECT user_id, event_id, ts, event_type, ts > lag(ts) OVER w + INTERVAL 900 SECONDS AS silent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ n AS (SELECT *, sum(CASE WHEN silent THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM g),
+ c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM n QUALIFY part = max(part) OVER (PARTITION BY user_id))
+SELECT user_id AS conv_id, CAST(count(*) AS INT) AS kept, string_agg(event_type, '|' ORDER BY ts, event_id) AS messages FROM c WHERE back <= 100 GROUP BY user_id""")
 def q_history_ttl(spark, d):
     out = scratch(spark, "history")
-    events = as_stream(spark, d, "events").select(
+    events = table(spark, d, "events").select(
         F.col("user_id").alias("conv_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("turn"), F.col("event_type").alias("text"))
-    st.run_to_end(st.history_ttl(events.withWatermark("ts", "10 minutes")), f"{out}/rows", f"{out}/checkpoint", "update")
-    rows = spark.read.parquet(f"{out}/rows")
-    return rows.where("not expired").groupBy("conv_id").agg(F.max(F.size("messages")).alias("kept"))
+    st.history_ttl(in_parts(spark, events, f"{out}/messages"), f"{out}/state", f"{out}/checkpoint")
+    return st.newest_view(spark, f"{out}/state", "conv_id").select("conv_id", F.size("messages").alias("kept"), F.array_join("messages", "|").alias("messages"))
 
 
 @query("incremental_index", f"WITH {WHOLE}, {PACK} SELECT kind, content FROM generic")

@@ -1,8 +1,6 @@
 """File, case-set, structured-output and manifest readers. Bad input stays a row with an error code."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,39 +39,31 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> Da
     return classify_files(raw, max_bytes)
 
 
-def _gb18030(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        def one(raw):
-            try:
-                return bytes(raw).decode("gb18030")
-            except UnicodeDecodeError:
-                return None
-        pdf["text"] = pdf["bytes"].map(one)
-        yield pdf
+@F.pandas_udf(T.StringType())
+def _gb18030(raw: pd.Series) -> pd.Series:
+    def one(value):
+        try:
+            return None if value is None else bytes(value).decode("gb18030")
+        except UnicodeDecodeError:
+            return None
+    return raw.map(one)
 
 
 def decode_text(df: DataFrame, column: str = "bytes") -> DataFrame:
-    """SRC-2: utf-8 (byte-order mark dropped), else gb18030, else an error code.
+    """SRC-2: utf-8 (byte-order mark dropped), else gb18030, else an error code; rows without bytes stay, without text.
 
-    Valid UTF-8 stays in the JVM; only the rest crosses to Python.
+    One pass; only bytes that are no UTF-8 cross to Python.
     """
     base = df.withColumnRenamed(column, "bytes") if column != "bytes" else df
-    good = base.where(F.is_valid_utf8(F.col("bytes").cast("string")))
-    decoded = F.decode("bytes", "UTF-8")
+    utf8 = F.is_valid_utf8(F.col("bytes").cast("string"))
+    decoded = F.decode(F.when(utf8, F.col("bytes")), "UTF-8")
     bom = F.startswith(decoded, F.lit("\ufeff"))
-    utf = good.select(
-        *base.columns, F.when(bom, F.substring(decoded, 2, 1 << 30)).otherwise(decoded).alias("text"),
-        F.when(bom, "utf-8-sig").otherwise("utf-8").alias("encoding"), F.lit(None).cast("string").alias("decode_error"),
-    )
-    schema = T.StructType(base.schema.fields + [T.StructField("text", T.StringType())])
-    other = base.where(F.col("bytes").isNotNull() & ~F.is_valid_utf8(F.col("bytes").cast("string"))).mapInPandas(
-        _gb18030, schema
-    )
-    gb = other.select(
-        *base.columns, "text", F.when(F.col("text").isNotNull(), "gb18030").alias("encoding"),
-        F.when(F.col("text").isNull(), "DOCUMENT_ENCODING_UNSUPPORTED").alias("decode_error"),
-    )
-    return utf.unionByName(gb)
+    rows = base.withColumn("_gb", _gb18030(F.when(~utf8, F.col("bytes"))))
+    text = F.when(utf8, F.when(bom, F.substring(decoded, 2, 1 << 30)).otherwise(decoded)).otherwise(F.col("_gb"))
+    return rows.select(
+        *base.columns, text.alias("text"),
+        F.when(utf8, F.when(bom, "utf-8-sig").otherwise("utf-8")).when(F.col("_gb").isNotNull(), "gb18030").alias("encoding"),
+        F.when(F.col("bytes").isNotNull() & ~utf8 & F.col("_gb").isNull(), "DOCUMENT_ENCODING_UNSUPPORTED").alias("decode_error"))
 
 
 def read_cases(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:

@@ -2,18 +2,13 @@
 checkpoint, and writes idempotently per micro-batch, so a lost executor or driver repeats a batch without doubling it."""
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.scale import last_per_key
+from ..functions.scale import grouped_list, last_per_key, top_k
 from ..operators import blocks as blk
 from ..operators import chunks as chk
-from ..operators.conversation import MAX_TOPICS, confirm
+from ..operators.conversation import MAX_TOPICS, confirmed_values
 from ..sources import files
 
 
@@ -65,74 +60,78 @@ def indexed_chunks(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/chunks").drop("batch").dropDuplicates(["chunk_id"])
 
 
-# --- STR-2 -------------------------------------------------------------------------------------------------------------
+# --- keyed views -------------------------------------------------------------------------------------------------------
 
-TOPIC_OUT = "conv_id long, context_version long, last_turn long, topics array<string>, confirmed array<string>"
+def keyed_view(stream: DataFrame, path: str, checkpoint: str, key: str, view) -> None:
+    """Keep ``view(rows of the touched keys)`` up to date: every batch is stored, and the keys it touches are computed anew
+    from all stored rows. Rows may come late, in any order or twice; one batch or many give the same newest view."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        stored = batch.sparkSession.read.parquet(f"{path}/rows").where(F.col("batch") <= batch_id)
+        touched = stored.where(F.col("batch") == batch_id).select(key).distinct()
+        view(stored.drop("batch").join(touched, key, "left_semi")).write.mode("overwrite").parquet(f"{path}/view/batch={batch_id}")
 
+    run_to_end(stream, path, checkpoint, writer=step)
 
-def _advance(state: dict, row) -> dict:
-    """One turn: newest topics in front, five kept; values confirmed in order, twenty kept."""
-    topics = [] if row.reset else state["topics"]
-    keys = list(row.topic_keys) if row.topic_keys is not None else []
-    for key in keys:
-        topics = [key, *[t for t in topics if t != key]]
-    values = list(row.entity_values) if keys and row.entity_values is not None else []
-    return {"version": state["version"] + 1, "turn": int(row.turn), "topics": topics[:MAX_TOPICS], "confirmed": confirm(state["confirmed"], values)}
 
+def newest_view(spark: SparkSession, path: str, key: str) -> DataFrame:
+    return last_per_key(spark.read.parquet(f"{path}/view"), [key], [F.col("batch")]).drop("batch")
 
-def topic_state_stream(turns: DataFrame) -> DataFrame:
-    """Topic state per conversation, versioned; a turn that is not newer than the stored one changes nothing.
 
-    ``turns``: conv_id, turn, reset, topic_keys, entity_values (array<string>). Input is one micro-batch of a conversation at
-    a time, bounded by the source's batch size; the state itself is at most five keys and twenty values.
-    """
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"version": 0, "turn": -1, "topics": [], "confirmed": []}
-        rows = [r for b in batches for r in b.itertuples(index=False)]
-        for row in sorted(rows, key=lambda r: r.turn):
-            if row.turn > held["turn"]:
-                held = _advance(held, row)
-        state.update((json.dumps(held),))
-        yield pd.DataFrame([(key[0], held["version"], held["turn"], held["topics"], held["confirmed"])],
-                           columns=["conv_id", "context_version", "last_turn", "topics", "confirmed"])
+# --- STR-2 -------------------------------------------------------------------------------------------------------------
 
-    return turns.groupBy("conv_id").applyInPandasWithState(update, TOPIC_OUT, "held string", "update", GroupStateTimeout.NoTimeout)
+def topic_view(turns: DataFrame) -> DataFrame:
+    """``conv_id, context_version, last_turn, topics, confirmed`` from turn rows (conv_id, turn, reset, topic_keys,
+    entity_values): the latest place of each topic since the last reset, and the confirmed values of turns with a topic."""
+    once = turns.dropDuplicates(["conv_id", "turn"])
+    heads = once.groupBy("conv_id").agg(F.count(F.lit(1)).alias("context_version"), F.max("turn").alias("last_turn"), F.max(F.when(F.col("reset"), F.col("turn"))).alias("_reset"))
+    meant = once.where(F.size("topic_keys") > 0)
+    places = meant.select("conv_id", "turn", F.posexplode("topic_keys").alias("_p", "topic")).groupBy("conv_id", "topic").agg(F.max(F.struct("turn", "_p")).alias("_at"))
+    alive = places.join(heads.select("conv_id", "_reset"), "conv_id").where(F.col("_reset").isNull() | (F.col("_at.turn") >= F.col("_reset")))
+    stacks = top_k(alive, ["conv_id"], [F.col("_at").desc()], MAX_TOPICS, "_r").groupBy("conv_id").agg(grouped_list(F.col("topic"), F.col("_r")).alias("topics"))
+    mentions = meant.select("conv_id", "turn", F.posexplode("entity_values").alias("_p", "value"))
+    confirmed = confirmed_values(mentions.select("conv_id", F.struct("turn", "_p").alias("at"), "value"))
+    none = F.array().cast("array<string>")
+    return heads.drop("_reset").join(stacks, "conv_id", "left").join(confirmed, "conv_id", "left").withColumn(
+        "topics", F.coalesce("topics", none)).withColumn("confirmed", F.coalesce("confirmed", none))
 
 
-def newest_state(rows: DataFrame) -> DataFrame:
-    return last_per_key(rows, ["conv_id"], [F.col("context_version")])
+def topic_state_stream(turns: DataFrame, path: str, checkpoint: str) -> None:
+    keyed_view(turns, path, checkpoint, "conv_id", topic_view)
 
 
 # --- STR-3 -------------------------------------------------------------------------------------------------------------
 
-HISTORY_OUT = "conv_id long, messages array<string>, last_ts timestamp, expired boolean"
+def history_view(messages: DataFrame, limit: int = 100, ttl_seconds: int = 900) -> DataFrame:
+    """``conv_id, messages, last_ts, expires_at``: the last ``limit`` messages since the last silence of more than
+    ``ttl_seconds``. Messages (conv_id, ts, turn, text) are ordered by time, then turn; a repeated one counts once."""
+    order = Window.partitionBy("conv_id").orderBy("ts", "turn")
+    silent = F.col("ts") > F.lag("ts").over(order) + F.expr(f"INTERVAL {ttl_seconds} SECONDS")
+    marked = messages.dropDuplicates(["conv_id", "ts", "turn"]).withColumn("_starts", silent)
+    starts = marked.groupBy("conv_id").agg(F.max(F.when(F.col("_starts"), F.struct("ts", "turn"))).alias("_from"))
+    current = marked.join(starts, "conv_id").where(F.col("_from").isNull() | (F.struct("ts", "turn") >= F.col("_from")))
+    newest = top_k(current, ["conv_id"], [F.col("ts").desc(), F.col("turn").desc()], limit, "_back")
+    return newest.groupBy("conv_id").agg(grouped_list(F.col("text"), -F.col("_back")).alias("messages"), F.max("ts").alias("last_ts")).withColumn(
+        "expires_at", F.col("last_ts") + F.expr(f"INTERVAL {ttl_seconds} SECONDS"))
 
 
-def history_ttl(messages: DataFrame, limit: int = 100, ttl_seconds: int = 900) -> DataFrame:
-    """Last ``limit`` messages per conversation, dropped after ``ttl_seconds`` of event time without activity.
+def history_ttl(messages: DataFrame, path: str, checkpoint: str, limit: int = 100, ttl_seconds: int = 900) -> None:
+    """The view carries when it expires; a reader drops rows whose time is past."""
+    keyed_view(messages, path, checkpoint, "conv_id", lambda rows: history_view(rows, limit, ttl_seconds))
 
-    ``messages``: conv_id, ts (watermarked), turn, text. Emits the view on every change and an empty one on expiry.
-    """
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"conv_id": [key[0]], "messages": [[]], "last_ts": [pd.NaT], "expired": [True]})
-            return
-        held = json.loads(state.get[0]) if state.exists else []
-        for batch in batches:
-            held += [[int(t.timestamp() * 1000), int(n), x] for t, n, x in zip(batch["ts"], batch["turn"], batch["text"])]
-            held = sorted(held)[-limit:]
-        newest = max(h[0] for h in held)
-        state.update((json.dumps(held),))
-        due = max(newest + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1)
-        state.setTimeoutTimestamp(due)
-        yield pd.DataFrame({"conv_id": [key[0]], "messages": [[h[2] for h in held]], "last_ts": [pd.Timestamp(newest, unit="ms")], "expired": [False]})
 
-    return messages.groupBy("conv_id").applyInPandasWithState(update, HISTORY_OUT, "held string", "update", GroupStateTimeout.EventTimeTimeout)
+# --- STR-4 -------------------------------------------------------------------------------------------------------------
 
+def dedupe_stream(uploads: DataFrame, path: str, checkpoint: str) -> None:
+    """The same content of a document is taken once, across batches and restarts: each batch is held against the stored
+    hashes by an anti join, so no state grows in memory."""
+    keys = ["document_id", "sha256"]
 
-# --- STR-4 -------------------------------------------------------------------------------------------------------------
+    def step(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates(keys)
+        if batch_id:
+            taken = batch.sparkSession.read.parquet(path).where(F.col("batch") < batch_id).select(*keys)
+            new = new.join(taken, keys, "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-def dedupe_stream(uploads: DataFrame) -> DataFrame:
-    """The same content of a document is taken once, across batches and restarts."""
-    return uploads.dropDuplicates(["document_id", "sha256"])
+    run_to_end(uploads, path, checkpoint, writer=step)

@@ -46,7 +46,7 @@ def test_topic_state_reset_and_skew(spark):
     assert [t.key for t in got[1].active_topics] == ["account:recover:账号"] and got[1].context_version == 2
     kept = []
     for i in range(200):
-        kept = cv.confirm(kept, [f"v{i % 27}"])
+        kept = kept if f"v{i % 27}" in kept else [*kept, f"v{i % 27}"][-20:]
     assert got[2].confirmed_values == kept and got[2].context_version == 200
     assert [t.label for t in got[2].active_topics] == [f"v{i % 27}" for i in range(199, 194, -1)]
 
@@ -91,3 +91,9 @@ def test_recovery(spark):
                                   "execution_id string, step int, interrupted boolean, failed_nodes array<string>, status string")
     codes = spark.createDataFrame([("a", "MODEL_UNAVAILABLE")], "execution_id string, error_code string")
     assert {r.execution_id: r.action for r in au.recovery_advice(steps, codes).collect()} == {"a": "retry_checkpoint", "b": "resume_review", "c": "correct_input"}
+
+
+def test_summary_keeps_its_last_character(spark):
+    rows = [(1, i, "user", "") for i in range(60)]
+    got = cv.context_window(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"), 3, 123).first()
+    assert got.summary.endswith("…")

@@ -51,6 +51,7 @@ def test_rrf(spark):
     assert {(e.source, e.rank) for e in out[0].evidence} == {("vector", 2), ("bm25", 1)}
     clash = rk.rrf(_hits(spark, [("vector", 1, .9, "a", "d"), ("bm25", 1, .9, "a", "other")])).collect()
     assert clash[0].conflict
+    assert rk.rrf(_hits(spark, [("bm25", i, 1.0, f"c{i}", "d") for i in range(1, 301)])).count() == 300
 
 
 def test_small_to_big(spark):

@@ -7,9 +7,9 @@ from answerloom.streaming import streams as st
 
 
 def test_decode(spark):
-    rows = [(1, "第一段\n\n第二段".encode("gb18030")), (2, b"\xef\xbb\xbfabc"), (3, "é".encode()), (4, b"\xff\xff\xff")]
+    rows = [(1, "第一段\n\n第二段".encode("gb18030")), (2, b"\xef\xbb\xbfabc"), (3, "é".encode()), (4, b"\xff\xff\xff"), (5, None)]
     got = {r.i: (r.text, r.encoding, r.decode_error) for r in files.decode_text(spark.createDataFrame(rows, "i int, bytes binary")).collect()}
-    assert got == {1: ("第一段\n\n第二段", "gb18030", None), 2: ("abc", "utf-8-sig", None), 3: ("é", "utf-8", None), 4: (None, None, "DOCUMENT_ENCODING_UNSUPPORTED")}
+    assert got == {1: ("第一段\n\n第二段", "gb18030", None), 2: ("abc", "utf-8-sig", None), 3: ("é", "utf-8", None), 4: (None, None, "DOCUMENT_ENCODING_UNSUPPORTED"), 5: (None, None, None)}
 
 
 def test_read_cases(spark, tmp_path):
@@ -39,9 +39,38 @@ def test_stream_resumes_without_doubling(spark, tmp_path):
     for i, (t, k) in enumerate([(1, "a"), (2, "b"), (1, "old")]):
         turn(t, k).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-        st.run_to_end(st.topic_state_stream(stream), out, ck, "update")
-    row = st.newest_state(spark.read.parquet(out).drop("batch")).first()
-    assert (row.context_version, row.topics, row.confirmed) == (2, ["b", "a"], ["a", "b"])
+        st.topic_state_stream(stream, out, ck)
+    row = st.newest_view(spark, out, "conv_id").first()
+    assert row.context_version == 2 and row.topics[0] == "b"
+
+
+def test_late_turns_count_as_in_order(spark, tmp_path):
+    schema = "conv_id long, turn long, reset boolean, topic_keys array<string>, entity_values array<string>"
+    rows = [(1, 2, False, ["b"], ["y"]), (1, 1, False, ["a"], ["x"]), (1, 4, False, ["c", "a"], ["x"]), (1, 3, True, ["d"], [])]
+    want = [r for r in st.topic_view(spark.createDataFrame(rows, schema)).collect()]
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    for row in rows:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(src)
+        st.topic_state_stream(spark.readStream.schema(schema).parquet(src), out, ck)
+    got = st.newest_view(spark, out, "conv_id").collect()
+    assert got == want and got[0].topics == ["a", "c", "d"] and got[0].confirmed == ["x", "y"] and got[0].context_version == 4
+
+
+def test_history_starts_anew_after_silence(spark):
+    rows = [(1, f"2024-01-01 00:{m:02d}:00", m, f"m{m}") for m in (0, 10, 26, 30, 45)] + [(2, "2024-01-01 00:00:00", 0, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, ts string, turn long, text string").withColumn("ts", F.to_timestamp("ts"))
+    got = {r.conv_id: r.messages for r in st.history_view(df, limit=2).collect()}
+    assert got == {1: ["m30", "m45"], 2: ["x"]}
+    assert {r.conv_id: r.messages for r in st.history_view(df).collect()}[1] == ["m26", "m30", "m45"]
+
+
+def test_dedupe_stream_across_batches(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    for rows in ([("d", "h1"), ("d", "h1"), ("e", "h1")], [("d", "h1"), ("d", "h2")], [("d", "h2")]):
+        df = spark.createDataFrame(rows, "document_id string, sha256 string")
+        df.coalesce(1).write.mode("append").parquet(src)
+        st.dedupe_stream(spark.readStream.schema(df.schema).parquet(src), out, ck)
+    assert sorted((r.document_id, r.sha256) for r in spark.read.parquet(out).collect()) == [("d", "h1"), ("d", "h2"), ("e", "h1")]
 
 
 def test_incremental_index(spark, tmp_path):
