@@ -30,10 +30,10 @@ def line_chunks(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("doc "), key).alias("title"))
 
 
-def benchmark_questions(spark: SparkSession, d: str, words: int = 8) -> DataFrame:
+def benchmark_questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(
         F.col("item_id").alias("query_id"),
-        F.array_join(F.slice(word_tokenizer(F.col("text")), F.lit(1), F.lit(words)), " ").alias("query"))
+        F.array_join(word_tokenizer(F.col("text")), " ").alias("query"))
 
 
 def lexical_hits(chunks: DataFrame, questions: DataFrame, k: int = 40) -> DataFrame:

@@ -21,8 +21,8 @@ def tokens_sql(x):
     return TOKENS.replace("{{", "{").replace("}}", "}").replace("{0}", x)
 
 
-# Every document is the evidence of an answer; its claims are made from its first line.
-CLAIMS = rf"""fl AS (SELECT doc_id AS answer_id, string_split(text, chr(10))[1] AS line, '支持退款。' || text AS content FROM documents),
+# Every document is the evidence of an answer; its claims are made from the whole text.
+CLAIMS = rf"""fl AS (SELECT doc_id AS answer_id, text AS line, '支持退款。' || text AS content FROM documents),
 cs AS (SELECT answer_id, content, unnest([line, line || ' 77777元', array_to_string(list_reverse(string_split(line, ' ')), ' '), '不支持退款 ' || line, line, array_to_string(list_reverse(string_split(line, ' ')), ' ') || ' qqq wwq eeq rrq ttq']) AS claim, unnest([0, 1, 2, 3, 4, 5]) AS claim_no FROM fl),
 ce AS (SELECT answer_id, claim_no, claim, CASE WHEN claim_no = 4 THEN '' ELSE content END AS ev FROM cs),
 ct AS (SELECT *, {tokens_sql('claim')} AS a, {tokens_sql('ev')} AS b, regexp_replace({FOLD.format('claim')}, '[^\p{{L}}\p{{N}}]+', '', 'g') AS nc, regexp_replace({FOLD.format('ev')}, '[^\p{{L}}\p{{N}}]+', '', 'g') AS ne FROM ce),
@@ -38,7 +38,7 @@ def docs(spark, d):
 
 
 def claim_rows(spark, d):
-    line = F.split("text", "\n")[0]
+    line = F.col("text")
     turned = F.array_join(F.reverse(F.split("_line", " ")), " ")
     base = docs(spark, d).select("answer_id", line.alias("_line"))
     made = F.array(F.col("_line"), F.concat("_line", F.lit(" 77777元")), turned, F.concat(F.lit("不支持退款 "), F.col("_line")), F.col("_line"), F.concat(turned, F.lit(" qqq wwq eeq rrq ttq")))
@@ -130,10 +130,9 @@ def q_publish_text(spark, d):
 
 def eval_cases(spark, d):
     k = F.col("item_id")
-    marker = F.substring("text", 1, 30)
     item = lambda name, m: F.struct(F.lit(name).alias("relevance_id"), F.lit(None).cast("string").alias("document_title"), F.array(m).alias("markers"))
     return table(spark, d, "benchmark").select(
-        k.alias("case_id"), (k % 5 == 0).alias("expect_empty"), F.array(item("a", F.upper(marker)), item("b", F.substring("text", 1, 3))).alias("relevant"), (k * 1.5).alias("latency_ms"),
+        k.alias("case_id"), (k % 5 == 0).alias("expect_empty"), F.array(item("a", F.upper("text")), item("b", F.element_at(F.split("text", " "), -1))).alias("relevant"), (k * 1.5).alias("latency_ms"),
         (k % 9 == 0).alias("execution_error"), (k % 4 == 0).alias("rerank_degraded"))
 
 
@@ -141,7 +140,7 @@ RCASES = f"""{BM25}, st AS (SELECT count(*) AS n, avg(length) AS avg_length FROM
  sc AS (SELECT query_id, chunk_id, round(sum({GAIN}), 9) AS score FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (chunk_id), st GROUP BY ALL),
  top AS (SELECT query_id AS case_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc WHERE score > 0),
  shown AS (SELECT case_id, rank, {FOLD.format('text')} AS t FROM top JOIN documents ON doc_id = chunk_id WHERE rank <= 5 AND case_id % 5 <> 0 OR rank <= case_id % 2),
- it AS (SELECT item_id AS case_id, unnest(['a', 'b']) AS rid, unnest([{FOLD.format('upper(substr(text, 1, 30))')}, {FOLD.format('substr(text, 1, 3)')}]) AS m FROM benchmark WHERE item_id % 5 <> 0),
+ it AS (SELECT item_id AS case_id, unnest(['a', 'b']) AS rid, unnest([{FOLD.format('upper(text)')}, {FOLD.format("string_split(text, ' ')[-1]")}]) AS m FROM benchmark WHERE item_id % 5 <> 0),
  rnk AS (SELECT it.case_id, rid, min(rank) FILTER (contains(t, m)) AS rank FROM it LEFT JOIN shown USING (case_id) GROUP BY ALL),
  pc AS (SELECT case_id, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) AS r1, avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END) AS r3, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END) AS r5, coalesce(1.0 / min(rank), 0) AS rr FROM rnk GROUP BY 1),
  cse AS (SELECT item_id AS case_id, item_id % 5 = 0 AS neg, item_id % 9 = 0 AS err, item_id % 4 = 0 AS deg, (item_id * 1.5)::DOUBLE AS lat, CASE WHEN item_id % 9 = 0 THEN 0 ELSE coalesce(r1, 0) END AS r1, CASE WHEN item_id % 9 = 0 THEN 0 ELSE coalesce(r3, 0) END AS r3, CASE WHEN item_id % 9 = 0 THEN 0 ELSE coalesce(r5, 0) END AS r5,

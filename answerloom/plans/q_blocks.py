@@ -154,7 +154,7 @@ def q_chunk_table(spark, d):
 def faq_blocks(spark, d):
     def label(line, i):
         return (F.when(i % 4 == 1, F.concat(F.lit("问： "), line)).when(i % 4 == 2, F.concat(F.lit("a:"), line))
-                .when(i % 4 == 3, F.concat(F.lit("Keywords："), F.replace(F.substring(line, 1, 30), F.lit(" "), F.lit("、"))))
+                .when(i % 4 == 3, F.concat(F.lit("Keywords："), F.replace(line, F.lit(" "), F.lit("、"))))
                 .otherwise(line))
     return line_blocks(spark, d).withColumn("content", label(F.col("content"), F.col("ordinal"))).withColumn(
         "heading_path", F.array("lang"))
@@ -164,7 +164,7 @@ FAQ = rf"""{LINES}, q AS (SELECT *, max(ordinal) OVER (PARTITION BY version_id)
 g AS (SELECT version_id, lang, ordinal, content, (ordinal + 3) // 4 AS rec, last FROM q),
 ok AS (SELECT version_id, any_value(lang) AS lang, rec, min(ordinal) AS first, any_value(CASE WHEN ordinal % 4 = 1 THEN content END) AS question,
    string_agg(CASE WHEN ordinal % 4 IN (2, 0) THEN content END, chr(10) ORDER BY ordinal) AS answer,
-   any_value(CASE WHEN ordinal % 4 = 3 THEN substr(content, 1, 30) END) AS kw, array_to_string(list(ordinal ORDER BY ordinal), ',') AS ordinals
+   any_value(CASE WHEN ordinal % 4 = 3 THEN content END) AS kw, array_to_string(list(ordinal ORDER BY ordinal), ',') AS ordinals
    FROM g WHERE rec > 0 GROUP BY version_id, rec),
 kk AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(replace(coalesce(kw, ''), ' ', '、'), '[,，;；]\s*', '、', 'g'), '、'), lambda s: {_strip('s')}), lambda s: len(s) > 0) AS ws FROM ok)"""
 
@@ -224,14 +224,14 @@ MARKERS = dict(faq=("the", "que"), manual=("tion", "eau"), policy=("in", "de"))
 
 def section_blocks(spark, d):
     i = F.col("ordinal")
-    return line_blocks(spark, d).withColumn("heading_path", F.array("lang", F.substring("content", 1, 9))).withColumn(
+    return line_blocks(spark, d).withColumn("heading_path", F.array("lang", F.col("content"))).withColumn(
         "block_type", F.when(i % 6 == 5, "table").when(i % 6 == 0, "heading").otherwise("paragraph"))
 
 
 @query("route_sections", rf"""WITH {LINES}, t AS (SELECT version_id, ordinal, CASE WHEN ordinal % 6 = 5 THEN 'table'
    WHEN contains(h, 'the') OR contains(h, 'que') THEN 'faq' WHEN contains(h, 'tion') OR contains(h, 'eau') THEN 'manual'
    WHEN contains(h, 'in') OR contains(h, 'de') THEN 'policy' ELSE 'generic' END AS strategy
-   FROM (SELECT *, replace(lower(lang || ' / ' || substr(content, 1, 9)), 'ß', 'ss') AS h FROM lines)),
+   FROM (SELECT *, replace(lower(lang || ' / ' || content), 'ß', 'ss') AS h FROM lines)),
  f AS (SELECT *, strategy IS DISTINCT FROM lag(strategy) OVER (PARTITION BY version_id ORDER BY ordinal) AS fresh FROM t)
 SELECT version_id, ordinal, strategy, max(CASE WHEN fresh THEN ordinal END) OVER (PARTITION BY version_id ORDER BY ordinal) AS run FROM f""")
 def q_route_sections(spark, d):

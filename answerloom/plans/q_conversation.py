@@ -93,7 +93,7 @@ def q_topic_state(spark, d):
 
 def context_turns(spark, d):
     t = F.col("turn")
-    text = F.when(t % 4 == 0, "多少钱？").when(t % 4 == 1, F.concat(F.lit("换个问题，"), F.substring("role", 1, 3))).when(t % 4 == 2, " 怎么办").otherwise(F.substring("text", 1, 40))
+    text = F.when(t % 4 == 0, "多少钱？").when(t % 4 == 1, F.concat(F.lit("换个问题，"), F.substring("role", 1, 3))).when(t % 4 == 2, " 怎么办").otherwise(F.col("text"))
     turns = messages(spark, d).select("conv_id", "turn", text.alias("text"))
 
     def topic(label, domain, turn):
@@ -108,7 +108,7 @@ def context_turns(spark, d):
     return turns, states, choices
 
 
-@query("resolve_context", rf"""WITH t AS (SELECT conv_id AS c, turn, conv_id % 3 AS m, CASE turn % 4 WHEN 0 THEN '多少钱？' WHEN 1 THEN '换个问题，' || substr(role, 1, 3) WHEN 2 THEN '怎么办' ELSE {STRIP.format('substr(text, 1, 40)')} END AS q, substr(role, 1, 3) AS r3 FROM conversations),
+@query("resolve_context", rf"""WITH t AS (SELECT conv_id AS c, turn, conv_id % 3 AS m, CASE turn % 4 WHEN 0 THEN '多少钱？' WHEN 1 THEN '换个问题，' || substr(role, 1, 3) WHEN 2 THEN '怎么办' ELSE {STRIP.format('text')} END AS q, substr(role, 1, 3) AS r3 FROM conversations),
  k AS (SELECT *, CASE WHEN turn % 4 IN (1, 3) THEN 'standalone' WHEN turn % 4 = 0 THEN CASE m WHEN 1 THEN 'resolved' WHEN 0 THEN CASE WHEN c % 5 = 0 THEN 'choice' ELSE 'ambiguous' END ELSE 'ambiguous' END
    ELSE CASE m WHEN 2 THEN 'resolved2' WHEN 0 THEN CASE WHEN c % 5 = 0 THEN 'choice' ELSE 'ambiguous' END ELSE 'ambiguous' END END AS kk FROM t)
 SELECT c AS conv_id, turn, CASE kk WHEN 'resolved2' THEN 'resolved' WHEN 'choice' THEN 'resolved' ELSE kk END AS kind,
@@ -123,7 +123,7 @@ def q_resolve_context(spark, d):
 # --- intents ----------------------------------------------------------------------------------------------------------
 
 PAIRS = (("membership", "refund"), ("order", "query"), ("account", "recover"), ("content", "report"), ("human_service", "transfer"), ("account", "modify"))
-INTENT_SQL = """um AS (SELECT conv_id, turn, CASE WHEN conv_id % 19 = 0 THEN ' HELLO? ' WHEN conv_id % 23 = 0 THEN '转人工。' WHEN conv_id % 29 = 0 THEN '大会员多少钱？' ELSE CASE WHEN conv_id % 2 = 0 THEN '帮我 ' ELSE '' END || CASE WHEN conv_id % 7 = 0 THEN '如何 ' ELSE '' END || substr(text, 1, 3)
+INTENT_SQL = """um AS (SELECT conv_id, turn, CASE WHEN conv_id % 19 = 0 THEN ' HELLO? ' WHEN conv_id % 23 = 0 THEN '转人工。' WHEN conv_id % 29 = 0 THEN '大会员多少钱？' ELSE CASE WHEN conv_id % 2 = 0 THEN '帮我 ' ELSE '' END || CASE WHEN conv_id % 7 = 0 THEN '如何 ' ELSE '' END || text
     || CASE WHEN turn % 4 = 2 THEN ' BILI-12345678' ELSE '' END END AS text FROM conversations WHERE role = 'user'),
 pr AS (SELECT conv_id, turn, text, ['supported','out_of_domain','chitchat','unsafe'][(conv_id + turn) % 4 + 1] AS route, conv_id % 6 AS a, turn % 6 AS b, ['low','medium','high'][turn % 3 + 1] AS risk, conv_id % 11 = 0 AS needs, CASE WHEN conv_id % 13 = 0 THEN 'rule' ELSE 'model' END AS source, conv_id % 17 <> 0 AS has,
    conv_id % 3 = 0 AS ent FROM um),
@@ -142,7 +142,7 @@ dc AS (SELECT conv_id, turn, rule_id, error_code, CASE WHEN rule_id LIKE 'chit%'
 def user_messages(spark, d):
     c, t = F.col("conv_id"), F.col("turn")
     text = F.when(c % 19 == 0, " HELLO? ").when(c % 23 == 0, "转人工。").when(c % 29 == 0, "大会员多少钱？").otherwise(F.concat(
-        F.when(c % 2 == 0, "帮我 ").otherwise(""), F.when(c % 7 == 0, "如何 ").otherwise(""), F.substring("text", 1, 3), F.when(t % 4 == 2, " BILI-12345678").otherwise("")))
+        F.when(c % 2 == 0, "帮我 ").otherwise(""), F.when(c % 7 == 0, "如何 ").otherwise(""), F.col("text"), F.when(t % 4 == 2, " BILI-12345678").otherwise("")))
     return messages(spark, d).where("role = 'user'").select("conv_id", "turn", text.alias("text"))
 
 

@@ -290,17 +290,17 @@ def q_fallback(spark, d):
 # --- evidence ---------------------------------------------------------------------------------------------------------
 
 def evidence_views(spark, d):
-    """Documents of a source are the parents of its question; the language is the domain."""
+    """Eight documents are the parents of a question; the language is the domain."""
     key = F.col("doc_id")
     langs = F.array(*[F.lit(x) for x in ("en", "fr", "es", "de")])
     docs = table(spark, d, "documents").select(
-        (key % 50).alias("question_id"), (F.array_position(langs, F.col("lang")) - 1).alias("domain_position"), F.col("lang").alias("domain"), key.alias("rank"),
+        F.floor(key / 8).cast("long").alias("question_id"), (F.array_position(langs, F.col("lang")) - 1).alias("domain_position"), F.col("lang").alias("domain"), key.alias("rank"),
         F.concat(F.lit("d"), F.floor(key / 2).cast("long").cast("string")).alias("parent_id"), F.concat(F.lit("doc "), key.cast("string")).alias("title"), F.col("text").alias("content"),
         F.lit(0.5).alias("score"), F.array(F.col("source"), F.lit(" ")).alias("heading_path"), F.array(F.lit(0), F.lit(3), F.lit(3)).alias("page_numbers"))
-    return top_k(docs, ["question_id", "domain"], [F.col("rank")], 3, "_r").drop("_r")
+    return docs
 
 
-EVI = r"""ec AS (SELECT * FROM (SELECT doc_id % 50 AS question_id, list_position(['en','fr','es','de'], lang) AS dp, lang, doc_id, 'd' || (doc_id // 2) AS parent_id, text, row_number() OVER (PARTITION BY doc_id % 50, lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 3),
+EVI = r"""ec AS (SELECT doc_id // 8 AS question_id, list_position(['en','fr','es','de'], lang) AS dp, lang, doc_id, 'd' || (doc_id // 2) AS parent_id, text FROM documents),
 ed AS (SELECT question_id, parent_id, arg_min({'dp': dp, 'lang': lang, 'doc': doc_id, 'c': substr(text, 1, 2000)}, dp::BIGINT * 1000000000 + doc_id) AS v FROM ec GROUP BY ALL),
 eo AS (SELECT *, row_number() OVER w AS k, coalesce(sum(length(v.c)) OVER (PARTITION BY question_id ORDER BY v.dp, v.doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ed WINDOW w AS (PARTITION BY question_id ORDER BY v.dp, v.doc)),
 evd AS (SELECT question_id, 'E' || k AS evidence_id, k, parent_id, v.lang AS domain, 'doc ' || v.doc AS title, substr(v.c, 1, CAST(6000 - before AS BIGINT)) AS content FROM eo WHERE k <= 5 AND before < 6000)"""

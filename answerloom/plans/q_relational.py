@@ -24,7 +24,7 @@ def scratch(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-UPLOADS_SQL = """up AS (SELECT doc_id AS upload_id, doc_id AS ts, source AS owner, substr(text, 1, 8) AS title, lang AS domain,
+UPLOADS_SQL = """up AS (SELECT doc_id AS upload_id, doc_id AS ts, source AS owner, text AS title, lang AS domain,
     CASE n_chars % 3 WHEN 0 THEN 'faq' WHEN 1 THEN 'policy' ELSE 'generic' END AS knowledge_type, sha256(text) AS sha256
     FROM documents)"""
 
@@ -33,7 +33,7 @@ def uploads(spark, d):
     n = F.col("n_chars") % 3
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("upload_id"), F.col("doc_id").alias("ts"), F.col("source").alias("owner"),
-        F.substring("text", 1, 8).alias("title"), F.col("lang").alias("domain"),
+        F.col("text").alias("title"), F.col("lang").alias("domain"),
         F.when(n == 0, "faq").when(n == 1, "policy").otherwise("generic").alias("knowledge_type"),
         F.sha2(F.col("text"), 256).alias("sha256"),
     )

@@ -20,11 +20,11 @@ def corpus(spark, d):
     return spread(docs, "chunk_id")
 
 
-def questions(spark, d, words: int = 8):
-    """The first words of every benchmark item as a query."""
+def questions(spark, d):
+    """The words of every benchmark item as a query."""
     return table(spark, d, "benchmark").select(
         F.col("item_id").alias("query_id"),
-        F.array_join(F.slice(tok.word_tokenizer(F.col("text")), F.lit(1), F.lit(words)), " ").alias("query"))
+        F.array_join(tok.word_tokenizer(F.col("text")), " ").alias("query"))
 
 
 def joined(c):
@@ -119,7 +119,7 @@ def entries(spark, d):
     roles = F.array(*[F.lit(r) for r in ("user", "assistant", "system")])
     return table(spark, d, "benchmark").select(
         F.element_at(roles, (F.col("item_id") % 3 + 1).cast("int")).alias("domain"), F.col("item_id").alias("position"),
-        words[1].alias("term"), F.array(words[4]).alias("aliases"))
+        F.get(words, F.lit(1)).alias("term"), F.array(F.get(words, F.lit(4))).alias("aliases"))
 
 
 def turns(spark, d):
@@ -160,7 +160,7 @@ def q_dictionary_filter(spark, d):
 BM25 = f"""dt AS (SELECT doc_id AS chunk_id, lang, {WORDS.format('text')} AS toks FROM documents),
 dl AS (SELECT chunk_id, lang, len(toks) AS length FROM dt),
 tf AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(toks) AS term FROM dt) GROUP BY ALL),
-qt AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS.format('text')}[1:8]) AS term FROM benchmark)"""
+qt AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS.format('text')}) AS term FROM benchmark)"""
 GAIN = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))"
 
 
@@ -201,9 +201,9 @@ def q_bm25_filtered(spark, d):
     return _ranked(lx.bm25_search(lx.target_sets(chunks, targets), asks, 5))
 
 
-@query("fielded_search", rf"""WITH base AS (SELECT doc_id AS chunk_id, lang, source, substr(text, 1, 40) AS title, text, len(text) % 11 <> 0 AS active, CASE WHEN doc_id % 3 = 0 THEN ['public'] ELSE ['staff', 'public'] END AS scope, source AS dterm FROM documents),
+@query("fielded_search", rf"""WITH base AS (SELECT doc_id AS chunk_id, lang, source, string_split(text, chr(10))[1] AS title, text, len(text) % 11 <> 0 AS active, CASE WHEN doc_id % 3 = 0 THEN ['public'] ELSE ['staff', 'public'] END AS scope, source AS dterm FROM documents),
  live AS (SELECT * FROM base WHERE active),
- q AS (SELECT item_id AS query_id, array_to_string({WORDS.format('text')}[1:3], ' ') AS query, ['en','fr','es','de'][item_id % 4 + 1] AS lang, CASE WHEN item_id % 2 = 0 THEN ['public'] ELSE ['staff'] END AS allowed, 'src' || (item_id % 20) AS dterm FROM benchmark),
+ q AS (SELECT item_id AS query_id, array_to_string({WORDS.format('text')}, ' ') AS query, ['en','fr','es','de'][item_id % 4 + 1] AS lang, CASE WHEN item_id % 2 = 0 THEN ['public'] ELSE ['staff'] END AS allowed, 'src' || (item_id % 20) AS dterm FROM benchmark),
  qt AS (SELECT DISTINCT query_id, unnest({WORDS.format('query')}) AS term FROM q),
  tt AS (SELECT chunk_id, 'title' AS f, {WORDS.format('title')} AS toks FROM live UNION ALL SELECT chunk_id, 'content', {WORDS.format('text')} FROM live),
  dl AS (SELECT chunk_id, f, len(toks) AS length FROM tt), st AS (SELECT f, count(*) AS n, avg(length) AS avg_length FROM dl GROUP BY f),
@@ -222,13 +222,13 @@ SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM rk WHERE rank <=
 def q_fielded(spark, d):
     key = F.col("chunk_id")
     index = corpus(spark, d).select(
-        "chunk_id", F.substring("text", 1, 40).alias("title"), F.col("text").alias("content"), F.lit("o").alias("owner"),
+        "chunk_id", F.split("text", "\n")[0].alias("title"), F.col("text").alias("content"), F.lit("o").alias("owner"),
         F.col("lang").alias("domain"), (F.length("text") % 11 != 0).alias("active"),
         F.when(key % 3 == 0, F.array(F.lit("public"))).otherwise(F.array(F.lit("staff"), F.lit("public"))).alias("access_scope"),
         F.array("source").alias("domain_terms"))
     langs = F.array(*[F.lit(x) for x in LANGS])
     item = F.col("query_id")
-    asks = questions(spark, d, 3).select(
+    asks = questions(spark, d).select(
         "query_id", "query", F.lit("o").alias("owner"), F.element_at(langs, (item % 4 + 1).cast("int")).alias("domain"),
         F.when(item % 2 == 0, F.array(F.lit("public"))).otherwise(F.array(F.lit("staff"))).alias("allowed_scopes"),
         F.array(F.concat(F.lit("src"), (item % 20).cast("string"))).alias("domain_terms"))
@@ -285,13 +285,13 @@ def vector_tables(spark, d):
     base = table(spark, d, "embeddings").withColumnRenamed("label", "domain")
     key = F.col("vec_id")
     stored = base.withColumn("access_scope", F.when(key % 3 == 0, F.array(F.lit("staff"))).otherwise(F.array(F.lit("public"), F.lit("vip"))))
-    first = base.where("vec_id < 20").select(key.alias("query_id"), F.col("embedding").alias("vector"), "domain",
+    first = base.where("vec_id % 20 = 0").select(key.alias("query_id"), F.col("embedding").alias("vector"), "domain",
         F.when(key % 2 == 0, F.array(F.lit("public"))).otherwise(F.array(F.lit("staff"), F.lit("vip"))).alias("allowed_scopes"))
     return stored, first
 
 
 @query("vector_search", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, CASE WHEN vec_id % 3 = 0 THEN ['staff'] ELSE ['public','vip'] END AS scope FROM embeddings),
- q AS (SELECT vec_id AS query_id, label, e, CASE WHEN vec_id % 2 = 0 THEN ['public'] ELSE ['staff','vip'] END AS allowed FROM v WHERE vec_id < 20),
+ q AS (SELECT vec_id AS query_id, label, e, CASE WHEN vec_id % 2 = 0 THEN ['public'] ELSE ['staff','vip'] END AS allowed FROM v WHERE vec_id % 20 = 0),
  s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(q.e, v.e), 9) AS score FROM q JOIN v ON q.label = v.label AND list_has_any(scope, allowed)),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
 SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10""")

@@ -11,6 +11,9 @@ from .q_relational import scratch
 from .registry import ORACLES, query, table
 
 
+FILE_BYTES = 1 << 20
+
+
 def in_parts(spark, df, path, parts: int = 4):
     """The rows as a folder of files dealt by hash, so a stream takes them in several micro-batches and out of order."""
     df.repartition(parts, F.xxhash64(*df.columns)).write.parquet(path)
@@ -54,9 +57,10 @@ def q_history_ttl(spark, d):
 
 @query("incremental_index", f"WITH {WHOLE}, {PACK} SELECT kind, content FROM generic")
 def q_incremental_index(spark, d):
-    """Every document lands as a text file; chunks come from the stream."""
+    """Documents land as text files of about FILE_BYTES each, far below the reader's limit; chunks come from the stream."""
     out = scratch(spark, "landing")
     docs = table(spark, d, "documents").select(F.col("lang"), F.col("text").alias("value"))
-    docs.repartition(16).write.partitionBy("lang").option("lineSep", "\n\n").text(f"{out}/files")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()[0]
+    docs.repartition(1 + size // FILE_BYTES, F.xxhash64("value")).write.partitionBy("lang").option("lineSep", "\n\n").text(f"{out}/files")
     st.incremental_index(spark, f"{out}/files", f"{out}/index", f"{out}/checkpoint", 32)
     return st.indexed_chunks(spark, f"{out}/index").select("kind", "content")
