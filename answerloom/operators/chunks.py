@@ -408,10 +408,11 @@ def route_sections(blocks: DataFrame, **markers) -> DataFrame:
 
 def chunk_corpus(blocks: DataFrame, documents: DataFrame, size: int = 160, overlap: int = 20, faq_openings=lex.QUESTION_OPENINGS,
                  exception_markers=lex.EXCEPTION_MARKERS, **markers) -> tuple[DataFrame, DataFrame]:
-    """CHK-8: every block to its strategy, draft order kept. A version with a structural error yields no chunks."""
+    """CHK-8: every block to its strategy, draft order kept. A version with a structural error yields no chunks; a repeated
+    block ordinal fails the whole set."""
     typed = blocks.join(documents.select("version_id", "knowledge_type"), "version_id")
     # Written once: every strategy then scans only its own blocks instead of repeating parsing, shuffle and routing.
-    routed = durable(route_sections(typed, **markers))
+    routed = require_unique_ordinals(durable(route_sections(typed, **markers)))
 
     def of(name: str) -> DataFrame:
         return routed.where(F.col("strategy") == name).drop("strategy", "knowledge_type")

@@ -43,11 +43,8 @@ def _alphanumeric(c: Column) -> Column:
     return fold(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
 
 
-def token_coverage(claim: Column, evidence: Column) -> Column:
-    def share(own: Column) -> Column:
-        return F.when(F.size(own) > 0, F.size(F.array_intersect(own, semantic_tokens(evidence))) / F.size(own)).otherwise(F.lit(0.0))
-
-    return bind(semantic_tokens(claim), share)
+def token_coverage(claim: Column, evidence_tokens: Column) -> Column:
+    return bind(semantic_tokens(claim), lambda own: F.when(F.size(own) > 0, F.size(F.array_intersect(own, evidence_tokens)) / F.size(own)).otherwise(F.lit(0.0)))
 
 
 def polarities(text: Column, predicate: str, negations=lex.NEGATIONS, window: int = 8) -> Column:
@@ -77,32 +74,45 @@ def polarity_conflict(claim: Column, evidence: Column, predicates=lex.PREDICATES
     return reduce(lambda x, y: x | y, [clash(p) for p in predicates])
 
 
-def attach_evidence(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Claim rows with the texts of their evidence ids joined in id order (a claim cites at most ten).
+def evidence_facts(text: Column, number: str = lex.NUMBER_PATTERN) -> Column:
+    """What the rules need of an evidence text, made once however many claims cite it."""
+    return F.struct(_alphanumeric(text).alias("norm"), F.regexp_extract_all(text, F.lit(number), F.lit(0)).alias("numbers"), semantic_tokens(text).alias("tokens"))
+
+
+def attach_evidence(claims: DataFrame, evidence: DataFrame, number: str = lex.NUMBER_PATTERN) -> DataFrame:
+    """Claim rows with the texts of their evidence ids joined in id order (a claim cites at most ten), and their facts.
 
-    ``claims``: answer_id, claim_no, claim, evidence_ids; ``evidence``: answer_id, evidence_id, content.
+    ``claims``: answer_id, claim_no, claim, evidence_ids; ``evidence``: answer_id, evidence_id, content. Claims of an answer
+    that cite the same ids travel as one row, so a text crosses a shuffle and is read once for all of them.
     """
-    ids = claims.select("answer_id", "claim_no", F.posexplode("evidence_ids").alias("_p", "evidence_id"))
-    texts = ids.join(evidence.select("answer_id", "evidence_id", "content"), ["answer_id", "evidence_id"], "left").groupBy("answer_id", "claim_no").agg(
+    key = ["answer_id", "evidence_ids"]
+    rest = [c for c in claims.columns if c not in key]
+    groups = claims.groupBy(*key).agg(F.collect_list(F.struct(*rest)).alias("_claims"))
+    ids = groups.select(*key, F.posexplode("evidence_ids").alias("_p", "evidence_id"))
+    texts = ids.join(evidence.select("answer_id", "evidence_id", "content"), ["answer_id", "evidence_id"], "left").groupBy(*key).agg(
         F.array_join(grouped_list(F.coalesce("content", F.lit("")), F.col("_p")), "\n").alias("evidence_text"))
-    return claims.join(texts, ["answer_id", "claim_no"], "left").withColumn("evidence_text", F.coalesce("evidence_text", F.lit("")))
+    joined = groups.join(texts, key, "left").withColumn("evidence_text", F.coalesce("evidence_text", F.lit("")))
+    facts = joined.withColumn("_facts", evidence_facts(F.col("evidence_text"), number))
+    return facts.select(*key, F.explode("_claims").alias("_c"), "evidence_text", "_facts").select(
+        *[F.col(c) if c in key else F.col(f"_c.{c}").alias(c) for c in claims.columns], "evidence_text", "_facts")
 
 
 def hard_rules(rows: DataFrame, number: str = lex.NUMBER_PATTERN, predicates=lex.PREDICATES, negations=lex.NEGATIONS) -> DataFrame:
-    """CLM-2 on rows with ``claim`` and ``evidence_text``; status stays NULL when no rule decides."""
+    """CLM-2 on rows of ``attach_evidence`` (or with ``claim`` and ``evidence_text``); status stays NULL when no rule decides."""
     claim, text = F.col("claim"), F.col("evidence_text")
+    rows = rows if "_facts" in rows.columns else rows.withColumn("_facts", evidence_facts(text, number))
     numbers = lambda c: F.regexp_extract_all(c, F.lit(number), F.lit(0))
-    rated = rows.withColumn("_norm", _alphanumeric(claim)).withColumn("coverage", token_coverage(claim, text))
+    rated = rows.withColumn("_norm", _alphanumeric(claim)).withColumn("coverage", token_coverage(claim, F.col("_facts.tokens")))
     reason = (
         F.when(is_blank(text), "missing_evidence_content")
-        .when((F.length("_norm") > 0) & F.contains(_alphanumeric(text), F.col("_norm")), "exact_match")
-        .when(F.size(F.array_except(numbers(claim), numbers(text))) > 0, "numeric_fact_missing")
+        .when((F.length("_norm") > 0) & F.contains(F.col("_facts.norm"), F.col("_norm")), "exact_match")
+        .when(F.size(F.array_except(numbers(claim), F.col("_facts.numbers"))) > 0, "numeric_fact_missing")
         .when((F.col("coverage") >= SUPPORTED_AT) & polarity_conflict(claim, text, predicates, negations), "negation_conflict"))
     out = rated.withColumn("reason_code", reason)
     status = F.when(F.col("reason_code") == "exact_match", "supported").when(F.col("reason_code") == "negation_conflict", "conflict").when(
         F.col("reason_code").isNotNull(), "unsupported")
     score = F.when(F.col("reason_code") == "exact_match", 1.0).when(F.col("reason_code").isin("missing_evidence_content", "numeric_fact_missing"), 0.0).otherwise(F.col("coverage"))
-    return out.withColumn("status", status).withColumn("support_score", score).drop("_norm")
+    return out.withColumn("status", status).withColumn("support_score", score).drop("_norm", "_facts")
 
 
 def coverage_verdict(rows: DataFrame) -> DataFrame:

@@ -68,7 +68,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0), dot / norm)
 
 
-HITS = "query_id long, chunk_id long, score double"
+BLOCK_BYTES = 64 << 20
+
+
+def _hits(vectors: DataFrame, queries: DataFrame) -> str:
+    return f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(vectors.dtypes)['vec_id']}, score double"
 
 
 def _unit(rows) -> np.ndarray:
@@ -83,11 +87,18 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     if len(ok) > k:
         cut = -np.partition(-scores[ok], k - 1)[k - 1]
         ok = ok[scores[ok] >= cut]
-    return ok[np.lexsort((ids[ok], -scores[ok]))[:k]]
+    names = ids[ok].astype(str) if ids.dtype == object else ids[ok]
+    return ok[np.lexsort((names, -scores[ok]))[:k]]
 
 
 def _block_hits(vec: pd.DataFrame, ask: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Exact top-k of one block of vectors for one block of queries: a matrix product, never a list of pairs."""
+    """Exact top-k of one block of vectors for one block of queries, in steps whose scores fit BLOCK_BYTES."""
+    step = max(1, BLOCK_BYTES // (8 * max(1, len(vec))))
+    return pd.concat([_step_hits(vec, ask.iloc[at:at + step], k) for at in range(0, len(ask), step)])
+
+
+def _step_hits(vec: pd.DataFrame, ask: pd.DataFrame, k: int) -> pd.DataFrame:
+    """A matrix product, never a list of pairs."""
     width = len(ask["vector"].iloc[0])
     vec = vec[vec["embedding"].map(lambda v: v is not None and len(v) == width)]
     if vec.empty:
@@ -123,10 +134,11 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_
     A query set that fits goes to every task once; each Arrow batch becomes a matrix product and hands on k rows per
     query. A larger set meets hashed shards of the vectors, so neither side, nor one hot domain, sits in one task.
     """
+    hits = _hits(vectors, queries)
     if fits_broadcast(queries, max_query_rows):
         asked = queries.toPandas()
         if asked.empty:
-            return vectors.sparkSession.createDataFrame([], HITS + ", rank int")
+            return vectors.sparkSession.createDataFrame([], hits + ", rank int")
         by_domain = vectors.sparkSession.sparkContext.broadcast({d: g.reset_index(drop=True) for d, g in asked.groupby("domain")})
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +148,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_
                     if ask is not None:
                         yield _block_hits(rows, ask, k)
 
-        near = vectors.join(F.broadcast(queries.select("domain").distinct()), "domain", "left_semi").mapInPandas(scan, HITS)
+        near = vectors.join(F.broadcast(queries.select("domain").distinct()), "domain", "left_semi").mapInPandas(scan, hits)
     else:
         largest = vectors.groupBy("domain").count().agg(F.max("count")).first()[0] or 0
         shards = max(1, -(-largest // rows_per_shard))
@@ -152,12 +164,14 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_
             return _block_hits(a, b, k)
 
         keys = ["domain", "_shard", "_block"]
-        near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, HITS)
+        near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, hits)
     return top_k(near, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
-def vector_search_lsh(vectors: DataFrame, queries: DataFrame, k: int = 20, distance: float = 1.2, tables: int = 4, bucket: float = 1.0, seed: int = 7) -> DataFrame:
-    """VEC-5: random-projection buckets give candidates on unit vectors, the exact cosine ranks them."""
+def vector_search_lsh(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8, bucket: float = 2.0, seed: int = 7) -> DataFrame:
+    """VEC-5: random-projection buckets give candidates on unit vectors; domain, scopes and whitelist hold as in the exact
+    search before the exact cosine ranks them. A query whose buckets hold fewer than ``k`` allowed vectors is searched
+    exactly, so no answer comes back short."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -165,16 +179,23 @@ def vector_search_lsh(vectors: DataFrame, queries: DataFrame, k: int = 20, dista
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
         return F.transform(v, lambda x: x.cast("double") / norm)
 
-    left = queries.select("query_id", F.col("domain").alias("_qd"), array_to_vector(unit(F.col("vector"))).alias("features"))
-    right = vectors.select("vec_id", "domain", array_to_vector(unit(F.col("embedding"))).alias("features"))
+    limits = [c for c in ("allowed_scopes", "index_version_ids") if c in queries.columns]
+    marks = [c for c in ("access_scope", "index_version_id") if c in vectors.columns]
+    left = queries.select("query_id", "domain", *limits, array_to_vector(unit(F.col("vector"))).alias("features"))
+    right = vectors.select("vec_id", "domain", *marks, array_to_vector(unit(F.col("embedding"))).alias("features"))
     lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed)
-    model = lsh.fit(right)
-    pairs = model.approxSimilarityJoin(left, right, distance, distCol="_dist").select(
-        F.col("datasetA.query_id").alias("query_id"), F.col("datasetA._qd").alias("_qd"),
-        F.col("datasetB.vec_id").alias("chunk_id"), F.col("datasetB.domain").alias("_vd"), "_dist",
-    ).where(F.col("_qd") == F.col("_vd"))
-    scored = pairs.select("query_id", "chunk_id", F.round(1 - F.col("_dist") * F.col("_dist") / 2, 9).alias("score"))
-    return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
+    pairs = lsh.fit(right).approxSimilarityJoin(left, right, 2.1, distCol="_dist")  # unit vectors are at most 2 apart
+    allowed = F.col("datasetA.domain") == F.col("datasetB.domain")
+    if "access_scope" in marks and "allowed_scopes" in limits:
+        allowed = allowed & F.arrays_overlap("datasetA.allowed_scopes", "datasetB.access_scope")
+    if "index_version_id" in marks and "index_version_ids" in limits:
+        allowed = allowed & F.array_contains(F.col("datasetA.index_version_ids"), F.col("datasetB.index_version_id"))
+    scored = pairs.where(allowed).select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vec_id").alias("chunk_id"),
+                                         F.round(1 - F.col("_dist") * F.col("_dist") / 2, 9).alias("score"))
+    near = top_k(scored, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
+    filled = near.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+    rest = vector_search(vectors, queries.join(filled, "query_id", "left_anti"), k)
+    return near.join(filled, "query_id", "left_semi").unionByName(rest.select(*near.columns))
 
 
 def recall_against(exact: DataFrame, approximate: DataFrame) -> DataFrame:

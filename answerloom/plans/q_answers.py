@@ -22,10 +22,9 @@ def tokens_sql(x):
 
 
 # Every document is the evidence of an answer; its claims are made from the whole text.
-CLAIMS = rf"""fl AS (SELECT doc_id AS answer_id, text AS line, '支持退款。' || text AS content FROM documents),
-cs AS (SELECT answer_id, content, unnest([line, line || ' 77777元', array_to_string(list_reverse(string_split(line, ' ')), ' '), '不支持退款 ' || line, line, array_to_string(list_reverse(string_split(line, ' ')), ' ') || ' qqq wwq eeq rrq ttq']) AS claim, unnest([0, 1, 2, 3, 4, 5]) AS claim_no FROM fl),
-ce AS (SELECT answer_id, claim_no, claim, CASE WHEN claim_no = 4 THEN '' ELSE content END AS ev FROM cs),
-ct AS (SELECT *, {tokens_sql('claim')} AS a, {tokens_sql('ev')} AS b, regexp_replace({FOLD.format('claim')}, '[^\p{{L}}\p{{N}}]+', '', 'g') AS nc, regexp_replace({FOLD.format('ev')}, '[^\p{{L}}\p{{N}}]+', '', 'g') AS ne FROM ce),
+CLAIMS = rf"""fl AS MATERIALIZED (SELECT doc_id AS answer_id, text AS line, '支持退款。' || text AS content, {tokens_sql("('支持退款。' || text)")} AS own, regexp_replace({FOLD.format("'支持退款。' || text")}, '[^\p{{L}}\p{{N}}]+', '', 'g') AS plain FROM documents),
+cs AS (SELECT answer_id, content, own, plain, unnest([line, line || ' 77777元', array_to_string(list_reverse(string_split(line, ' ')), ' '), '不支持退款 ' || line, line, array_to_string(list_reverse(string_split(line, ' ')), ' ') || ' qqq wwq eeq rrq ttq']) AS claim, unnest([0, 1, 2, 3, 4, 5]) AS claim_no FROM fl),
+ct AS (SELECT answer_id, claim_no, claim, CASE WHEN claim_no = 4 THEN '' ELSE content END AS ev, {tokens_sql('claim')} AS a, CASE WHEN claim_no = 4 THEN [] ELSE own END AS b, regexp_replace({FOLD.format('claim')}, '[^\p{{L}}\p{{N}}]+', '', 'g') AS nc, CASE WHEN claim_no = 4 THEN '' ELSE plain END AS ne FROM cs),
 cc AS (SELECT answer_id, claim_no, claim, nc, ne, ev, CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a) END AS coverage FROM ct),
 hr AS (SELECT answer_id, claim_no, claim, coverage, CASE WHEN ev = '' THEN 'missing_evidence_content' WHEN nc <> '' AND contains(ne, nc) THEN 'exact_match' WHEN claim_no = 1 AND NOT contains(ev, '77777') THEN 'numeric_fact_missing'
    WHEN claim_no = 3 AND coverage >= 0.55 THEN 'negation_conflict' ELSE '' END AS reason FROM cc),

@@ -139,9 +139,10 @@ def q_delete_generation(spark, d):
 def q_replace_version_rows(spark, d):
     path = scratch(spark, "blocks")
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    sinks.replace_partition(docs.select("doc_id", "lang", F.lit(1).alias("revision")), path, "lang")
-    redo = docs.where("lang in ('fr', 'de') and n_chars % 2 = 0")
-    sinks.replace_partition(redo.select("doc_id", "lang", F.lit(2).alias("revision")), path, "lang")
+    sinks.replace_versions(docs.select("doc_id", "lang", F.lit(1).alias("revision")), path, "doc_id")
+    again = docs.where("lang in ('fr', 'de')")
+    redo = again.where("n_chars % 2 = 0")
+    sinks.replace_versions(redo.select("doc_id", "lang", F.lit(2).alias("revision")), path, "doc_id", again)
     return spark.read.parquet(path).select("doc_id", "lang", "revision")
 
 

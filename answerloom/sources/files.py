@@ -1,6 +1,8 @@
 """File, case-set, structured-output and manifest readers. Bad input stays a row with an error code."""
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,11 +83,24 @@ def require_unique(cases: DataFrame, key: str) -> DataFrame:
     return cases
 
 
+def _has_unknown_keys(raw: Column, kind: T.DataType) -> Column:
+    """Whether JSON text has keys that its type doesn't declare, at any level."""
+    if isinstance(kind, T.ArrayType):
+        if not isinstance(kind.elementType, (T.ArrayType, T.StructType)):
+            return F.lit(False)
+        return F.coalesce(F.exists(F.from_json(raw, "array<string>"), lambda e: _has_unknown_keys(e, kind.elementType)), F.lit(False))
+    if not isinstance(kind, T.StructType):
+        return F.lit(False)
+    own = F.size(F.array_except(F.json_object_keys(raw), F.array(*[F.lit(f.name) for f in kind.fields]).cast("array<string>"))) > 0
+    inner = [_has_unknown_keys(F.get_json_object(raw, f"$['{f.name}']"), f.dataType) for f in kind.fields if isinstance(f.dataType, (T.ArrayType, T.StructType))]
+    return reduce(lambda a, b: a | b, inner, F.coalesce(own, F.lit(False)))
+
+
 def parse_structured(df: DataFrame, column: str, schema: T.StructType, required: list[str] | None = None,
                      valid: Column | None = None) -> DataFrame:
     """SRC-4: JSON text to a typed struct, or exactly one of two error codes.
 
-    Unknown keys, missing required keys, a wrong type, or a false cross-field rule break the schema.
+    Unknown keys at any level, missing required keys, a wrong type, or a false cross-field rule break the schema.
     """
     raw = F.col(column)
     keys = F.json_object_keys(raw)
@@ -94,14 +109,13 @@ def parse_structured(df: DataFrame, column: str, schema: T.StructType, required:
         (F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1)
         & (F.size(F.json_object_keys(F.concat(F.lit('{"v":'), raw, F.lit("}")))) == 1)
     )
-    declared = F.array(*[F.lit(f.name) for f in schema.fields])
     needed = F.array(*[F.lit(n) for n in (required or [])]).cast("array<string>")
     corrupt = T.StructType(schema.fields + [T.StructField("_bad", T.StringType())])
     parsed = F.from_json(raw, corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     out = df.withColumn("_p", parsed).withColumn("_keys", keys)
     shape = (
         F.col("_keys").isNotNull() & F.col("_p._bad").isNull()
-        & (F.size(F.array_except("_keys", declared)) == 0) & (F.size(F.array_except(needed, F.col("_keys"))) == 0)
+        & ~_has_unknown_keys(raw, schema) & (F.size(F.array_except(needed, F.col("_keys"))) == 0)
     )
     out = out.withColumn("value", F.struct(*[F.col(f"_p.{f.name}").alias(f.name) for f in schema.fields]))
     ok = F.coalesce(shape & (valid if valid is not None else F.lit(True)), F.lit(False))

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scale import last_per_key
+from ..session import durable
 
 
 def _fs(spark: SparkSession, path: str):
@@ -57,6 +58,19 @@ def delete_where(base: DataFrame, keys: DataFrame) -> DataFrame:
     return base.join(keys, keys.columns, "left_anti")
 
 
-def replace_partition(df: DataFrame, path: str, column: str) -> None:
-    """SNK-4: only the partitions present in ``df`` are replaced."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+def replace_versions(df: DataFrame, path: str, column: str, replaced: DataFrame | None = None, buckets: int = 64) -> None:
+    """SNK-4: rows of the ``replaced`` versions (of those in ``df`` unless given) make way for ``df``; a version that comes
+    back without rows loses its old ones. Versions share a fixed number of hash buckets, and only touched ones are written."""
+    spark = df.sparkSession
+    bucket = F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(buckets)).cast("int")
+    gone = (df if replaced is None else replaced).select(column).distinct()
+    new = df.withColumn("_bucket", bucket)
+    if _exists(spark, path):
+        touched = gone.select(bucket.alias("_bucket")).unionByName(new.select("_bucket")).distinct()
+        kept = spark.read.parquet(path).join(touched, "_bucket", "left_semi").join(gone, column, "left_anti")
+        new = durable(new.unionByName(kept.select(*new.columns)))
+        empty = touched.join(new.select("_bucket"), "_bucket", "left_anti").collect()  # at most ``buckets`` rows
+        fs, _ = _fs(spark, path)
+        for row in empty:
+            fs.delete(_fs(spark, f"{path}/_bucket={row[0]}")[1], True)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)

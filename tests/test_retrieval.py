@@ -90,6 +90,16 @@ def test_lsh_recall(spark):
     assert recall >= 0.6
 
 
+def test_lsh_keeps_scopes_and_string_ids(spark):
+    vectors = spark.createDataFrame([(f"v{i:02d}", [1.0, i / 30], 0, ["staff"] if i % 2 else ["public"], i % 3) for i in range(30)],
+                                    "vec_id string, embedding array<double>, domain int, access_scope array<string>, index_version_id int")
+    queries = spark.createDataFrame([("q", [1.0, 0.0], 0, ["public"], [0, 1]), ("none", [1.0, 0.0], 0, ["other"], [0])],
+                                    "query_id string, vector array<double>, domain int, allowed_scopes array<string>, index_version_ids array<int>")
+    exact = sorted((r.query_id, r.chunk_id) for r in vec.vector_search(vectors, queries, 4).collect())
+    assert exact == [("q", f"v{i:02d}") for i in (0, 4, 6, 10)]
+    assert sorted((r.query_id, r.chunk_id) for r in vec.vector_search_lsh(vectors, queries, 4).collect()) == exact
+
+
 def test_hash_embed_is_unit_and_near(spark):
     texts = spark.createDataFrame([(1, "怎么取消大会员自动续费"), (2, "大会员连续包月取消自动续费"), (3, "稿件被下架如何申诉"), (4, "…")], "chunk_id int, text string")
     rows = {r.chunk_id: np.array(r.vector) for r in vec.hash_embed(texts, "text", 128).collect()}

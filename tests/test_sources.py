@@ -26,6 +26,20 @@ def test_structured(spark, raw, code):
     assert files.parse_structured(spark.createDataFrame([(raw,)], "raw string"), "raw", schema, ["a"]).first().error_code == code
 
 
+@pytest.mark.parametrize("raw, code", [('{"a":{"b":1},"l":[{"c":"x"}]}', None), ('{"a":{"b":1,"z":2}}', "schema_validation_failed"), ('{"l":[{"c":"x"},{"d":1}]}', "schema_validation_failed"), ('{"a":null,"l":[]}', None)])
+def test_unknown_nested_keys(spark, raw, code):
+    schema = T.StructType([T.StructField("a", T.StructType([T.StructField("b", T.LongType())])), T.StructField("l", T.ArrayType(T.StructType([T.StructField("c", T.StringType())])))])
+    assert files.parse_structured(spark.createDataFrame([(raw,)], "raw string"), "raw", schema).first().error_code == code
+
+
+def test_empty_reparse_removes_rows(spark, tmp_path):
+    path = str(tmp_path / "v")
+    rows = lambda *x: spark.createDataFrame(list(x), "version string, n int")
+    sinks.replace_versions(rows(("a", 1), ("a", 2), ("b", 3), ("c", 4)), path, "version", buckets=3)
+    sinks.replace_versions(rows(("a", 9)), path, "version", rows(("a", 0), ("b", 0)), buckets=3)
+    assert sorted((r.version, r.n) for r in spark.read.parquet(path).collect()) == [("a", 9), ("c", 4)]
+
+
 def test_publish_reuses_complete_generation(spark, tmp_path):
     df = spark.range(3)
     assert sinks.publish_generation(df, str(tmp_path), "g1") and not sinks.publish_generation(df, str(tmp_path), "g1")
