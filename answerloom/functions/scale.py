@@ -60,9 +60,16 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return numbered.where(F.col(rank) <= k)
 
 
+SLICES = 64
+
+
 def _sliced(df: DataFrame, keys: list[str], position: Column, hot_rows: int, max_hot: int):
-    """Adds ``_pos``, ``_cuts`` (NULL for ordinary keys) and ``_slice``, the position range inside a hot key."""
-    base = df.withColumn("_pos", position.cast("double"))
+    """Adds ``_at`` (the position), ``_cuts`` (NULL for ordinary keys) and ``_slice``, the position range inside a hot key.
+
+    A hot key is cut at approximate quantiles of its positions, so ranges hold about equal numbers of rows however the
+    positions are spread. Cuts are doubles; rows are ordered by the position itself, which may be finer.
+    """
+    base = df.withColumn("_at", position).withColumn("_pos", F.col("_at").cast("double"))
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     aliases = [f"_k{i}" for i in range(len(keys))]
     renamed = [F.col(k).alias(a) for k, a in zip(keys, aliases)]
@@ -70,17 +77,16 @@ def _sliced(df: DataFrame, keys: list[str], position: Column, hot_rows: int, max
     hot = (
         base.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
-        .withColumn("_limit", F.greatest(F.lit(hot_rows).cast("double"), total / max_hot))
-        .where((F.col("_n") > F.col("_limit")) & (F.col("_hi") > F.col("_lo")))
-        .select(*renamed, "_lo", "_hi", (F.ceil(F.col("_n") / F.col("_limit")) * 4).alias("_cuts"))
+        .where((F.col("_n") > F.greatest(F.lit(hot_rows).cast("double"), total / max_hot)) & (F.col("_hi") > F.col("_lo")))
+        .select(*renamed)
+    )
+    fractions = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    cuts = (
+        base.join(F.broadcast(hot), match).groupBy(*aliases)
+        .agg(F.array_distinct(F.percentile_approx("_pos", fractions, 20 * SLICES)).alias("_cuts"))
     )
-    width = (F.col("_hi") - F.col("_lo")) / F.col("_cuts")
-    sliced = base.join(F.broadcast(hot), match, "left").withColumn(
-        "_slice",
-        F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
-            F.least(F.col("_cuts") - 1, F.floor((F.col("_pos") - F.col("_lo")) / width))
-        ).cast("int"),
-    ).drop(*aliases)
+    sliced = base.join(F.broadcast(cuts), match, "left").withColumn(
+        "_slice", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_pos"))))).drop(*aliases)
     return sliced, match, renamed, aliases
 
 
@@ -95,8 +101,8 @@ def split_rank(
 ) -> DataFrame:
     """Exact row_number per key that never sorts a hot group in one task.
 
-    ``position`` is a numeric first order key. A group above the threshold is cut into ranges of ``position`` of equal
-    width between its own minimum and maximum; each range is numbered alone and offset by the counts of the ranges
+    ``position`` is a numeric first order key. A group above the threshold is cut into ranges of ``position`` at its own
+    approximate quantiles; each range is numbered alone and offset by the counts of the ranges
     before it. The cut depends only on the data, so a retried task reproduces it. The threshold is at least
     rows/max_hot, hence at most ``max_hot`` keys are hot and their side tables are bounded by construction.
     """
@@ -107,12 +113,12 @@ def split_rank(
         .withColumn("_offset", F.coalesce(F.sum("_c").over(before), F.lit(0)))
         .select(*renamed, F.col("_slice").alias("_s"), "_offset")
     )
-    local = W.partitionBy(*keys, "_slice").orderBy(F.col("_pos"), *tiebreak)
+    local = W.partitionBy(*keys, "_slice").orderBy(F.col("_at"), *tiebreak)
     return (
         sliced.withColumn("_local", F.row_number().over(local))
         .join(F.broadcast(offsets), match & (F.col("_slice") == F.col("_s")), "left")
         .withColumn(name, (F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0))).cast("long"))
-        .drop("_pos", "_lo", "_hi", "_cuts", "_slice", "_local", "_s", "_offset", *aliases)
+        .drop("_at", "_pos", "_cuts", "_slice", "_local", "_s", "_offset", *aliases)
     )
 
 
@@ -131,11 +137,11 @@ def split_previous(
     Inside a range it is a running window; what a range hands to the next ones is one value per range.
     """
     sliced, match, renamed, aliases = _sliced(df.withColumn("_value", value), keys, position, hot_rows, max_hot)
-    local = W.partitionBy(*keys, "_slice").orderBy(F.col("_pos"), *tiebreak).rowsBetween(W.unboundedPreceding, -1)
+    local = W.partitionBy(*keys, "_slice").orderBy(F.col("_at"), *tiebreak).rowsBetween(W.unboundedPreceding, -1)
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     ends = (
         sliced.where(F.col("_cuts").isNotNull()).groupBy(*keys, "_slice")
-        .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct("_pos", *tiebreak))).alias("_end"))
+        .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct("_at", *tiebreak))).alias("_end"))
         .withColumn("_carry", F.last("_end", ignorenulls=True).over(before))
         .select(*renamed, F.col("_slice").alias("_s"), "_carry")
     )
@@ -143,7 +149,7 @@ def split_previous(
         sliced.withColumn("_near", F.last("_value", ignorenulls=True).over(local))
         .join(F.broadcast(ends), match & (F.col("_slice") == F.col("_s")), "left")
         .withColumn(name, F.coalesce("_near", "_carry"))
-        .drop("_value", "_pos", "_lo", "_hi", "_cuts", "_slice", "_near", "_s", "_carry", *aliases)
+        .drop("_value", "_at", "_pos", "_cuts", "_slice", "_near", "_s", "_carry", *aliases)
     )
 
 

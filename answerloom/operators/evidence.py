@@ -230,13 +230,19 @@ def trace_rollup(views: DataFrame) -> DataFrame:
 
     ``views``: question_id, position, domain, failed_sources, degraded, child_hits, rerank_enabled, rerank_applied,
     rerank_candidates, rerank_latency_ms."""
-    at = F.col("position")
-    return views.groupBy("question_id").agg(
-        grouped_list(F.col("domain"), at, distinct=True).alias("domains"),
-        F.array_distinct(F.flatten(grouped_list(F.col("failed_sources"), at))).alias("failed_sources"),
+    def in_order(rows: DataFrame, name: str, out: str) -> DataFrame:
+        """Names by first place: one row per name meets in the list, not one per view."""
+        first = rows.groupBy("question_id", name).agg(F.min("_at").alias("_at"))
+        return first.groupBy("question_id").agg(grouped_list(F.col(name), F.col("_at")).alias(out))
+
+    domains = in_order(views.select("question_id", "domain", F.col("position").alias("_at")), "domain", "domains")
+    failed = views.select("question_id", "position", F.posexplode("failed_sources").alias("_p", "_s")).select("question_id", "_s", F.struct("position", "_p").alias("_at"))
+    sums = views.groupBy("question_id").agg(
         F.bool_or("degraded").alias("degraded"), F.sum("child_hits").alias("child_hits"), F.bool_or("rerank_enabled").alias("rerank_enabled"),
         F.coalesce(F.bool_and(F.when(F.col("rerank_enabled"), F.col("rerank_applied"))), F.lit(False)).alias("rerank_applied"),
         F.sum("rerank_candidates").alias("rerank_candidates"), F.sum(F.coalesce("rerank_latency_ms", F.lit(0.0))).alias("rerank_latency_ms"))
+    out = sums.join(domains, "question_id").join(in_order(failed, "_s", "failed_sources"), "question_id", "left")
+    return out.withColumn("failed_sources", F.coalesce("failed_sources", F.array().cast(NO_NAMES)))
 
 
 def attach_grounding(traces: DataFrame, verdicts: DataFrame) -> DataFrame:
