@@ -33,17 +33,14 @@ POLICIES = (("membership-query-v2", 2, "membership", "query"), ("global-conserva
 # Claim checking.
 NEGATIONS = ("不支持", "不能", "不会", "不得", "无法", "未", "没有", "不可")
 PREDICATES = ("退款", "退费", "转移", "到账", "显示", "续费", "生效", "支持", "扣费", "封禁", "登录", "支付", "取消")
-NUMBER_PATTERN = r"[\p{Nd}]+(?:\.[\p{Nd}]+)?(?:%|分钟|小时|天|元|个月|年)?"
+NUMBER_PATTERN = r"(?U)\d+(?:\.\d+)?(?:%|分钟|小时|天|元|个月|年)?"
 HARD_FAILURES = ("missing_evidence_content", "numeric_fact_missing", "negation_conflict")
 
 # Follow-up rewriting.
 REWRITE_ENTITIES = ("移动", "联通", "电信")
 REWRITE_TOPICS = ("大会员", "自动续费", "会员", "订单", "账号", "创作激励", "稿件", "视频", "评论", "弹幕", "直播", "客户端", "电视端")
-ELLIPSIS_CORE = (
-    "多少钱|什么价格|价格(?:呢|是多少)?|怎么收费|多久(?:生效)?|什么时候生效|能做什么|有什么用|权益(?:呢|有哪些)?|怎么取消|能退款吗|可以退款吗"
-)
-REWRITE_ELLIPSIS = f"^(?:这个|它|那)?(?:{ELLIPSIS_CORE})[？?。！!]*$"
-CONTEXT_ELLIPSIS = f"^(?:这个|它|那)?(?:{ELLIPSIS_CORE}|怎么办)[？?。！!]*$"
+REWRITE_ELLIPSIS = "^(?:这个|它|那)?(?:多少钱|什么价格|价格(?:呢|是多少)?|怎么收费|多久(?:生效)?|什么时候生效|能做什么|有什么用|权益(?:呢|有哪些)?|怎么取消|能退款吗|可以退款吗)[？?。！!]*$"
+CONTEXT_ELLIPSIS = "^(?:这个|它|那)?(?:多少钱|什么价格|价格(?:呢|是多少)?|怎么收费|多久(?:生效)?|什么时候生效|能做什么|有什么用|权益(?:呢|有哪些)?|怎么取消|能退款吗|可以退款吗|怎么办)[？?。！!]*$"
 RESET_PHRASE = r"(?U)^(?:换个问题|先不说这个|重新问|新问题)[，,:：\s]*(.*)$"
 DOMAIN_LABELS = {
     "membership": "大会员", "order": "订单", "account": "账号", "creator": "创作者业务", "content": "内容", "community": "社区功能",
@@ -97,3 +94,19 @@ ASK_WEAK = "当前证据相关性有限，请补充更具体的产品、套餐
 
 # Audit codes after which a checkpoint may be retried.
 RETRYABLE_CODES = ("MODEL_UNAVAILABLE", "SERVICE_NOT_READY", "INTERNAL_ERROR")
+
+# Lines of manuals, frequently asked questions and table rows.
+STEP_LINE = r"(?U)^\s*(?:(?:第\s*)?(\d+)\s*(?:步|[.、)]))[ \t]*(.+)$"
+BULLET_LINE = r"(?U)^\s*[-*•]\s+(.+)$"
+ROW_PREFIX = r"(?U)^第(\d+)行[：:]\s*"
+QUESTION_LINE = r"(?iU)^\s*(?:问|Q)\s*[：:]\s*(.+?)\s*$"
+ANSWER_LINE = r"(?iU)^\s*(?:答|A)\s*[：:]\s*(.*?)\s*$"
+KEYWORD_LINE = r"(?iU)^\s*(?:关键词|关键字|keywords?)\s*[：:]\s*(.*?)\s*$"
+QUESTION_LABEL = r"(?iU)^\s*(?:问|Q)[：:]\s*"
+QUESTION_LABELS = ("问：", "问:", "Q:", "Q：")
+QUESTION_ENDINGS = ("？", "?", "吗", "么")
+
+# Texts asked or shown for missing entities.
+SUPPLEMENT_LINE = "\n重点检索对象："
+UNCOVERED_BEFORE = "当前资料尚未覆盖："
+UNCOVERED_AFTER = "。请确认要重点了解哪一项？"

@@ -17,14 +17,6 @@ from ..functions.scale import grouped_list
 from ..session import durable
 from ..functions.text import bind, contains_any, fold, rstrip, split_after, split_lines, strip
 
-STEP_LINE = r"(?U)^\s*(?:(?:第\s*)?(\d+)\s*(?:步|[.、)]))[ \t]*(.+)$"
-BULLET_LINE = r"(?U)^\s*[-*•]\s+(.+)$"
-ROW_PREFIX = r"(?U)^第(\d+)行[：:]\s*"
-QUESTION_LINE = r"(?iU)^\s*(?:问|Q)\s*[：:]\s*(.+?)\s*$"
-ANSWER_LINE = r"(?iU)^\s*(?:答|A)\s*[：:]\s*(.*?)\s*$"
-KEYWORD_LINE = r"(?iU)^\s*(?:关键词|关键字|keywords?)\s*[：:]\s*(.*?)\s*$"
-QUESTION_LABEL = r"(?iU)^\s*(?:问|Q)[：:]\s*"
-
 DRAFT = (
     "struct<local_id:string,kind:string,content:string,source_block_ordinal:int,parent_local_id:string,strategy:string,"
     "heading_path:array<string>,page_numbers:array<int>,source_block_ordinals:array<int>,body_char_count:int,"
@@ -144,7 +136,7 @@ def chunk_table(blocks: DataFrame) -> DataFrame:
     rows = F.filter(split_lines(F.col("content")), lambda x: F.length(strip(x)) > 0)
     body = blocks.where(F.col("block_type") == "table").select(
         "version_id", "ordinal", "content", "heading_path", _pages(F.col("page_number")).alias("pages"),
-        _run(blocks).alias("run"), F.transform(rows, lambda x: F.regexp_replace(strip(x), ROW_PREFIX, "")).alias("_rows"),
+        _run(blocks).alias("run"), F.transform(rows, lambda x: F.regexp_replace(strip(x), lex.ROW_PREFIX, "")).alias("_rows"),
     ).where((F.size("_rows") > 0) & F.forall("_rows", lambda r: F.length(r) > 0))
     num = F.col("ordinal").cast("string")
     parent_id = F.concat(F.lit("table-parent-"), num)
@@ -166,7 +158,7 @@ def chunk_table(blocks: DataFrame) -> DataFrame:
 
 def table_errors(blocks: DataFrame) -> DataFrame:
     rows = F.filter(split_lines(F.col("content")), lambda x: F.length(strip(x)) > 0)
-    clean = F.transform(rows, lambda x: F.regexp_replace(strip(x), ROW_PREFIX, ""))
+    clean = F.transform(rows, lambda x: F.regexp_replace(strip(x), lex.ROW_PREFIX, ""))
     bad = (F.size(clean) == 0) | F.exists(clean, lambda r: F.length(r) == 0)
     return blocks.where((F.col("block_type") == "table") & bad).select("version_id", "ordinal", F.lit("no_valid_rows").alias("error"))
 
@@ -174,13 +166,13 @@ def table_errors(blocks: DataFrame) -> DataFrame:
 # --- faq -------------------------------------------------------------------------------------------------------------
 
 def _strip_label(text: Column) -> Column:
-    return strip(F.regexp_replace(text, QUESTION_LABEL, ""))
+    return strip(F.regexp_replace(text, lex.QUESTION_LABEL, ""))
 
 
 def _is_question(text: Column, openings) -> Column:
     bare = _strip_label(text)
-    labelled = reduce(lambda a, b: a | b, [F.startswith(strip(text), F.lit(p)) for p in ("问：", "问:", "Q:", "Q：")])
-    ends = reduce(lambda a, b: a | b, [F.endswith(bare, F.lit(p)) for p in ("？", "?", "吗", "么")])
+    labelled = reduce(lambda a, b: a | b, [F.startswith(strip(text), F.lit(p)) for p in lex.QUESTION_LABELS])
+    ends = reduce(lambda a, b: a | b, [F.endswith(bare, F.lit(p)) for p in lex.QUESTION_ENDINGS])
     starts = reduce(lambda a, b: a | b, [F.startswith(bare, F.lit(p)) for p in openings])
     return labelled | ends | starts
 
@@ -207,15 +199,15 @@ def _faq_parts(blocks: DataFrame, openings) -> tuple[DataFrame, DataFrame, DataF
         F.posexplode(F.when(head, F.array("content")).otherwise(split_lines(F.col("content")))).alias("_line", "_raw"),
     ).withColumn("_text", strip("_raw")).where(F.length("_text") > 0)
     kind = (
-        F.when(F.col("_head"), "question").when(F.rlike("_text", F.lit(QUESTION_LINE)), "question")
-        .when(F.rlike("_text", F.lit(ANSWER_LINE)), "answer").when(F.rlike("_text", F.lit(KEYWORD_LINE)), "keywords")
+        F.when(F.col("_head"), "question").when(F.rlike("_text", F.lit(lex.QUESTION_LINE)), "question")
+        .when(F.rlike("_text", F.lit(lex.ANSWER_LINE)), "answer").when(F.rlike("_text", F.lit(lex.KEYWORD_LINE)), "keywords")
         .otherwise("plain")
     )
     value = (
         F.when(F.col("_head"), _strip_label(F.col("_text")))
-        .when(F.col("_kind") == "question", strip(F.regexp_extract("_text", QUESTION_LINE, 1)))
-        .when(F.col("_kind") == "answer", strip(F.regexp_extract("_text", ANSWER_LINE, 1)))
-        .when(F.col("_kind") == "keywords", F.regexp_extract("_text", KEYWORD_LINE, 1)).otherwise(F.col("_text"))
+        .when(F.col("_kind") == "question", strip(F.regexp_extract("_text", lex.QUESTION_LINE, 1)))
+        .when(F.col("_kind") == "answer", strip(F.regexp_extract("_text", lex.ANSWER_LINE, 1)))
+        .when(F.col("_kind") == "keywords", F.regexp_extract("_text", lex.KEYWORD_LINE, 1)).otherwise(F.col("_text"))
     )
     order = W.partitionBy("version_id", "run").orderBy("ordinal", "_line")
     marked = lines.withColumn("_kind", kind).withColumn("_value", value).withColumn(
@@ -318,13 +310,13 @@ def _manual_parts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     facts = _group_facts(path_groups(blocks))
 
     def lines(b: Column) -> Column:
-        numbered = lambda t: F.rlike(t, F.lit(STEP_LINE))
-        bullet = lambda t: F.rlike(t, F.lit(BULLET_LINE))
+        numbered = lambda t: F.rlike(t, F.lit(lex.STEP_LINE))
+        bullet = lambda t: F.rlike(t, F.lit(lex.BULLET_LINE))
 
         def one(raw: Column) -> Column:
             t = strip(raw)
-            step = F.when(numbered(t), strip(F.regexp_extract(t, STEP_LINE, 2))).when(
-                bullet(t), strip(F.regexp_extract(t, BULLET_LINE, 1)))
+            step = F.when(numbered(t), strip(F.regexp_extract(t, lex.STEP_LINE, 2))).when(
+                bullet(t), strip(F.regexp_extract(t, lex.BULLET_LINE, 1)))
             return F.struct(b["ordinal"].alias("ordinal"), step.alias("step"), F.when(step.isNull(), t).alias("note"))
 
         listed = F.array(F.struct(b["ordinal"].alias("ordinal"), strip(b["content"]).alias("step"),

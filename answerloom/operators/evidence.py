@@ -74,7 +74,7 @@ def coverage_order(required: DataFrame, parents: DataFrame, k: int) -> DataFrame
 def supplemental_queries(queries: DataFrame, cover: DataFrame, limit: int = 1) -> DataFrame:
     """COV-4: the questions with missing entities, asked again with those names spelled out."""
     again = queries.join(cover.where(F.size("missing") > 0).select("query_id", "missing"), "query_id").where(F.lit(limit > 0))
-    text = F.concat(F.col("question"), F.lit("\n重点检索对象："), F.array_join("missing", "、"))
+    text = F.concat(F.col("question"), F.lit(lex.SUPPLEMENT_LINE), F.array_join("missing", "、"))
     return again.withColumn("supplemental_query", text).drop("missing")
 
 
@@ -143,7 +143,7 @@ def decide_quality(scored: DataFrame, bands: DataFrame, minimum: int = 1) -> Dat
     decision = F.when(F.col("reason_code").isin("no_evidence", "low_quality"), "refuse").when(
         F.col("reason_code") == "quality_accepted", "answer").otherwise("clarify")
     ask = F.when(F.col("reason_code") == "missing_entity_coverage", F.concat(
-        F.lit("当前资料尚未覆盖："), F.array_join("missing", "、"), F.lit("。请确认要重点了解哪一项？"))).when(
+        F.lit(lex.UNCOVERED_BEFORE), F.array_join("missing", "、"), F.lit(lex.UNCOVERED_AFTER))).when(
         F.col("reason_code") == "weak_evidence", lex.ASK_WEAK)
     return out.withColumn("decision", decision).withColumn("clarification_question", ask).drop("answer", "clarify")
 
