@@ -33,10 +33,10 @@ POSITIVES, UNLABELLED = 2_000, 6_000
 LEAST_DOCUMENTS = 5
 """Positives a feature must occur in."""
 LEAST_Z = 4.0
-VOCABULARY = 2_000
+VOCABULARY = 400
 CACHED_WORDS = 200_000
+SHARDS = 16
 THRESHOLD = 0.7
-RECALL = 0.99
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -85,18 +85,49 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(levels(counts)) + self.shift, -40, 40))))
 
 
-def select_features(positive: list[set[str]], unlabelled: list[set[str]]) -> list[str]:
-    """Features that occur significantly (LEAST_Z) and at least twice as often in the positives; VOCABULARY at most."""
-    p, u = Counter(f for s in positive for f in s), Counter(f for s in unlabelled for f in s)
-    n_p, n_u, found = len(positive), len(unlabelled), {}
+def scores(p: dict[str, int], u: dict[str, int], n_p: int, n_u: int) -> dict[str, float]:
+    """z values of the features that occur significantly (LEAST_Z) and at least twice as often in the positives."""
+    found = {}
     for name, n in p.items():
-        if n >= LEAST_DOCUMENTS and n / n_p >= 2 * u[name] / n_u:
-            z = (n / n_p - u[name] / n_u) / np.sqrt((n + u[name]) / (n_p + n_u) * (1 / n_p + 1 / n_u))
+        if n >= LEAST_DOCUMENTS and n / n_p >= 2 * u.get(name, 0) / n_u:
+            z = (n / n_p - u.get(name, 0) / n_u) / np.sqrt((n + u.get(name, 0)) / (n_p + n_u) * (1 / n_p + 1 / n_u))
             if z >= LEAST_Z:
                 found[name] = z
+    return found
+
+
+def first_of(found: dict[str, float]) -> list[str]:
     return sorted(found, key=lambda f: (-found[f], f))[:VOCABULARY]
 
 
+def select_features(positive: list[set[str]], unlabelled: list[set[str]]) -> list[str]:
+    p, u = Counter(f for s in positive for f in s), Counter(f for s in unlabelled for f in s)
+    return first_of(scores(p, u, len(positive), len(unlabelled)))
+
+
+def restricted(positive: list[str], unlabelled: list[str]) -> tuple[list[set[str]], list[set[str]]]:
+    """Feature sets of samples (distinct words, joined by spaces), reduced to the significant features.
+
+    Words are counted by shards of their first letter, which all parts of a word share, so the counters stay small; of the
+    unlabelled text only parts count that enough positives have."""
+    found: dict[str, float] = {}
+    for shard in range(SHARDS):
+        own = [[w for w in words.split() if ord(w[0]) % SHARDS == shard] for words in positive]
+        p = {f: n for f, n in Counter(f for words in own for f in features_of(set(words))).items() if n >= LEAST_DOCUMENTS}
+        parts, u = {f[:-1] for f in p}, Counter()
+        for words in unlabelled:
+            counts = Counter(part for w in words.split() if ord(w[0]) % SHARDS == shard for part in parts_of(w) if part in parts)
+            u.update(f for f in levels(counts) if f in p)
+        found |= scores(p, u, len(positive), len(unlabelled))
+    names = set(first_of(found))
+    parts = {f[:-1] for f in names}
+
+    def features(words: str) -> set[str]:
+        return levels(Counter(part for w in words.split() for part in parts_of(w) if part in parts)) & names
+
+    return [features(w) for w in positive], [features(w) for w in unlabelled]
+
+
 def nn_pu(positive: list[set[str]], unlabelled: list[set[str]], prior: float, epochs: int = 60, batch: int = 500, penalty: float = 1e-3) -> ToxicModel:
     """Linear model under the non-negative risk with the logistic loss, by Adam over shuffled batches of both samples.
 
@@ -138,8 +169,8 @@ def nn_pu(positive: list[set[str]], unlabelled: list[set[str]], prior: float, ep
 
 
 def calibrate(model: ToxicModel, positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> ToxicModel:
-    """Slope by the prior-corrected logistic risk; shift so that THRESHOLD is met where the share of unlabelled text
-    above it is the prior, or lower, where RECALL of the positives lie above it."""
+    """Slope by the prior-corrected logistic risk; shift so that THRESHOLD lies at the cut with the greatest
+    recall^2 / (share of unlabelled text above it), which is precision times recall up to the prior."""
     zp, zu = np.array([model.margin(s) for s in positive]), np.array([model.margin(s) for s in unlabelled])
     best = (np.inf, 1.0)
     for slope in (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0):
@@ -147,12 +178,15 @@ def calibrate(model: ToxicModel, positive: list[set[str]], unlabelled: list[set[
             p, u = slope * zp + shift, slope * zu + shift
             negative = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
             best = min(best, (prior * np.logaddexp(0, -p).mean() + max(0.0, negative), slope))
-    cut = min(np.quantile(zu, 1 - prior), np.quantile(zp, 1 - RECALL))
+    cuts = np.unique(zp)
+    above = lambda z: 1 - np.searchsorted(np.sort(z), cuts) / len(z)
+    at = int((above(zp) ** 2 / np.maximum(above(zu), 1 / len(zu))).argmax())
+    cut = (cuts[at] + max(zu[zu < cuts[at]], default=cuts[at])) / 2  # halfway to the next lower text
     return ToxicModel(model.weights, model.bias, best[1], float(np.log(THRESHOLD / (1 - THRESHOLD)) - best[1] * cut))
 
 
-def _sampled(df: DataFrame, n: int) -> list[set[str]]:
-    """Word sets of a hash sample of about n rows."""
+def _sampled(df: DataFrame, n: int) -> list[str]:
+    """Distinct words, joined by spaces, of a hash sample of about n rows."""
     total = df.count()
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = df.filter(place < n / max(1, total)).select("text")
@@ -161,7 +195,7 @@ def _sampled(df: DataFrame, n: int) -> list[set[str]]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(words_of(t.as_py()))) for t in batch.column(0)], pa.string())], ["words"])
 
-    return [set(r["words"].split()) for r in sorted(chosen.mapInArrow(run, "words string").collect())]
+    return sorted(r["words"] for r in chosen.mapInArrow(run, "words string").collect())
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
@@ -172,10 +206,10 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
         return ToxicModel({}, -40.0)
     open_docs = docs.select("doc_id", "text").filter(learnable("doc_id", MODULUS) != HELD_OUT)
     toxic = open_docs.join(known.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    positive, unlabelled = ([features_of(words) for words in _sampled(*side)] for side in ((toxic, POSITIVES), (open_docs, UNLABELLED)))
+    positive, unlabelled = _sampled(toxic, POSITIVES), _sampled(open_docs, UNLABELLED)
     if not positive or not unlabelled:
         return ToxicModel({}, -40.0)
-    return nn_pu(positive, unlabelled, min(0.95, float(share)))
+    return nn_pu(*restricted(positive, unlabelled), min(0.95, float(share)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
