@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scale import grouped_list, small_side, top_k
-
+from ..functions.scale import fits_broadcast, grouped_list, small_side, top_k
 from ..functions.tokens import bigram_tokenizer
 
 IDENTITY = ("document_id", "version_id", "index_version_id")
@@ -52,9 +51,18 @@ def hybrid_recall(hits: DataFrame, status: DataFrame, child_top_k: int = 20, k:
     return both.unionByName(single), outcome
 
 
-def small_to_big(hits: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """EXP-1: (parent plans, errors). Duplicate children keep their first rank; ranks keep counting over duplicates."""
+def _wanted(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """Chunks with one of the ids; where these fit a broadcast, the others go before the chunk table is shuffled."""
+    return chunks.join(F.broadcast(ids), "chunk_id", "left_semi") if fits_broadcast(ids) else chunks
+
+
+def small_to_big(hits: DataFrame, chunks: DataFrame, stored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """EXP-1: (parent plans, errors). Duplicate children keep their first rank; ranks keep counting over duplicates.
+
+    ``stored`` says that the hits are a written table, so they may be measured to cut the chunk table down first.
+    """
     first = hits.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"), F.min_by("score", "rank").alias("score"))
+    chunks = _wanted(chunks, hits.select("chunk_id").distinct()) if stored else chunks
     linked = first.join(chunks.select("chunk_id", "parent_chunk_id", "version_id"), "chunk_id", "left")
     finite = ~F.isnan("score") & (F.abs("score") != float("inf"))
     error = F.when(F.col("parent_chunk_id").isNull(), "missing_parent").when(~F.coalesce(finite, F.lit(False)), "bad_score")
@@ -66,8 +74,11 @@ def small_to_big(hits: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFra
     return plans.withColumn("plan_rank", F.row_number().over(order)), marked.where("error is not null").select("query_id", "chunk_id", "error")
 
 
-def expand_parents(plans: DataFrame, chunks: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """EXP-2: the cut comes before the check, so fewer than k may survive. Returns (views, dropped per query)."""
+def expand_parents(plans: DataFrame, chunks: DataFrame, k: int = 5, stored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """EXP-2: the cut comes before the check, so fewer than k may survive. Returns (views, dropped per query). ``stored`` as
+    in ``small_to_big``."""
+    if stored:
+        chunks = _wanted(chunks, plans.where(F.col("plan_rank") <= k).select(F.col("parent_chunk_id").alias("chunk_id")).distinct())
     parents = chunks.where(F.col("kind") == "parent").select(
         F.col("chunk_id").alias("parent_chunk_id"), F.col("version_id").alias("_v"), "title", "content", F.lit(True).alias("_found"))
     cut = plans.where(F.col("plan_rank") <= k).join(parents, "parent_chunk_id", "left").withColumn(

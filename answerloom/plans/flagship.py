@@ -54,9 +54,9 @@ def grounded_retrieval(spark: SparkSession, d: str) -> DataFrame:
                            F.lit("vector").alias("source"))
     hits = lexical.select("query_id", "chunk_id", "score", "rank", "source").unionByName(semantic).withColumns(
         {c: F.split("chunk_id", ":")[0] for c in rk.IDENTITY})
-    fused = rk.rrf(hits)
-    plans, _ = rk.small_to_big(fused, chunks)
-    views, _ = rk.expand_parents(plans, chunks)
+    fused = durable(rk.rrf(hits))
+    plans, _ = rk.small_to_big(fused, chunks, stored=True)
+    views, _ = rk.expand_parents(durable(plans), chunks, stored=True)
     scored = ev.score_kind(views.select(
         "query_id", F.lit("hybrid").alias("mode"), "rank", "best_score", F.lit(False).alias("rerank_applied"), F.lit(None).cast("double").alias("rerank_score")))
     decisions = ev.decide_quality(scored.withColumn("missing", F.array().cast("array<string>")), ev.score_bands(spark))
