@@ -6,9 +6,11 @@ content is left out while parsing: head, scripts, styles, forms, navigation, asi
 whose role, class or id names a menu, notice, advert, sidebar or comment.
 
 A line's ratio is its text outside links to its tags. Ratios are smoothed with a Gaussian along the page, and lines are
-clustered by a threshold (a share of the standard deviation of the smoothed ratios): lines above it are content. A
-section that holds content lines with more than SHARE of the page's content text is a content region, and all its lines
-belong to it, short ones too; regions come in page order.
+clustered by a threshold (a share of the standard deviation of the smoothed ratios): lines above it are content. Where
+articles and mains hold most of the content text, they are the content, whole, with any other section of SHARE of it or
+more. Elsewhere the innermost section around all content lines is the content, with all lines and sections in it; only
+sections of links before its first and after its last content line are left out. A section of one line is a paragraph:
+the section around it is taken instead. Lines come in page order.
 
 Null or empty html gives an empty text, and so does a page without text. Cut pages are read as far as they go; a tag or
 comment that the cut left open is no text. Nothing is capped. Every page gives one row; other columns don't matter.
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 SIGMA = 1.0
 DEVIATIONS = 0.5
 SHARE = 0.2
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = frozenset("article main section div body td".split())
 BLOCKS = SECTIONS | frozenset(
     "address aside blockquote caption center dd details dialog dir dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
@@ -49,6 +52,7 @@ class Line:
     parts: list[str] = field(default_factory=list)
     tags: int = 0
     linked: int = 0
+    heading: bool = False
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
@@ -61,7 +65,7 @@ class PageLines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, section, left out, inside an article
-        self.sections = 1
+        self.around, self.kinds = [0], [""]  # of each section: the section around it, its element; numbers follow the page
         self.links = 0
         self.line = Line(0)
 
@@ -86,14 +90,16 @@ class PageLines(HTMLParser):
         out = (out or tag in LEFT_OUT or (tag == "header" and not article) or (given.get("role") or "").lower() in ROLES or "hidden" in given
                or (tag not in ("html", "body", "article", "main") and bool(NOT_CONTENT.search(names))))
         if tag in SECTIONS:
-            section, self.sections = self.sections, self.sections + 1
-            if article and tag in ("section", "div", "td"):
-                section = self.open[-1][1]  # parts of an article are one section
+            if not (article and tag in ("section", "div", "td")):  # parts of an article are one section
+                self.around.append(section)
+                self.kinds.append(tag)
+                section = len(self.kinds) - 1
         self.open.append((tag, section, out, article or tag in ("article", "main")))
         self.links += tag == "a"
         if tag in BLOCKS:
             self.line = Line(section)
             self.line.tags = 1
+            self.line.heading = tag in HEADINGS
 
     def _close(self) -> None:
         tag = self.open.pop()[0]
@@ -118,13 +124,19 @@ class PageLines(HTMLParser):
             self.line.linked += len(data.strip()) if self.links > 0 else 0
 
 
-def page_lines(html: str) -> list[Line]:
+def parsed(html: str) -> PageLines:
+    """The parser at the page's end; its lines are those with text."""
     parser = PageLines()
     cut = OPEN_TAG.search(html, max(0, html.rfind("<")))
     parser.feed(html[:cut.start()] if cut else html)
     parser.close()
     parser.end_line()
-    return [line for line in parser.lines if line.text()]
+    parser.lines = [line for line in parser.lines if line.text()]
+    return parser
+
+
+def page_lines(html: str) -> list[Line]:
+    return parsed(html).lines
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -135,23 +147,56 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
 
 
 def main_text(html: str | None) -> tuple[str, int, int]:
-    """Text of the content regions, lines on the page that could be content, lines taken."""
-    lines = page_lines(html or "")
+    """Text of the content, lines on the page that could be content, lines taken."""
+    page = parsed(html or "")
+    lines = page.lines
     if not lines:
         return "", 0, 0
     texts = [line.text() for line in lines]
     plain = np.array([max(0, len(t) - line.linked) for t, line in zip(texts, lines)], float)
     ratios = smoothed(plain / np.array([max(1, line.tags) for line in lines]))
     content = ratios >= min(ratios.max(), DEVIATIONS * ratios.std())
-    weight: dict[int, float] = {}
-    for line, size, inside in zip(lines, plain, content):
-        weight[line.section] = weight.get(line.section, 0.0) + size * inside
-    total = sum(weight.values())
-    regions = {s for s, w in weight.items() if w > 0 and w >= SHARE * total} or {max(weight, key=lambda s: (weight[s], -s))}
-    taken = [t for t, line in zip(texts, lines) if line.section in regions]
+    taken = [t for t, keep in zip(texts, chosen(page, plain, content)) if keep]
     return "\n".join(taken), len(lines), len(taken)
 
 
+def chosen(page: PageLines, plain: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Which lines belong to the content. Sections are numbered in page order, so those inside a section follow it."""
+    around, kinds, at = page.around, page.kinds, np.array([line.section for line in page.lines])
+    marked = np.zeros(len(kinds), bool)
+    for s in range(1, len(kinds)):
+        marked[s] = marked[around[s]] or kinds[s] in ("article", "main")
+    weight = np.bincount(at, plain * content, len(kinds))
+    if marked[at].any() and weight[marked].sum() >= weight.sum() / 2:
+        return marked[at] | ((weight > 0) & (weight >= SHARE * weight.sum()))[at]
+    size = np.array([len(line.text()) for line in page.lines], float)
+    solid = content & (plain > 0.5 * size)
+    held = at[solid] if solid.any() else at[content]
+    last = np.arange(len(kinds))
+    for s in range(len(kinds) - 1, 0, -1):
+        last[around[s]] = max(last[around[s]], last[s])
+    top = int(held.min())
+    while last[top] < held.max():
+        top = around[top]
+    climbed = False
+    while top and ((at >= top) & (at <= last[top])).sum() == 1:
+        top, climbed = around[top], True
+    inside = (at >= top) & (at <= last[top])
+    unit = np.zeros(len(kinds), int)  # the outermost section inside the chosen one
+    for s in range(top + 1, last[top] + 1):
+        unit[s] = s if around[s] == top else unit[around[s]]
+    mine = unit[at]
+    full = np.flatnonzero(inside & solid)
+    first, end = (full[0], full[-1]) if len(full) else (0, len(at) - 1)
+    links = np.bincount(mine, size - plain, len(kinds)) > 0.5 * np.bincount(mine, size, len(kinds))
+    place = np.arange(len(at))
+    edge = ((place < first) | (place > end)) & ~np.isin(mine, mine[full])
+    edge &= (mine > 0) & links[mine] & np.array([kinds[u] != "td" for u in mine])
+    if climbed:
+        edge |= ((place < first) | (place > end)) & (mine == 0) & (plain <= 0.5 * size) & ~np.array([line.heading for line in page.lines])
+    return inside & ~edge
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars, n_lines, n_taken`` of every page."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

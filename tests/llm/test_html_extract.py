@@ -34,6 +34,20 @@ def test_page_without_article_element():
     assert not re.search("cookies|reader|Home|Name|Site|var x", text) and text.count(PROSE) == 2
 
 
+def test_table_cells_and_sibling_divs_are_kept():
+    assert "\ncell one\ncell two\n" in main_text(SITE)[0]
+    parts = [f"Part {i}. {PROSE}" for i in range(10)]
+    menu, foot = "<div><a href=/a>Home</a> <a href=/b>News</a></div>", "<div><a href=/c>Imprint of the site</a></div>"
+    divs = "".join(f"<div>{p}</div>" for p in parts)
+    for page in (divs, f"<body>{divs}</body>", f"<body>{menu}<div id=content>{divs}</div>{foot}</body>", f"<body>{menu}{divs}{foot}</body>"):
+        assert main_text(page)[0] == "\n".join(parts)
+    short = f"<div id=content><h2><a href=/t>A title</a></h2><div><p>{PROSE}<p>{PROSE}</div><div>Short one.</div><div><p>{PROSE}<p>{PROSE}</div><div>The end.</div></div>"
+    assert main_text(f"<body>{menu}{short}{foot}</body>")[0] == "\n".join(["A title", PROSE, PROSE, "Short one.", PROSE, PROSE, "The end."])
+    table = f"<div id=content><p>{PROSE}</p><table><tr><th>Head<th>Row<tr><td>1<td><a href=/x>x</a><tr><td>2<td>y</table></div>"
+    assert main_text(f"<body>{menu}{table}{foot}</body>")[0] == "\n".join([PROSE, *"Head Row 1 x 2 y".split()])
+    assert main_text("<article><p>one</p></article><article><p>two two two</p></article>" * 4)[0] == "\n".join(["one", "two two two"] * 4)
+
+
 def test_inline_markup_and_breaks_stay_in_their_block():
     assert main_text("<article><p>a<b>b</b> c <i>d\n e</i><br>f</p>g</article>")[0] == "ab c d e f\ng"
 
