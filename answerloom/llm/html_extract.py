@@ -2,8 +2,9 @@
 
 The page streams through the standard library's parser once. Block elements end a line; a line has its text, the tags met
 in it, the letters inside links, and the section (article, main, section, division, body) it lies in. What can't be
-content is left out while parsing: head, scripts, styles, forms, navigation, asides, footers, page headers, and elements
-whose role, class or id names a menu, notice, advert, sidebar or comment.
+content is left out while parsing: head, scripts, styles, navigation, asides, footers, page headers, and elements whose
+role names such a part. Forms, and elements whose class or id names a menu, notice, advert, sidebar or comment, are left
+out once the page is read, unless they wrap the page's content: see ``shown``.
 
 A line's ratio is its text outside links to its tags. Ratios are smoothed with a Gaussian along the page, and lines are
 clustered by a threshold (a share of the standard deviation of the smoothed ratios): lines above it are content. Where
@@ -36,12 +37,14 @@ BLOCKS = SECTIONS | frozenset(
     "address aside blockquote caption center dd details dialog dir dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li menu nav ol optgroup option p pre search summary table tbody tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LEFT_OUT = frozenset("head title script style noscript template form nav aside footer iframe object svg math canvas audio video select textarea button dialog menu".split())
+LEFT_OUT = frozenset("head title script style noscript template nav aside footer iframe object svg math canvas audio video select textarea button dialog menu".split())
 CLOSED_BY = {name: BLOCKS - {"html", "body"} for name in ("p",)} | {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 """Elements that a start tag of the given names ends."""
 NOT_CONTENT = re.compile(
     r"(^|[-_\s])(ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|menu|modal|nav|navbar|navigation|newsletter|"
     r"notices?|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor(ed)?|subscribe|toolbar|widget|widgets)($|[-_\s])", re.IGNORECASE)
+STATE = re.compile(r"(?<![^\s])(has|with|no|without|show|hide)[-_]\S+|\S+[-_](on|off|enabled|disabled)(?![^\s])", re.IGNORECASE)
+"""Names that say what a wrapper has or does, not what it is."""
 ROLES = frozenset("alert banner complementary contentinfo dialog alertdialog form menu menubar navigation search toolbar".split())
 OPEN_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 
@@ -49,13 +52,16 @@ OPEN_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 @dataclass
 class Line:
     section: int
-    parts: list[str] = field(default_factory=list)
+    parts: list[tuple[int, str, bool]] = field(default_factory=list)  # wrapper, text, inside a link
     tags: int = 0
-    linked: int = 0
     heading: bool = False
 
     def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+        return " ".join("".join(text for _, text, _ in self.parts).split())
+
+    @property
+    def linked(self) -> int:
+        return sum(len(text.strip()) for _, text, link in self.parts if link)
 
 
 class PageLines(HTMLParser):
@@ -64,8 +70,11 @@ class PageLines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, section, left out, inside an article
+        self.open: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]  # name, section, left out, inside an article, wrapper
         self.around, self.kinds = [0], [""]  # of each section: the section around it, its element; numbers follow the page
+        self.outer = [0]  # of each wrapper (a form, or named as no content): the wrapper around it; 0 is the page
+        self.named = [""]  # of each wrapper: element, class and id
+        self.marks: list[tuple[int, str]] = []  # wrapper and name of every article and main, one inside another not counted
         self.links = 0
         self.line = Line(0)
 
@@ -77,24 +86,29 @@ class PageLines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         while len(self.open) > 1 and tag in CLOSED_BY.get(self.open[-1][0], ()):
             self._close()
-        _, section, out, article = self.open[-1]
+        _, section, out, article, wrapper = self.open[-1]
         if tag in BLOCKS:
             self.end_line()
         elif tag in ("br", "img"):
-            self.line.parts += [" "] if self.line.parts else []
+            self.line.parts += [(self.line.parts[-1][0], " ", False)] if self.line.parts else []
         self.line.tags += 1
         if tag in VOID:
             return
         given = dict(attrs)
         names = f"{given.get('class') or ''} {given.get('id') or ''}"
-        out = (out or tag in LEFT_OUT or (tag == "header" and not article) or (given.get("role") or "").lower() in ROLES or "hidden" in given
-               or (tag not in ("html", "body", "article", "main") and bool(NOT_CONTENT.search(names))))
+        out = out or tag in LEFT_OUT or (tag == "header" and not article) or (given.get("role") or "").lower() in ROLES or "hidden" in given
+        if tag == "form" or (tag not in ("html", "body", "article", "main") and NOT_CONTENT.search(names) and NOT_CONTENT.search(STATE.sub(" ", names))):
+            self.outer.append(wrapper)
+            self.named.append(f"{tag} {names}")
+            wrapper = len(self.outer) - 1
+        if tag in ("article", "main") and not article and not out:
+            self.marks.append((wrapper, tag))
         if tag in SECTIONS:
             if not (article and tag in ("section", "div", "td")):  # parts of an article are one section
                 self.around.append(section)
                 self.kinds.append(tag)
                 section = len(self.kinds) - 1
-        self.open.append((tag, section, out, article or tag in ("article", "main")))
+        self.open.append((tag, section, out, article or tag in ("article", "main"), wrapper))
         self.links += tag == "a"
         if tag in BLOCKS:
             self.line = Line(section)
@@ -120,8 +134,7 @@ class PageLines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.open[-1][2]:
-            self.line.parts.append(data)
-            self.line.linked += len(data.strip()) if self.links > 0 else 0
+            self.line.parts.append((self.open[-1][4], data, self.links > 0))
 
 
 def parsed(html: str) -> PageLines:
@@ -131,6 +144,10 @@ def parsed(html: str) -> PageLines:
     parser.feed(html[:cut.start()] if cut else html)
     parser.close()
     parser.end_line()
+    if len(parser.outer) > 1:
+        seen = shown(parser)
+        for line in parser.lines:
+            line.parts = [part for part in line.parts if part[0] in seen]
     parser.lines = [line for line in parser.lines if line.text()]
     return parser
 
@@ -139,6 +156,57 @@ def page_lines(html: str) -> list[Line]:
     return parsed(html).lines
 
 
+def shown(page: PageLines) -> set[int]:
+    """The wrappers that are content after all, with the page itself (0).
+
+    Those around a main are; so are, where no article or main stands free, those around the first article (or that in a
+    wrapper with more than twice its text) and around articles in wrappers of the same name, up to one beside which more
+    text is shown. From the outside in, so is one of several lines beside which the page shows less than SHARE of the text.
+    """
+    outer, seen = page.outer, {0}
+    own, lines = [0] * len(outer), [0] * len(outer)
+
+    def add(w: int) -> None:
+        while w not in seen:
+            seen.add(w)
+            w = outer[w]
+
+    for w, tag in page.marks:
+        if tag == "main":
+            add(w)
+    for line in page.lines:
+        for w in {w for w, text, _ in line.parts if text.strip()}:
+            lines[w] += 1
+        for w, text, link in line.parts:
+            own[w] += 0 if link else len(text.strip())
+    whole = list(own)
+    for w in range(len(own) - 1, 0, -1):
+        whole[outer[w]] += whole[w]
+        lines[outer[w]] += lines[w]
+    if page.marks and not any(w in seen for w, _ in page.marks):
+        first, most = page.marks[0][0], max((w for w, _ in page.marks), key=lambda w: whole[w])
+        first = most if whole[most] > 2 * whole[first] else first
+        alike = {w for w, _ in page.marks if page.named[w] == page.named[first]}
+        free, group, before = sum(own[w] for w in seen), sum(whole[w] for w in alike), set(seen)
+        for w in alike:
+            chain = [w]
+            while outer[chain[-1]]:
+                chain.append(outer[chain[-1]])
+            beside = free
+            for a in reversed(chain):
+                if a not in before:
+                    if max(whole[a], group if a in alike else 0) < beside:
+                        break
+                    seen.add(a)
+                    beside += own[a]
+    free = sum(own[w] for w in seen)
+    for w in range(1, len(own)):
+        if w not in seen and outer[w] in seen and lines[w] > 1 and whole[w] > 0 and free < SHARE * (free + whole[w]):
+            seen.add(w)
+            free += own[w]
+    return seen
+
+
 def smoothed(ratios: np.ndarray) -> np.ndarray:
     """Gaussian along the lines, weights renewed at both ends."""
     reach = np.arange(-3, 4) * 1.0

@@ -48,6 +48,19 @@ def test_table_cells_and_sibling_divs_are_kept():
     assert main_text("<article><p>one</p></article><article><p>two two two</p></article>" * 4)[0] == "\n".join(["one", "two two two"] * 4)
 
 
+def test_wrappers_named_like_boilerplate_do_not_empty_the_page():
+    body = f"<article><h1>A title</h1><p>{PROSE}</p><p>Short.</p></article>"
+    rest = f'<div class="sidebar"><p>{PROSE}</p></div><section id="comments"><article><p>{PROSE} says a reader</p></article></section>'
+    want = f"A title\n{PROSE}\nShort."
+    wrappers = ["class='has-sidebar'", "class='content with-sidebar'", "class='page no-banner'", "class='wrapper social-share-on'", "id='main_menu'", "class='banner'"]
+    for start, end in [*((f"<div {w}>", "</div>") for w in wrappers), ("<form>", "</form>"), ("<form><div class='page-widget'>", "</div></form>")]:
+        assert main_text(f"<body>{start}{body}{rest}{end}</body>")[0] == want, start
+        assert main_text(f"<body>{start}{body}{end}{rest}</body>")[0] == want, start
+        assert main_text(f"<body><p>Name of the site</p>{start}{body.replace('article', 'div')}{rest}{end}</body>")[0].endswith(want), start
+    assert main_text(f"<body>{body}<form><p>{PROSE}</p><p>{PROSE}</p></form>{rest * 9}</body>")[0] == want
+    assert main_text("<div class='cookie-notice'>We use cookies.</div><div class='ad'>Buy now.</div>")[0] == ""
+
+
 def test_inline_markup_and_breaks_stay_in_their_block():
     assert main_text("<article><p>a<b>b</b> c <i>d\n e</i><br>f</p>g</article>")[0] == "ab c d e f\ng"
 
