@@ -2,7 +2,7 @@ import random
 import string
 from collections import Counter
 
-from cases import PROSE, awkward, documents
+from cases import PROSE, SMALL, awkward, documents
 
 from answerloom.llm.quality_rules import BANDS, keep_good, quality, repeat_words
 
@@ -47,6 +47,32 @@ def test_bands_reject_noise_and_repetition_and_keep_prose(spark):
     assert got == {1: False, 2: False, 3: True, 4: True, 5: False}
 
 
+HINDI = ("सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव "
+         "करना चाहिए। सभी को इस घोषणा में सन्निहित सभी अधिकारों और आज़ादियों को प्राप्त करने का हक़ है और इस मामले में जाति, वर्ण, लिंग, भाषा, धर्म, राजनीति या अन्य विचार-प्रणाली, "
+         "किसी देश या समाज विशेष में जन्म, सम्पत्ति या किसी प्रकार की अन्य मर्यादा आदि के कारण भेदभाव का विचार न किया जाएगा। प्रत्येक व्यक्ति को जीवन, स्वाधीनता और वैयक्तिक सुरक्षा का अधिकार है।")
+RUSSIAN = ("Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. "
+           "Каждый человек должен обладать всеми правами и всеми свободами, провозглашенными настоящей Декларацией, без какого бы то ни было различия, как-то в отношении расы, цвета кожи, "
+           "пола, языка, религии, политических или иных убеждений, национального или социального происхождения, имущественного, сословного или иного положения.")
+KOREAN = ("모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다. "
+          "모든 사람은 인종, 피부색, 성, 언어, 종교, 정치적 또는 기타의 견해, 민족적 또는 사회적 출신, 재산, 출생 또는 기타의 신분과 같은 어떠한 종류의 차별이 없이, "
+          "이 선언에 규정된 모든 권리와 자유를 향유할 자격이 있다. 모든 사람은 생명과 신체의 자유와 안전에 대한 권리를 가진다.")
+
+
+def test_verdict_does_not_depend_on_the_script(spark):
+    latin = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect() if r["text"]]
+    latin += [" ".join(latin[i:i + 12]) for i in range(0, len(latin), 12)]
+    clean = {r["doc_id"] for r in quality(documents(spark, list(enumerate(latin)))).collect() if r["kept"]}
+    assert len(clean) > 100
+    other = {i: "".join(chr(at + ord(c)) if c.isascii() and c.isalpha() else c for c in latin[i]) for i in clean for at in (0x400, 0x10A0)[i % 2:i % 2 + 1]}
+    natural = {-1: HINDI, -2: RUSSIAN, -3: KOREAN, -4: HINDI[:220], -5: RUSSIAN[:300], -6: KOREAN[:100], -7: f"{RUSSIAN} {PROSE}"}
+    got = quality(documents(spark, [*other.items(), *natural.items()])).collect()
+    assert [r["doc_id"] for r in got if not r["kept"]] == []
+    rng = random.Random(5)
+    noise = " ".join("".join(chr(rng.randint(0x410, 0x44F)) for _ in range(40)) for _ in range(90))
+    loop = " ".join(f"строка {i} той же таблицы и снова" for i in range(400))
+    assert not any(r["kept"] for r in quality(documents(spark, [(1, noise), (2, loop)])).collect())
+
+
 def test_stage_filters_rows_only(spark):
     docs = awkward(spark)
     out = keep_good(docs)
