@@ -2,7 +2,10 @@
 
 A text of language compresses within a band that moves with its length. Above the band it repeats itself, below it is
 noise (encoded bytes, random identifiers). The whole text is measured once and every chunk of ``CHUNK`` bytes again, so
-a long text with a repetitive or incompressible stretch is caught though its total looks normal.
+a long text with a repetitive or incompressible stretch is caught though its total looks normal. The last chunk is the
+text's final ``CHUNK`` bytes. A text is rejected when at least BAD_CHUNKS of its chunks, or BAD_RUN of them in a row, lie
+outside their band; in longer texts a stretch that fills fewer chunks than BAD_RUN can pass. Texts below ``CHUNK`` bytes
+are measured whole only, and below 100 bytes no rule but the base rules holds: zstandard doesn't tell prose from noise there.
 
 Letters of two or three bytes would compress better than the same language in letters of one. Lengths and ratios are
 therefore those of a recoding: ASCII stays, and the other code points of the text get one byte each, from 128 on. Korean
@@ -39,7 +42,8 @@ BANDS = (
 """(recoded bytes below, least ratio, greatest ratio). Fixed limits of level 3; prose of any length lies inside with room."""
 CHUNK_BAND = (1.30, 2.45)
 BAD_CHUNKS = 0.25
-"""A text is rejected when more than this share of its full chunks lies outside CHUNK_BAND."""
+BAD_RUN = 2
+"""A text is rejected when this share of its chunks, or this many in a row, lie outside CHUNK_BAND."""
 ONE_BYTE = 128
 SYLLABLES = re.compile("[\uac00-\ud7a3]+")
 SYMBOLS = "#*$%&|<>"
@@ -84,22 +88,26 @@ def recoded(text: str) -> bytes:
     return letters.translate({ord(c): chr(128 + i) for i, c in enumerate(others)}).encode("latin-1")
 
 
-def compression(raw: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, int, int, int]:
-    """Ratio of the whole, number of full chunks, chunks below and above the chunk band."""
+def compression(raw: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, int, int, int, int]:
+    """Ratio of the whole, number of chunks, chunks below and above the chunk band, most chunks outside it in a row."""
     if not raw:
-        return 0.0, 0, 0, 0
-    low = high = 0
-    chunks = range(0, len(raw) - CHUNK + 1, CHUNK)
+        return 0.0, 0, 0, 0, 0
+    low = high = row = most = 0
+    chunks = [*range(0, len(raw) - CHUNK + 1, CHUNK)]
+    if chunks and len(raw) % CHUNK:
+        chunks.append(len(raw) - CHUNK)
     for at in chunks:
         r = CHUNK / len(compressor.compress(raw[at:at + CHUNK]))
         low += r < CHUNK_BAND[0]
         high += r > CHUNK_BAND[1]
-    return len(raw) / len(compressor.compress(raw)), len(chunks), low, high
+        row = 0 if CHUNK_BAND[0] <= r <= CHUNK_BAND[1] else row + 1
+        most = max(most, row)
+    return len(raw) / len(compressor.compress(raw)), len(chunks), low, high, most
 
 
-def in_bands(size: int, ratio: float, chunks: int, outside: int) -> bool:
+def in_bands(size: int, ratio: float, chunks: int, outside: int, in_a_row: int) -> bool:
     least, most = next((lo, hi) for below, lo, hi in BANDS if size < below)
-    return least <= ratio <= most and outside <= BAD_CHUNKS * chunks
+    return least <= ratio <= most and in_a_row < BAD_RUN and (not outside or outside < BAD_CHUNKS * chunks)
 
 
 def measure(doc_id: int | None, text: str | None, compressor: zstandard.ZstdCompressor) -> tuple:
@@ -110,9 +118,9 @@ def measure(doc_id: int | None, text: str | None, compressor: zstandard.ZstdComp
     repeated = repeat_words(words)
     failed = len(words) < 10 or 100 * repeated > 20 * len(words)
     coded = recoded(text)
-    ratio, chunks, low, high = compression(coded, compressor)
+    ratio, chunks, low, high, in_a_row = compression(coded, compressor)
     return (doc_id, len(words), len(text) - spaces, sum(map(text.count, SYMBOLS)), dup_lines(text), repeated, failed,
-            not failed and in_bands(len(coded), ratio, chunks, low + high), ratio, chunks, low, high)
+            not failed and in_bands(len(coded), ratio, chunks, low + high, in_a_row), ratio, chunks, low, high)
 
 
 def quality(docs: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import base64
 import random
 import string
 from collections import Counter
@@ -73,6 +74,21 @@ def test_verdict_does_not_depend_on_the_script(spark):
     assert not any(r["kept"] for r in quality(documents(spark, [(1, noise), (2, loop)])).collect())
 
 
+def test_stretches_of_noise_and_the_tail_are_measured(spark):
+    rng = random.Random(11)
+    words = [w for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()[:60] if r["lang"] == "en" for w in (r["text"] or "").split()]
+
+    def text(size, noise, where):
+        clean = " ".join(rng.choices(words, k=size))[:size - noise]
+        at = int(len(clean) * where)
+        return clean[:at] + base64.b64encode(rng.randbytes(noise)).decode()[:noise] + clean[at:]
+
+    cases = [(200_000, 45_000, 0.5), (40_000, 9_000, 0.5), (8_191, 2_040, 1.0), (40_000, 0, 0), (8_191, 0, 0), (2_048, 0, 0), (3_000, 0, 0)]
+    got = {r["doc_id"]: r for r in quality(documents(spark, [(i, text(*c)) for i, c in enumerate(cases)])).collect()}
+    assert {i: r["kept"] for i, r in got.items()} == {0: False, 1: False, 2: False, 3: True, 4: True, 5: True, 6: True}
+    assert (got[2]["n_chunks"], got[2]["n_low_chunks"], got[5]["n_chunks"], got[6]["n_chunks"]) == (4, 1, 1, 2)
+
+
 def test_stage_filters_rows_only(spark):
     docs = awkward(spark)
     out = keep_good(docs)
