@@ -94,31 +94,43 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def _block_hits(vec: pd.DataFrame, ask: pd.DataFrame, k: int) -> pd.DataFrame:
     """Exact top-k of one block of vectors for one block of queries, in steps whose scores fit BLOCK_BYTES."""
     step = max(1, BLOCK_BYTES // (8 * max(1, len(vec))))
-    return pd.concat([_step_hits(vec, ask.iloc[at:at + step], k) for at in range(0, len(ask), step)])
+    alike = [one for _, one in ask.groupby(ask["vector"].map(len))]  # queries of one length at a time
+    return pd.concat([_step_hits(vec, one.iloc[at:at + step], k) for one in alike for at in range(0, len(one), step)])
 
 
-def _step_hits(vec: pd.DataFrame, ask: pd.DataFrame, k: int) -> pd.DataFrame:
-    """A matrix product, never a list of pairs."""
-    width = len(ask["vector"].iloc[0])
-    vec = vec[vec["embedding"].map(lambda v: v is not None and len(v) == width)]
-    if vec.empty:
-        return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-    ids = vec["vec_id"].to_numpy()
-    scores = np.round(_unit(vec["embedding"]) @ _unit(ask["vector"]).T, 9)
+def allowed_pairs(vec: pd.DataFrame, ask: pd.DataFrame) -> np.ndarray | None:
+    """(vectors, queries): whether scopes and whitelist let the query see the vector; None where neither is given."""
+    allowed = None
     if "access_scope" in vec.columns and "allowed_scopes" in ask.columns:
         labels = {s: i for i, s in enumerate(sorted({s for row in ask["allowed_scopes"] for s in row}))}
-        def bits(rows):
+
+        def bits(rows) -> np.ndarray:
             out = np.zeros((len(rows), max(1, len(labels))), dtype=np.float32)
             for r, row in enumerate(rows):
                 for s in row:
                     if s in labels:
                         out[r, labels[s]] = 1
             return out
-        scores[(bits(vec["access_scope"]) @ bits(ask["allowed_scopes"]).T) == 0] = np.nan
+
+        allowed = (bits(vec["access_scope"]) @ bits(ask["allowed_scopes"]).T) > 0
     if "index_version_id" in vec.columns and "index_version_ids" in ask.columns:
         index = vec["index_version_id"].to_numpy()
-        for q, allowed in enumerate(ask["index_version_ids"]):
-            scores[~np.isin(index, np.asarray(allowed)), q] = np.nan
+        listed = np.stack([np.isin(index, np.asarray(one)) for one in ask["index_version_ids"]], axis=1)
+        allowed = listed if allowed is None else allowed & listed
+    return allowed
+
+
+def _step_hits(vec: pd.DataFrame, ask: pd.DataFrame, k: int) -> pd.DataFrame:
+    """A matrix product, never a list of pairs."""
+    width = len(ask["vector"].iloc[0])
+    vec = vec[vec["embedding"].map(lambda v: v is not None and len(v) == width)]
+    if vec.empty:
+        return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+    ids = vec["vec_id"].to_numpy()
+    scores = np.round(_unit(vec["embedding"]) @ _unit(ask["vector"]).T, 9)
+    allowed = allowed_pairs(vec, ask)
+    if allowed is not None:
+        scores[~allowed] = np.nan
     parts = []
     for q, query in enumerate(ask["query_id"].to_numpy()):
         pick = _best(scores[:, q], ids, k)
@@ -168,34 +180,12 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_
     return top_k(near, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
-def vector_search_lsh(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8, bucket: float = 2.0, seed: int = 7) -> DataFrame:
-    """VEC-5: random-projection buckets give candidates on unit vectors; domain, scopes and whitelist hold as in the exact
-    search before the exact cosine ranks them. A query whose buckets hold fewer than ``k`` allowed vectors is searched
-    exactly, so no answer comes back short."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(v: Column) -> Column:
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-        return F.transform(v, lambda x: x.cast("double") / norm)
-
-    limits = [c for c in ("allowed_scopes", "index_version_ids") if c in queries.columns]
-    marks = [c for c in ("access_scope", "index_version_id") if c in vectors.columns]
-    left = queries.select("query_id", "domain", *limits, array_to_vector(unit(F.col("vector"))).alias("features"))
-    right = vectors.select("vec_id", "domain", *marks, array_to_vector(unit(F.col("embedding"))).alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed)
-    pairs = lsh.fit(right).approxSimilarityJoin(left, right, 2.1, distCol="_dist")  # unit vectors are at most 2 apart
-    allowed = F.col("datasetA.domain") == F.col("datasetB.domain")
-    if "access_scope" in marks and "allowed_scopes" in limits:
-        allowed = allowed & F.arrays_overlap("datasetA.allowed_scopes", "datasetB.access_scope")
-    if "index_version_id" in marks and "index_version_ids" in limits:
-        allowed = allowed & F.array_contains(F.col("datasetA.index_version_ids"), F.col("datasetB.index_version_id"))
-    scored = pairs.where(allowed).select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vec_id").alias("chunk_id"),
-                                         F.round(1 - F.col("_dist") * F.col("_dist") / 2, 9).alias("score"))
-    near = top_k(scored, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
-    filled = near.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
-    rest = vector_search(vectors, queries.join(filled, "query_id", "left_anti"), k)
-    return near.join(filled, "query_id", "left_semi").unionByName(rest.select(*near.columns))
+def vector_search_lsh(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """VEC-5: the approximate variant, by cells and codes (``vector_index``). Domain, scopes and whitelist hold as in the exact
+    search, scores are exact, and no answer comes back short."""
+    from .vector_index import approximate_search
+
+    return approximate_search(vectors, queries, k)
 
 
 def recall_against(exact: DataFrame, approximate: DataFrame) -> DataFrame:

@@ -51,15 +51,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage by writing a table into the shared folder and reading it back.
+def durable(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Cut lineage by writing a table into the shared folder (in folders of the columns ``by``) and reading it back.
 
     A written table survives lost executors and, unlike a checkpoint of rows, lets every later reader prune columns.
     ``drop_tables`` deletes what a session has written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -12,6 +12,7 @@ from answerloom.operators import dictionary as dic
 from answerloom.operators import evidence as ev
 from answerloom.operators import lexical as lx
 from answerloom.operators import ranking as rk
+from answerloom.operators import vector_index as vix
 from answerloom.operators import vectors as vec
 
 
@@ -100,6 +101,53 @@ def test_lsh_keeps_scopes_and_string_ids(spark):
     assert sorted((r.query_id, r.chunk_id) for r in vec.vector_search_lsh(vectors, queries, 4).collect()) == exact
 
 
+def clustered(n, d, seed, centres=20):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centres, d))
+    return c[rng.integers(centres, size=n)] + 0.4 * rng.normal(size=(n, d))
+
+
+def test_index_finds_neighbours_with_few_candidates(spark):
+    given = clustered(3000, 24, 2)
+    vectors = spark.createDataFrame([(i, given[i].tolist(), i % 2, ["public"] if i % 3 else ["staff"]) for i in range(3000)],
+                                    "vec_id long, embedding array<double>, domain int, access_scope array<string>").repartition(4)
+    queries = vectors.where("vec_id % 30 = 0").selectExpr("vec_id as query_id", "embedding as vector", "domain", "array('public') as allowed_scopes")
+    book = vix.train(vectors, 10)
+    assert book.probes < len(book.cells) / 2
+    index = vix.build(vectors, book)
+    assert index.count() == 3000
+    few = vix.candidates(index, book, queries).count()
+    assert few < 0.1 * 3000 * 100
+    for rows in (100_000, 40):  # cells cut into parts give the same candidates
+        assert vix.candidates(index, book, queries, rows_per_task=rows).count() == few
+    near = vix.search(index, book, queries, 10)
+    exact = vec.vector_search(vectors, queries, 10)
+    assert vec.recall_against(exact, near).agg(F.avg("recall")).first()[0] >= 0.95
+    want = {(r.query_id, r.chunk_id): r.score for r in exact.collect()}
+    assert all(abs(want[r.query_id, r.chunk_id] - r.score) < 1e-8 for r in near.collect() if (r.query_id, r.chunk_id) in want)
+
+
+def test_index_on_the_given_vectors(spark):
+    """Vectors without clusters: codes decide, and under a tenth of all pairs are scored."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").withColumnRenamed("label", "domain")
+    queries = vectors.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as vector", "domain")
+    book = vix.train(vectors, 10)
+    index = vix.build(vectors, book)
+    assert vix.candidates(index, book, queries).count() < 0.1 * vectors.count() * queries.count()
+    exact, near = vec.vector_search(vectors, queries, 10), vix.search(index, book, queries, 10)
+    assert vec.recall_against(exact, near).agg(F.min("recall")).first()[0] >= 0.9
+
+
+def test_index_stands_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.5], 0), (2, None, 0), (3, [0.0, 0.0, 0.0], 0), (4, [1.0, 2.0], 0), (5, [0.9, 0.1, 0.5], 0), (6, [1.0, 0.0, 0.5], None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, domain int")
+    queries = spark.createDataFrame([(1, [1.0, 0.0, 0.4], 0), (2, [1.0, 2.1], 0), (3, [0.0, 0.0, 0.0], 0), (4, [1.0, 0.0, 0.0], 7)],
+                                    "query_id long, vector array<double>, domain int")
+    got = sorted((r.query_id, r["rank"], r.chunk_id) for r in vec.vector_search_lsh(vectors, queries, 2).collect())
+    assert got == [(1, 1, 1), (1, 2, 5), (2, 1, 4)]
+    assert vec.vector_search_lsh(vectors.where("false"), queries, 2).count() == 0
+
+
 def test_hash_embed_is_unit_and_near(spark):
     texts = spark.createDataFrame([(1, "怎么取消大会员自动续费"), (2, "大会员连续包月取消自动续费"), (3, "稿件被下架如何申诉"), (4, "…")], "chunk_id int, text string")
     rows = {r.chunk_id: np.array(r.vector) for r in vec.hash_embed(texts, "text", 128).collect()}
