@@ -10,9 +10,8 @@ from ..functions.scale import fits_broadcast, top_k
 from ..functions.text import fold, strip
 from ..functions.tokens import bigram_tokenizer
 from ..session import durable
-
-K1, B = 1.2, 0.75
-SET = "target_set"
+from . import lexical_index
+from .lexical_index import SET, B, K1, LexicalIndex, gain
 
 
 def _with_set(df: DataFrame) -> DataFrame:
@@ -20,14 +19,15 @@ def _with_set(df: DataFrame) -> DataFrame:
 
 
 def bm25_index(chunks: DataFrame, tokenizer: Callable[[Column], Column] | None = None, field: str = "text",
-               stored: bool = False) -> tuple[DataFrame, DataFrame]:
+               stored: bool = False, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """LEX-1: (documents with their tokens and length, corpus statistics per target set).
 
-    Chunks stay one row each; postings are made by the search from the query vocabulary only. ``stored`` writes the token
-    table once, so that statistics and searches do not tokenize the corpus again.
+    Chunks stay one row each, with the columns ``keep``; postings are made by the search from the query vocabulary only.
+    ``stored`` writes the token table once, so that statistics and searches do not tokenize the corpus again. For a corpus that is
+    searched by top k, ``lexical_index.build`` stores postings with block maxima.
     """
     tokenize = tokenizer or bigram_tokenizer()
-    docs = _with_set(chunks).select(SET, "chunk_id", tokenize(F.col(field)).alias("tokens")).withColumn("length", F.size("tokens"))
+    docs = _with_set(chunks).select(SET, "chunk_id", *keep, tokenize(F.col(field)).alias("tokens")).withColumn("length", F.size("tokens"))
     docs = durable(docs) if stored else docs
     stats = docs.groupBy(SET).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
     return docs, stats
@@ -39,45 +39,45 @@ def postings(docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_scores(docs: DataFrame, stats: DataFrame, queries: DataFrame, tokenizer=None, k1: float = K1, b: float = B) -> DataFrame:
-    """Score of every (query, chunk) pair that shares a term.
+def bm25_scores(docs: DataFrame, stats: DataFrame, queries: DataFrame, tokenizer=None, k1: float = K1, b: float = B,
+                keep: tuple[str, ...] = (), ask: tuple[str, ...] = (), may: Column | None = None) -> DataFrame:
+    """Score of every (query, chunk) pair that shares a term and meets ``may``, a condition on the columns ``keep`` of the
+    documents and ``ask`` of the queries. Statistics are those of all documents.
 
     Only tokens of the query vocabulary survive the scan. They are distributed by chunk, so term frequencies, pair
     scores and the first top-k cut need no further exchange, and a common term is spread over its chunks. The query
     side is broadcast when its measured size allows; otherwise the join shuffles on the term and AQE splits hot terms.
     """
     tokenize = tokenizer or bigram_tokenizer()
-    terms = _with_set(queries).select(SET, "query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
+    terms = _with_set(queries).select(SET, "query_id", *ask, F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
     small = fits_broadcast(terms)
     send = F.broadcast if small else (lambda df: df)
     vocabulary = terms.select(SET, "term").distinct()
     tf = (
-        docs.select(SET, "chunk_id", "length", F.explode("tokens").alias("term"))
+        docs.select(SET, "chunk_id", *keep, "length", F.explode("tokens").alias("term"))
         .join(send(vocabulary), [SET, "term"], "left_semi").repartition(F.col("chunk_id"))
-        .groupBy(SET, "chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+        .groupBy(SET, "chunk_id", *keep, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
     df = tf.groupBy(SET, "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(send(df), [SET, "term"]).join(send(stats), SET).select(
-        SET, "query_id", "term", idf.alias("idf"), "avg_length")
-    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+        SET, "query_id", *ask, "term", idf.alias("idf"), "avg_length")
+    one = F.col("idf") * gain(F.col("tf"), F.col("length"), F.col("avg_length"), k1, b)
+    pairs = tf.join(send(weighted), [SET, "term"])
     return (
-        tf.join(send(weighted), [SET, "term"]).groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("score"))
+        (pairs if may is None else pairs.where(may)).groupBy("query_id", "chunk_id").agg(F.sum(one).alias("score"))
         .where("score > 0").withColumn("score", F.round("score", 9))
     )
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 20, tokenizer=None, field: str = "text") -> DataFrame:
-    """LEX-2; LEX-3 when both tables carry ``target_set`` (statistics are then those of the set)."""
-    docs, stats = bm25_index(chunks, tokenizer, field, stored=True)
-    pairs = bm25_scores(docs, stats, queries, tokenizer)
-    return top_k(pairs, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
-
+def bm25_search(chunks: DataFrame | LexicalIndex, queries: DataFrame, k: int = 20, tokenizer=None, field: str = "text",
+                targets: DataFrame | None = None) -> DataFrame:
+    """LEX-2: exact top k per query, from a stored index or from chunks that are indexed first.
 
-def target_sets(chunks: DataFrame, targets: DataFrame) -> DataFrame:
-    """LEX-3: chunks repeated for every target set (set, version) that may search them."""
-    return chunks.join(targets.select(SET, "version_id").distinct(), "version_id")
+    LEX-3 with ``targets`` (target_set, version_id): ``queries`` carries ``target_set``, and N, average length and df are those of the set's versions.
+    """
+    index = chunks if isinstance(chunks, LexicalIndex) else lexical_index.build(chunks, tokenizer, field)
+    return lexical_index.search(index, queries, k, tokenizer, targets)[0]
 
 
 def _phrase(tokens: Column) -> Column:
@@ -88,40 +88,44 @@ def fielded_search(index: DataFrame, queries: DataFrame, k: int = 20, tokenizer=
     """LEX-4: max(title boost * title, content) + phrase boosts + a boost when a domain term is shared.
 
     ``index``: chunk_id, title, content, owner, domain, access_scope, active, domain_terms. A phrase is a run of
-    consecutive tokens. Field scores use the statistics of the active index.
+    consecutive tokens. Field scores use the statistics of the active index; owner, domain and scopes hold inside every join
+    that makes pairs.
     """
     title_boost, title_phrase, body_phrase, term_boost = boosts
     tokenize = tokenizer or bigram_tokenizer()
     live = index.where("active")
     asked = queries.withColumn("_phrase", _phrase(tokenize(F.col("query"))))
 
+    own, wish = ("owner", "domain", "access_scope"), ("_o", "_d", "allowed_scopes")
+    can = (F.col("owner") == F.col("_o")) & (F.col("domain") == F.col("_d")) & F.arrays_overlap("access_scope", "allowed_scopes")
+    known = queries.withColumns({"_o": F.col("owner"), "_d": F.col("domain")}).drop("owner", "domain")
+
     def field(name: str) -> DataFrame:
-        docs, stats = bm25_index(live, tokenize, name, stored=True)
-        return bm25_scores(docs, stats, queries, tokenize)
+        docs, stats = bm25_index(live, tokenize, name, stored=True, keep=own)
+        return bm25_scores(docs, stats, known, tokenize, keep=own, ask=wish, may=can)
 
-    shared = live.select("chunk_id", F.explode("domain_terms").alias("_t")).withColumn("_t", fold("_t"))
-    wanted = queries.select("query_id", F.explode("domain_terms").alias("_t")).withColumn("_t", fold("_t")).distinct()
+    shared = live.select("chunk_id", *own, F.explode("domain_terms").alias("_t")).withColumn("_t", fold("_t"))
+    wanted = known.select("query_id", *wish, F.explode("domain_terms").alias("_t")).withColumn("_t", fold("_t")).distinct()
     wanted = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
     zero = F.lit(0.0)
     parts = [
         field("title").select("query_id", "chunk_id", F.col("score").alias("t"), zero.alias("c"), zero.alias("d")),
         field("content").select("query_id", "chunk_id", zero.alias("t"), F.col("score").alias("c"), zero.alias("d")),
-        shared.join(wanted, "_t").select("query_id", "chunk_id", zero.alias("t"), zero.alias("c"), F.lit(term_boost).alias("d")),
+        shared.join(wanted, (shared["_t"] == wanted["_t"]) & can).select("query_id", "chunk_id", zero.alias("t"), zero.alias("c"), F.lit(term_boost).alias("d")),
     ]
     merged = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("query_id", "chunk_id").agg(
         F.max("t").alias("t"), F.max("c").alias("c"), F.max("d").alias("d"))
-    facts = live.select("chunk_id", "owner", "domain", "access_scope", _phrase(tokenize(F.col("title"))).alias("_tp"),
+    facts = live.select("chunk_id", _phrase(tokenize(F.col("title"))).alias("_tp"),
                         _phrase(tokenize(F.col("content"))).alias("_cp"))
-    side = asked.select("query_id", F.col("owner").alias("_o"), F.col("domain").alias("_d"), "allowed_scopes", "_phrase")
+    side = asked.select("query_id", "_phrase")
     side = F.broadcast(side) if fits_broadcast(side) else side
-    can = (F.col("owner") == F.col("_o")) & (F.col("domain") == F.col("_d")) & F.arrays_overlap("access_scope", "allowed_scopes")
     has = F.length(strip("_phrase")) > 0
     score = (
         F.greatest(F.col("t") * title_boost, F.col("c")) + F.col("d")
         + F.when(has & F.contains("_tp", F.col("_phrase")), title_phrase).otherwise(0.0)
         + F.when(has & F.contains("_cp", F.col("_phrase")), body_phrase).otherwise(0.0)
     )
-    scored = merged.join(side, "query_id").join(facts, "chunk_id").where(can).select(
+    scored = merged.join(side, "query_id").join(facts, "chunk_id").select(
         "query_id", "chunk_id", F.round(score, 9).alias("score")).where("score > 0")
     return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 

@@ -11,6 +11,7 @@ from answerloom.functions import tokens as tok
 from answerloom.operators import dictionary as dic
 from answerloom.operators import evidence as ev
 from answerloom.operators import lexical as lx
+from answerloom.operators import lexical_index as lxi
 from answerloom.operators import ranking as rk
 from answerloom.operators import vector_index as vix
 from answerloom.operators import vectors as vec
@@ -40,6 +41,70 @@ def test_bm25_order_and_no_overlap(spark):
     assert rows[0].chunk_id == "a" and rows[0].score > 0 and all(r.query_id == 1 for r in rows)
 
 
+def plain_bm25(texts, query, k):
+    """texts: {chunk_id: text} of the searched set."""
+    toks = {i: t.split() for i, t in texts.items()}
+    avg = sum(map(len, toks.values())) / len(toks)
+    score = {}
+    for w in set(query.split()):
+        df = sum(w in t for t in toks.values())
+        for i, t in toks.items():
+            if w in t:
+                tf = t.count(w)
+                score[i] = score.get(i, 0) + math.log(1 + (len(toks) - df + .5) / (df + .5)) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * len(t) / avg))
+    return sorted(((-round(s, 9), i) for i, s in score.items()))[:k]
+
+
+@pytest.mark.parametrize("block", [1, 8, 1000])
+def test_stored_index_skips_blocks_and_keeps_the_answer(spark, block):
+    rng = random.Random(11)
+    words = [f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(40_000)]
+    texts, at = {}, 0
+    for i in range(600):
+        n = rng.randint(1, 90) if i % 5 else 12
+        texts[i] = " ".join(words[at:at + n])
+        at += n
+    asks = {q: " ".join(rng.sample(words, rng.randint(1, 8))) + (" " + texts[q * 7] if q % 3 == 0 else "") for q in range(25)}
+    chunks = spark.createDataFrame([(i, i % 4, t) for i, t in texts.items()], "chunk_id int, version_id int, text string")
+    queries = spark.createDataFrame([(q, q % 3, t) for q, t in asks.items()], "query_id int, target_set int, query string")
+    index = lxi.build(chunks, block=block)
+    hits, scored = lxi.search(index, queries, 5)
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.chunk_id))
+    for q, t in asks.items():
+        assert [(round(s, 6), i) for s, i in got[q]] == [(round(s, 6), i) for s, i in plain_bm25(texts, t, 5)]
+    exhaustive = sum(bool(set(a.split()) & set(t.split())) for a in asks.values() for t in texts.values())
+    assert scored.count() <= exhaustive and (block > 1 or scored.count() < exhaustive / 2)
+    # Overlapping sets of versions: each has its own statistics.
+    sets = {0: {0, 1}, 1: {1, 2, 3}, 2: {3}}
+    members = spark.createDataFrame([(s, v) for s, vs in sets.items() for v in vs] + [(0, 1)], "target_set int, version_id int")
+    got = {}
+    for r in lx.bm25_search(index, queries, 5, targets=members).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((round(-r.score, 6), r.chunk_id))
+    for q, t in asks.items():
+        assert got.get(q, []) == [(round(s, 6), i) for s, i in plain_bm25({i: x for i, x in texts.items() if i % 4 in sets[q % 3]}, t, 5)]
+
+
+def test_stored_index_on_the_given_documents_scores_at_most_half(spark):
+    from answerloom.plans.q_retrieval import corpus, questions
+
+    folder = "/root/testdata/sf0.01"
+    index = lxi.build(corpus(spark, folder))
+    queries = questions(spark, folder)
+    _, scored = lxi.search(index, queries, 5)
+    every = lxi.block_scores(index, lxi.weights(index, queries), lxi.bounds(index, lxi.weights(index, queries)))
+    assert scored.count() <= every.count() / 2
+
+
+def test_stored_index_stands_empty_tables_and_texts(spark):
+    chunks = spark.createDataFrame([("a", None), ("b", ""), ("c", "one two"), ("d", "two")], "chunk_id string, text string")
+    queries = spark.createDataFrame([(1, "two"), (2, None), (3, "")], "query_id int, query string")
+    assert [(r.query_id, r.chunk_id) for r in lx.bm25_search(chunks, queries, 5).orderBy("rank").collect()] == [(1, "d"), (1, "c")]
+    assert lx.bm25_search(chunks.where("false"), queries, 5).count() == 0
+    assert lx.bm25_search(chunks, queries.where("false"), 5).count() == 0
+
+
 def _hits(spark, rows):
     return spark.createDataFrame([(1, s, r, float(x), c, d, "v", "i") for s, r, x, c, d in rows],
                                  "query_id int, source string, rank int, score double, chunk_id string, document_id string, version_id string, index_version_id string")
