@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scale import top_k
@@ -151,8 +151,8 @@ def candidates(index: DataFrame, book: Codebook, queries: DataFrame, rescored: i
                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``query_id, chunk_id, cell, near``: the rows of visited cells that rank first by codes, ``rescored`` per query.
 
-    A task holds one part of one cell's rows of one domain with the queries that visit it. Cells with more than ``rows_per_task`` rows of a
-    domain are cut by hash of the id; what a part hands on per query is bounded."""
+    A task holds neighbouring cells of one domain up to about ``rows_per_task`` rows, with the queries that visit any of them, and hands on
+    ``rescored`` rows per query at most. A cell with more rows of a domain is cut by hash of the id."""
     wanted, visited = rescored or book.rescored, min(probes or book.probes, len(book.cells))
     limits = [c for c in ("allowed_scopes", "index_version_ids") if c in queries.columns]
     marks = [c for c in ("access_scope", "index_version_id") if c in index.columns]
@@ -169,28 +169,34 @@ def candidates(index: DataFrame, book: Codebook, queries: DataFrame, rescored: i
                 yield batch.assign(vector=list(unit), visit=list(book.visits(unit, visited).astype(np.int32)))
 
     schema = ", ".join([*(f"{n} {t}" for n, t in asked.dtypes if n != "vector"), "vector array<double>", "visit array<int>"])
-    sizes = durable(index.groupBy("domain", "cell").agg(F.ceil(F.count(F.lit(1)) / rows_per_task).cast("int").alias("pieces")))
+    visits = durable(asked.mapInPandas(visit, schema))
+    before = F.sum("n").over(Window.partitionBy("domain").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))  # one row per cell
+    sizes = durable(index.groupBy("domain", "cell").agg(F.count(F.lit(1)).alias("n")).select(
+        "domain", "cell", F.floor(F.coalesce(before, F.lit(0)) / rows_per_task).alias("part"), F.ceil(F.col("n") / rows_per_task).cast("int").alias("pieces")))
     same = [F.col(c).alias(c) for c in sizes.columns]
-    visits = asked.mapInPandas(visit, schema).withColumn("cell", F.explode("visit")).drop("visit").join(sizes.select(*same), ["domain", "cell"])  # empty cells go
     left = index.select("vec_id", "domain", "cell", "code", *marks).join(sizes, ["domain", "cell"]).withColumn(
         "piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int"))
-    right = visits.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    meets = visits.select("query_id", "domain", F.explode("visit").alias("cell")).join(sizes.select(*same), ["domain", "cell"]).groupBy(
+        "query_id", "part").agg(F.max("pieces").alias("pieces"))  # empty cells go
+    right = visits.join(meets, "query_id").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
 
     def rank(rows: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         parts = [pd.DataFrame({"query_id": [], "chunk_id": [], "cell": [], "near": []})]
         if len(rows) and len(ask):
             codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-            ids, allowed = rows["vec_id"].to_numpy(), allowed_pairs(rows, ask)
-            for q, (query, unit) in enumerate(zip(ask["query_id"].to_numpy(), ask["vector"])):
-                near = code_scores(book.tables(np.asarray(unit)[None])[0], codes)
-                if allowed is not None:
-                    near[~allowed[:, q]] = np.nan
-                pick = _best(near, ids, wanted)
-                parts.append(pd.DataFrame({"query_id": query, "chunk_id": ids[pick], "cell": rows["cell"].iloc[0], "near": near[pick]}))
+            ids, cells, allowed = rows["vec_id"].to_numpy(), rows["cell"].to_numpy(), allowed_pairs(rows, ask)
+            for q, (query, unit, seen) in enumerate(zip(ask["query_id"].to_numpy(), ask["vector"], ask["visit"])):
+                at = np.zeros(len(book.cells), bool)
+                at[seen] = True
+                at = at[cells] if allowed is None else at[cells] & allowed[:, q]
+                at = np.flatnonzero(at)
+                near = code_scores(book.tables(np.asarray(unit)[None])[0], codes[at])
+                pick = _best(near, ids[at], wanted)
+                parts.append(pd.DataFrame({"query_id": query, "chunk_id": ids[at[pick]], "cell": cells[at[pick]], "near": near[pick]}))
         return pd.concat(parts)
 
     kinds = dict(index.dtypes) | dict(queries.dtypes)
-    keys = ["domain", "cell", "piece"]
+    keys = ["domain", "part", "piece"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         rank, f"query_id {kinds['query_id']}, chunk_id {kinds['vec_id']}, cell int, near double")
     return top_k(found, ["query_id"], [F.col("near").desc(), F.col("chunk_id")], wanted).drop("rank")
