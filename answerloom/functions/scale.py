@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
@@ -153,6 +155,53 @@ def split_previous(
     )
 
 
+GRID = 200
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], gather: int = 200_000) -> DataFrame:
+    """Nearest-rank percentiles per key, one column per name of ``fractions``; NULL where a key has no value.
+
+    A range of values that holds the rank is narrowed with mergeable sketches, a ``GRID``th of its rows per pass, until at most
+    ``gather`` values of a key remain; those are counted by value and ranked exactly. No buffer grows with a key's rows.
+    """
+    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    wanted = F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(q).alias("_q")) for n, q in fractions.items()])
+    state = durable(
+        base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .withColumn("_w", F.explode(wanted)).select(
+            *keys, "_lo", "_hi", "_w._name", F.col("_n").alias("_inside"),
+            F.greatest(F.lit(1), F.ceil(F.col("_w._q") * F.col("_n") - 1e-9)).cast("long").alias("_rank")))
+
+    def met(now: DataFrame) -> DataFrame:
+        aliases = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.lit(True))
+        return base.join(now.select(*aliases, "_name", "_lo", "_hi", "_rank"), same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    below = F.count_if(F.col("_v") < F.col("_lo")).alias("_below")
+    group = [*keys, "_name", "_lo", "_hi", "_rank"]
+    while (state.where("_lo < _hi").agg(F.max("_inside")).first()[0] or 0) > gather:
+        grid = F.percentile_approx(F.when(inside, F.col("_v")), F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]), 50 * GRID)
+        seen = met(state).groupBy(*group).agg(below, F.count_if(inside).alias("_m"), grid.alias("_grid"))
+        step = (F.col("_rank") - F.col("_below")) / F.col("_m") * GRID
+        low = F.element_at("_grid", F.greatest(F.lit(1), F.floor(step)).cast("int"))
+        high = F.element_at("_grid", F.least(F.lit(GRID + 1), F.ceil(step) + 2).cast("int"))
+        narrow = seen.select(*keys, "_name", "_rank", F.greatest("_lo", low).alias("_lo"), F.least("_hi", high).alias("_hi"))
+        counted = met(narrow).groupBy(*group).agg(F.count_if(inside).alias("_inside"))
+        narrowed = durable(counted.select(*state.columns))
+        if narrowed.agg(F.sum("_inside")).first()[0] >= state.agg(F.sum("_inside")).first()[0]:
+            break  # only ties are left in the largest range
+        state = narrowed
+    ranges = met(state)
+    before = ranges.groupBy(*group).agg(below)
+    upto = F.sum("_c").over(W.partitionBy(*group).orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    counts = ranges.where(inside).groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", upto)
+    named = [F.col(c).alias(f"_b{c}") for c in group]
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_b{c}")) for c in group])
+    found = counts.join(before.select(*named, "_below"), same).where(F.col("_below") + F.col("_upto") >= F.col("_rank"))
+    return found.groupBy(*keys).agg(*[F.min(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in fractions])
+
+
 def grouped_list(value: Column, *order: Column, distinct: bool = False) -> Column:
     """Ordered list of a *bounded* group (per query, per document)."""
     rows = F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], value.alias("v"))))

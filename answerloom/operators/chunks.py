@@ -6,6 +6,7 @@ bounded, and all strategies share one exchange on version_id.
 """
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -398,17 +399,56 @@ def route_sections(blocks: DataFrame, **markers) -> DataFrame:
     ).drop("_start")
 
 
+Strategy = Callable[[DataFrame], DataFrame]
+"""Blocks of its kind (with ``run``) to drafts: at least version_id and the NEEDED fields, any other fields of a draft as wanted."""
+NEEDED = {"local_id": "string", "kind": "string", "content": "string", "source_block_ordinal": "int", "parent_local_id": "string"}
+
+
+def drafts_of(strategy: Strategy, name: str, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Drafts of a caller's strategy in the common schema, and the breaches of its contract as error rows.
+
+    Columns are checked at once: a missing or unknown one raises. Rows are checked as data: unknown kind, blank content, a parent with a
+    parent, a child without one, a parent that the version doesn't have, or a repeated local id.
+    """
+    out = strategy(blocks)
+    missing, unknown = {"version_id", *NEEDED} - set(out.columns), set(out.columns) - {"version_id", *DRAFT_FIELDS}
+    if missing or unknown:
+        raise ValueError(f"strategy {name}: missing columns {sorted(missing)}, unknown columns {sorted(unknown)}")
+    defaults = {"strategy": F.lit(name), "run": F.lit(0), "phase": F.lit(0), "unit": F.col("source_block_ordinal"), "minor": F.lit(0)}
+    given = {c: F.col(c) if c in out.columns else defaults.get(c, F.lit(None)) for c in DRAFT_FIELDS}
+    drafts = durable(out.select("version_id", _draft(**given).alias("_d")).select("version_id", "_d.*"))
+    is_child = F.col("kind") == "child"
+    wrong = (
+        F.when(~F.coalesce(F.col("kind").isin("parent", "child"), F.lit(False)), "unknown_kind").when(F.length(strip(F.coalesce("content", F.lit("")))) == 0, "blank_content")
+        .when(~is_child & F.col("parent_local_id").isNotNull(), "parent_with_parent").when(is_child & F.col("parent_local_id").isNull(), "child_without_parent"))
+    row = ["version_id", F.col("source_block_ordinal").alias("ordinal")]
+    parents = drafts.where("kind = 'parent'").select("version_id", F.col("local_id").alias("parent_local_id")).distinct()
+    orphans = drafts.where(is_child & F.col("parent_local_id").isNotNull()).join(parents, ["version_id", "parent_local_id"], "left_anti")
+    repeated = drafts.groupBy("version_id", "local_id").agg(F.count(F.lit(1)).alias("n"), F.min("source_block_ordinal").alias("source_block_ordinal")).where("n > 1")
+    errors = drafts.select(*row, wrong.alias("error")).where("error is not null").unionByName(
+        orphans.select(*row, F.lit("unknown_parent").alias("error"))).unionByName(repeated.select(*row, F.lit("repeated_local_id").alias("error")))
+    return drafts, errors
+
+
 def chunk_corpus(blocks: DataFrame, documents: DataFrame, size: int = 160, overlap: int = 20, faq_openings=lex.QUESTION_OPENINGS,
-                 exception_markers=lex.EXCEPTION_MARKERS, **markers) -> tuple[DataFrame, DataFrame]:
+                 exception_markers=lex.EXCEPTION_MARKERS, strategies: Mapping[str, Strategy] | None = None, **markers) -> tuple[DataFrame, DataFrame]:
     """CHK-8: every block to its strategy, draft order kept. A version with a structural error yields no chunks; a repeated
-    block ordinal fails the whole set."""
+    block ordinal fails the whole set.
+
+    ``strategies`` (ChunkStrategy): a caller's own, by knowledge type ('table' for table blocks). A known name replaces the built-in one, a
+    new name serves documents of that knowledge type.
+    """
+    custom = dict(strategies or {})
     typed = blocks.join(documents.select("version_id", "knowledge_type"), "version_id")
     # Written once: every strategy then scans only its own blocks instead of repeating parsing, shuffle and routing.
     routed = require_unique_ordinals(durable(route_sections(typed, **markers)))
 
-    def of(name: str) -> DataFrame:
+    def only(name: str) -> DataFrame:
         return routed.where(F.col("strategy") == name).drop("strategy", "knowledge_type")
 
+    def of(name: str) -> DataFrame:
+        return only(name).where(F.lit(name not in custom))
+
     faq, orphans, faq_errors = _faq_parts(of("faq"), faq_openings)
     manual, unstepped = _manual_parts(of("manual"))
     plain = of("generic").withColumn("phase", F.lit(0)).select(*FALLBACK)
@@ -417,6 +457,9 @@ def chunk_corpus(blocks: DataFrame, documents: DataFrame, size: int = 160, overl
         chunk_generic(plain.unionByName(orphans).unionByName(unstepped), size, overlap), chunk_table(of("table")), faq,
         manual, chunk_policy(of("policy"), exception_markers),
     ])
+    for name, strategy in custom.items():
+        own, breaches = drafts_of(strategy, name, only(name))
+        drafts, errors = drafts.unionByName(own), errors.unionByName(breaches.select(*errors.columns))
     return drafts.join(errors.select("version_id").distinct(), "version_id", "left_anti"), errors
 
 

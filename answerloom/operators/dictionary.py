@@ -1,6 +1,11 @@
 """Domain dictionary: normalisation, candidates, publication, term matching."""
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterable, Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,23 +83,59 @@ def publish_dictionary(terms: DataFrame, versions: DataFrame) -> DataFrame:
     )
 
 
+def automata(surfaces: Iterable[tuple[str, str, object]]) -> dict[str, ahocorasick.Automaton]:
+    """One Aho-Corasick automaton per domain from (domain, surface, payload); a surface's payloads are kept together."""
+    payloads: dict[str, dict[str, set]] = {}
+    for domain, surface, payload in surfaces:
+        payloads.setdefault(domain, {}).setdefault(surface, set()).add(payload)
+    out = {}
+    for domain, own in payloads.items():
+        out[domain] = ahocorasick.Automaton()
+        for surface, kept in own.items():
+            out[domain].add_word(surface, (len(surface), tuple(kept)))
+        out[domain].make_automaton()
+    return out
+
+
+def hits(by_domain: dict[str, ahocorasick.Automaton], domain: str | None, folded: str | None) -> Iterator[tuple[int, int, tuple]]:
+    """(start, stop, payloads) of every occurrence, overlapping ones too, in one walk over the text."""
+    automaton = by_domain.get(domain)
+    if automaton is not None and folded:
+        for last, (size, payloads) in automaton.iter(folded):
+            yield last + 1 - size, last + 1, payloads
+
+
+def longest_apart(found: Iterable[tuple[int, int, str]]) -> list[str]:
+    """Names of (start, stop, name) in text order: the longest first, ties by start and name, as long as they don't overlap."""
+    starts: list[int] = []
+    picked: list[tuple[int, str, int]] = []
+    for start, stop, name in sorted(found, key=lambda h: (h[0] - h[1], h[0], h[2])):
+        at = bisect.bisect_left(starts, start)
+        if (at == 0 or picked[at - 1][2] <= start) and (at == len(starts) or starts[at] >= stop):
+            starts.insert(at, start)
+            picked.insert(at, (start, name, stop))
+    return [name for _, name, _ in picked]
+
+
 def match_terms(texts: DataFrame, entries: DataFrame, text: str = "text", key: str = "text_id", max_rows: int = 200_000) -> DataFrame:
     """DIC-5: canonical terms whose term or alias occurs in the folded text, in entry order.
 
-    ``entries``: domain, position, term, aliases. A dictionary that fits is attached as one list per domain and tested
-    inside the row, so no text-entry pairs are produced. A larger one meets the texts by shared leading two characters.
+    ``entries``: domain, position, term, aliases. A dictionary that fits becomes one automaton per domain, walked once per text
+    however many surfaces there are. A larger one meets the texts by shared leading two characters.
     """
     surfaces = entries.select(
         "domain", "position", "term",
         F.filter(F.transform(F.concat(F.array("term"), "aliases"), fold), lambda s: F.length(s) > 0).alias("surfaces"))
     body = texts.withColumn("_folded", fold(text))
     if fits_broadcast(surfaces, max_rows):
-        lists = surfaces.groupBy("domain").agg(
-            F.array_sort(F.collect_list(F.struct("position", "term", "surfaces"))).alias("_entries"))
-        hits = F.filter("_entries", lambda e: F.exists(e["surfaces"], lambda s: F.contains(F.col("_folded"), s)))
-        terms = F.array_distinct(F.transform(hits, lambda e: e["term"]))
-        return body.join(F.broadcast(lists), "domain", "left").select(
-            *texts.columns, F.coalesce(terms, F.array().cast("array<string>")).alias("domain_terms"))
+        rows = surfaces.select("domain", F.struct("position", "term").alias("e"), F.explode("surfaces").alias("s")).toLocalIterator()
+        shared = texts.sparkSession.sparkContext.broadcast(automata((r["domain"], r["s"], (r["e"]["position"], r["e"]["term"])) for r in rows))
+
+        @F.pandas_udf("array<string>")
+        def found_terms(domains: pd.Series, folded: pd.Series) -> pd.Series:
+            return pd.Series([list(dict.fromkeys(t for _, t in sorted({e for _, _, es in hits(shared.value, d, s) for e in es}))) for d, s in zip(domains, folded)])
+
+        return body.select(*texts.columns, found_terms(F.col("domain"), F.col("_folded")).alias("domain_terms"))
     grams = F.array_distinct(char_bigrams(F.col("_folded")))
     singles = F.array_distinct(F.split("_folded", ""))
     keyed = body.select(key, "domain", "_folded", F.explode(F.array_union(grams, singles)).alias("_gram"))
@@ -138,12 +179,21 @@ def alias_list(registry: dict[str, tuple[str, ...]]) -> Column:
 
 
 def scan_aliases(texts: DataFrame, aliases: DataFrame, text: str = "text") -> DataFrame:
-    """DIC-6 with an alias table (domain, canonical, surface): one bounded list per domain travels to the texts."""
+    """DIC-6 with an alias table (domain, canonical, surface): one automaton per domain finds all occurrences in one walk. An alias table
+    that doesn't fit travels as one list per domain."""
+    if fits_broadcast(aliases):
+        rows = aliases.select("domain", "canonical", fold("surface").alias("surface")).where("length(surface) > 0 and canonical is not null").toLocalIterator()
+        shared = texts.sparkSession.sparkContext.broadcast(automata((r["domain"], r["surface"], r["canonical"]) for r in rows))
+
+        @F.pandas_udf("array<string>")
+        def names(domains: pd.Series, folded: pd.Series) -> pd.Series:
+            return pd.Series([longest_apart((a, b, n) for a, b, ns in hits(shared.value, d, s) for n in ns) for d, s in zip(domains, folded)])
+
+        return texts.select(*texts.columns, names(F.col("domain"), fold(text)).alias("names"))
     lists = aliases.select("domain", "canonical", fold("surface").alias("surface")).groupBy("domain").agg(
         F.array_sort(F.collect_set(F.struct("canonical", "surface"))).alias("_aliases"))
-    side = F.broadcast(lists) if fits_broadcast(aliases) else lists
     empty = F.array().cast("array<string>")
-    return texts.join(side, "domain", "left").withColumn(
+    return texts.join(lists, "domain", "left").withColumn(
         "names", F.when(F.col("_aliases").isNull(), empty).otherwise(scan_column(F.col(text), F.col("_aliases")))).drop("_aliases")
 
 

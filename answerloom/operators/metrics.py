@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicons as lex
+from ..functions.scale import exact_percentiles
 from ..functions.text import fold, ratio
 
 
@@ -16,8 +17,18 @@ def _share(flag: Column) -> Column:
     return F.coalesce(F.avg(F.coalesce(flag, F.lit(False)).cast("double")), F.lit(0.0))
 
 
-def _nearest_rank(value: str, q: float) -> Column:
-    return F.coalesce(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})"), F.lit(0.0))
+LATENCIES = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95}
+
+
+def _with_latencies(metrics: DataFrame, rows: DataFrame, by: list[str] | None, value: str) -> DataFrame:
+    """Nearest-rank percentiles beside the other metrics; 0 where no latency is given."""
+    keys = by or []
+    ranks = exact_percentiles(rows, keys, value, LATENCIES)
+    aliased = ranks.select(*[F.col(k).alias(f"_p_{k}") for k in keys], *LATENCIES)
+    same = [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in keys] or [F.lit(True)]
+    last = [c for c in metrics.columns if c in ("positive_cases", "negative_cases")]
+    return metrics.join(aliased, same, "left").select(
+        *[c for c in metrics.columns if c not in last], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in LATENCIES], *last)
 
 
 def retrieval_cases(cases: DataFrame, parents: DataFrame) -> DataFrame:
@@ -45,11 +56,11 @@ def retrieval_metrics(scored: DataFrame, by: list[str] | None = None) -> DataFra
     """EVL-2: macro means over positives, negative accuracy, nearest-rank latency percentiles; an empty mean is 0."""
     pos, neg = ~F.col("expect_empty"), F.col("expect_empty")
     ran = scored.withColumn("_ok_latency", F.when(F.coalesce(F.col("failure") != "execution_error", F.lit(True)), F.col("latency_ms")))
-    return ran.groupBy(*(by or [])).agg(
+    means = ran.groupBy(*(by or [])).agg(
         *[_mean(F.when(pos, F.col(f"recall_at_{k}"))).alias(f"recall_at_{k}") for k in (1, 3, 5)], _mean(F.when(pos, F.col("reciprocal_rank"))).alias("mrr_at_5"),
         _mean(F.when(neg, F.col("failure").isNull().cast("double"))).alias("negative_accuracy"), _share(F.col("failure") == "execution_error").alias("execution_failure_rate"),
-        _share(F.col("rerank_degraded")).alias("rerank_degradation_rate"), _nearest_rank("_ok_latency", 0.5).alias("latency_p50_ms"),
-        _nearest_rank("_ok_latency", 0.95).alias("latency_p95_ms"), F.count_if(pos).alias("positive_cases"), F.count_if(neg).alias("negative_cases"))
+        _share(F.col("rerank_degraded")).alias("rerank_degradation_rate"), F.count_if(pos).alias("positive_cases"), F.count_if(neg).alias("negative_cases"))
+    return _with_latencies(means, ran, by, "_ok_latency")
 
 
 def policy_metrics(results: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -60,12 +71,13 @@ def policy_metrics(results: DataFrame, by: list[str] | None = None) -> DataFrame
     answered = F.coalesce(F.col("decision") == "answer", F.lit(False))
     r = results.withColumns({"_passed": passed, "_answered": answered, "_lat": F.when(ok, F.col("latency_ms"))})
     neg = F.col("expect_empty")
-    return r.groupBy(*(by or [])).agg(
+    means = r.groupBy(*(by or [])).agg(
         _share(F.col("_passed")).alias("decision_accuracy"), _mean(F.when(F.col("_answered"), F.col("_passed").cast("double"))).alias("answer_precision"),
         _mean(F.when(neg, F.col("_answered").cast("double"))).alias("false_answer_rate"),
         _mean(F.when(neg, F.coalesce(F.col("decision") == "refuse", F.lit(False)).cast("double"))).alias("refusal_recall"),
         _mean(F.when(ok, F.col("coverage_ratio"))).alias("mean_entity_coverage"), _mean(F.when(ok, F.col("supplemental").cast("double"))).alias("supplemental_query_rate"),
-        _share(~ok).alias("execution_failure_rate"), _nearest_rank("_lat", 0.5).alias("latency_p50_ms"), _nearest_rank("_lat", 0.95).alias("latency_p95_ms"))
+        _share(~ok).alias("execution_failure_rate"))
+    return _with_latencies(means, r, by, "_lat")
 
 
 def chunk_cases(cases: DataFrame, chunks: DataFrame, errors: DataFrame | None = None) -> DataFrame:

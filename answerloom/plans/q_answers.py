@@ -189,7 +189,7 @@ def q_policy_metrics(spark, d):
     return policy_runs(spark, d).select("run", *[F.round(c, 6).alias(c) for c in PM_COLS])
 
 
-@query("compare_runs", f"WITH {POLICY}, u AS ({' UNION ALL '.join(f'''SELECT run, '{c}' AS metric, {c} AS value FROM pm''' for c in PM_COLS)}) SELECT u.run, u.metric, round(u.value, 6) AS value, round(u.value - b.value, 6) AS delta FROM u JOIN u b ON b.metric = u.metric AND b.run = '1-URGENT'")
+@query("compare_runs", f"WITH {POLICY.replace('pm AS (', 'pm AS MATERIALIZED (')}, u AS MATERIALIZED ({' UNION ALL '.join(f'''SELECT run, '{c}' AS metric, {c} AS value FROM pm''' for c in PM_COLS)}) SELECT u.run, u.metric, round(u.value, 6) AS value, round(u.value - b.value, 6) AS delta FROM u JOIN u b ON b.metric = u.metric AND b.run = '1-URGENT'")
 def q_compare_runs(spark, d):
     out = me.compare_runs(policy_runs(spark, d), "run", "1-URGENT")
     return out.select("run", "metric", F.round("value", 6).alias("value"), F.round("delta", 6).alias("delta"))

@@ -39,21 +39,29 @@ def uploads(spark, d):
     )
 
 
-@query("read_files", """
-SELECT doc_id, 'doc' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.TXT' WHEN 2 THEN '.pdf' ELSE '.xyz' END AS filename,
-  CASE WHEN doc_id % 4 = 3 THEN 'UNSUPPORTED_DOCUMENT_TYPE' WHEN strlen(text) > 4000 THEN 'FILE_TOO_LARGE' ELSE '' END AS error_code,
-  CASE WHEN doc_id % 4 = 3 OR strlen(text) > 4000 THEN '' ELSE sha256(text) END AS sha256 FROM documents""")
+FILE_DOCS = 20  # documents in a file of the query below; the first file is padded beyond the limit
+
+
+@query("read_files", f"""
+WITH g AS (SELECT doc_id // {FILE_DOCS} AS file_id, string_agg(text, chr(10) ORDER BY doc_id) || CASE WHEN doc_id // {FILE_DOCS} = 0 THEN repeat(' ', 10 << 20) ELSE '' END AS body FROM documents GROUP BY doc_id // {FILE_DOCS})
+SELECT file_id, 'doc' || file_id || ['.md', '.TXT', '.pdf', '.xyz', '.Markdown'][file_id % 5 + 1] AS filename, CAST(strlen(body) AS BIGINT) AS size,
+  CASE WHEN file_id % 5 = 3 THEN 'UNSUPPORTED_DOCUMENT_TYPE' WHEN strlen(body) > 10 << 20 THEN 'FILE_TOO_LARGE' ELSE '' END AS error_code,
+  CASE WHEN file_id % 5 = 3 OR strlen(body) > 10 << 20 THEN '' ELSE sha256(body) END AS sha256,
+  file_id % 5 = 2 AND NOT starts_with(body, '%PDF') AS wrong_signature FROM g""")
 def q_read_files(spark, d):
-    ext = F.element_at(F.array(*[F.lit(x) for x in (".md", ".TXT", ".pdf", ".xyz")]), (F.col("doc_id") % 4 + 1).cast("int"))
-    raw = table(spark, d, "documents").select(
-        F.concat(F.lit("file:/corpus/doc"), F.col("doc_id").cast("string"), ext).alias("path"),
-        F.octet_length("text").alias("length"), F.encode("text", "UTF-8").alias("content"), "doc_id",
-    )
-    out = files.classify_files(raw, max_bytes=4000)
+    """Whole texts, some to a file, in nested folders with extensions of mixed case."""
+    file_id = F.expr(f"doc_id div {FILE_DOCS}")
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".md", ".TXT", ".pdf", ".xyz", ".Markdown")]), (F.col("file_id") % 5 + 1).cast("int"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda r: r["text"])
+    body = F.concat("body", F.when(F.col("file_id") == 0, F.repeat(F.lit(" "), F.lit(files.MAX_BYTES))).otherwise(""))
+    made = table(spark, d, "documents").groupBy(file_id.alias("file_id")).agg(F.array_join(texts, "\n").alias("body"))
+    folder = scratch(spark, "files")
+    target = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    sinks.write_files(made.select(F.concat(F.lit("part"), F.col("file_id") % 7, F.lit("/doc"), F.col("file_id"), ext).alias("path"), F.encode(body, "UTF-8").alias("content")), target)
+    out = files.read_files(spark, target)
     return out.select(
-        F.regexp_extract("filename", r"doc(\d+)\.", 1).cast("long").alias("doc_id"), "filename",
-        F.coalesce("error_code", F.lit("")).alias("error_code"), F.coalesce("sha256", F.lit("")).alias("sha256"),
-    )
+        F.regexp_extract("filename", r"doc(\d+)\.", 1).cast("long").alias("file_id"), "filename", "size", F.coalesce("error_code", F.lit("")).alias("error_code"),
+        F.coalesce("sha256", F.lit("")).alias("sha256"), F.coalesce(~F.col("signature_ok"), F.lit(False)).alias("wrong_signature"))
 
 
 @query("decode_text", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'utf-8-sig' ELSE 'utf-8' END AS encoding,
@@ -81,7 +89,7 @@ SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'invalid_json' WHEN event_id %
 def q_parse_structured(spark, d):
     raw = F.col("props")
     bad = F.when(F.col("event_id") % 5 == 0, F.concat(raw, F.lit("}"))).when(
-        F.col("event_id") % 5 == 1, F.concat(F.lit('{"x": 1, '), F.substring(raw, 2, 1000))
+        F.col("event_id") % 5 == 1, F.concat(F.lit('{"x": 1, '), F.substr(raw, F.lit(2)))
     ).otherwise(raw)
     rows = table(spark, d, "events").select("event_id", bad.alias("raw"))
     out = files.parse_structured(rows, "raw", T.StructType([T.StructField("k", T.LongType())]), required=["k"])

@@ -36,9 +36,20 @@ def classify_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """SRC-1: whole files of a folder tree, read in parallel by executors."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return classify_files(raw, max_bytes)
+    """SRC-1: whole files of a folder tree, read in parallel by executors.
+
+    Names and sizes are judged before any content is loaded: only files of known extensions with 1 to ``max_bytes`` bytes are
+    opened (a glob and a filter that the reader takes itself); the others come from the listing alone, without signature and bytes. Spark's reader passes over files of no bytes; a table of
+    uploads with such rows gets their error from ``classify_files``.
+    """
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    either_case = lambda ext: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext)
+    named = "*.{" + ",".join(map(either_case, (*TEXT_EXTENSIONS, *BINARY_EXTENSIONS))) + "}"
+    fits = F.col("length").between(1, max_bytes)
+    opened = source.option("pathGlobFilter", named).load(path).where(fits).select("path", "length", "content")
+    known = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1)).isin(*TEXT_EXTENSIONS, *BINARY_EXTENSIONS)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where(~(known & fits))
+    return classify_files(opened.unionByName(listed.withColumn("content", F.lit(None).cast("binary"))), max_bytes)
 
 
 @F.pandas_udf(T.StringType())

@@ -1,6 +1,9 @@
 """Table sinks: generations with a pointer, upserts, deletes, partition replacement."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,23 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.getFileStatus(target).isDirectory()
 
 
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Write (path, content) rows as files below ``folder``, in parallel by executors; a repeated task writes the same files again."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                target = f"{root}/{path.as_py()}"
+                files.create_dir(target.rpartition("/")[0], recursive=True)
+                with files.open_output_stream(target) as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    return rows.select("path", "content").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def publish_generation(df: DataFrame, path: str, generation: str, partition_by: list[str] | None = None) -> bool:
     """SNK-1: write a full snapshot under its generation key, then move the pointer.
 

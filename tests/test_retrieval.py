@@ -256,3 +256,27 @@ def test_evidence_budget_skips_blank(spark):
     out = ev.build_evidence(v).orderBy("evidence_rank").collect()
     assert [(r.evidence_id, r.parent_id, len(r.content)) for r in out] == [("E1", "p1", 2000), ("E2", "p3", 2000), ("E3", "p4", 2000)]
     assert sum(len(r.content) for r in out) <= 6000
+
+
+def test_many_surfaces_cost_one_walk():
+    import time
+
+    text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(400_000))
+    took = []
+    for n in (200, 200_000):
+        by_domain = dic.automata(("d", f"{i:06d}zz", i) for i in range(n))
+        start = time.perf_counter()
+        assert not list(dic.hits(by_domain, "d", text))
+        took.append(time.perf_counter() - start)
+    assert took[1] < 2 * took[0] + 0.05
+
+
+def test_longest_apart_equals_the_plain_rule():
+    rng = random.Random(8)
+    for _ in range(300):
+        found = [(a, a + rng.randint(1, 6), rng.choice("xyz")) for a in (rng.randint(0, 30) for _ in range(rng.randint(0, 25)))]
+        picked = []
+        for s, e, n in sorted(found, key=lambda h: (h[0] - h[1], h[0], h[2])):
+            if all(e <= a or s >= b for a, b, _ in picked):
+                picked.append((s, e, n))
+        assert dic.longest_apart(found) == [n for _, _, n in sorted(picked)]

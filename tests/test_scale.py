@@ -1,8 +1,9 @@
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from answerloom.functions.scale import SLICES, _sliced, split_previous, split_rank
+from answerloom.functions.scale import SLICES, _sliced, exact_percentiles, split_previous, split_rank
 
 
 def test_slices_are_even_whatever_the_positions(spark):
@@ -28,3 +29,15 @@ def test_previous_value_across_slices(spark):
     df = spark.createDataFrame(rows, "k int, p long, v long")
     got = split_previous(df, ["k"], F.col("p"), [F.col("p")], F.col("v"), "before", 100).collect()
     assert all(r.before == (None if r.p == 0 else (r.p - 1) // 100 * 100) for r in got)
+
+
+def test_percentiles_equal_nearest_ranks(spark):
+    rng = random.Random(4)
+    groups = {"skewed": [rng.paretovariate(0.3) for _ in range(3001)], "tied": [1.0] * 900 + [2.0] * 100 + [3.0], "one": [7.5], "negative": [-rng.random() * 10 ** rng.randint(-9, 9) for _ in range(777)],
+              None: [float(i) for i in range(20)], "equal": [4.0] * 2000}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("void", None), ("one", None)], "k string, v double").repartition(5)
+    want = {k: tuple(sorted(vs)[max(1, math.ceil(q * len(vs) - 1e-9)) - 1] for q in (0.5, 0.95, 1.0, 0.0)) for k, vs in groups.items()}
+    for gather in (10**6, 500, 20):
+        got = exact_percentiles(df, ["k"], "v", {"a": 0.5, "b": 0.95, "c": 1.0, "d": 0.0}, gather)
+        assert {r.k: (r.a, r.b, r.c, r.d) for r in got.collect()} == want
+    assert exact_percentiles(df.where("k = 'one'"), [], "v", {"a": 0.5}).collect()[0].a == 7.5

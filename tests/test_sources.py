@@ -98,3 +98,15 @@ def test_incremental_index(spark, tmp_path):
     assert sorted(r.content for r in chunks.where("kind = 'child'").collect()) == ["T：第一句。", "乙。", "甲。"]
     bad = spark.read.parquet(str(tmp_path / "out" / "progress")).where(F.col("error_code").isNotNull()).collect()
     assert [r.filename for r in bad] == ["c.exe"]
+
+
+def test_files_are_rejected_before_they_are_read(spark, tmp_path):
+    for name, body in {"a/x.MD": b"# t", "a/b/y.pdf": b"%PDF-1", "z.docx": b"no zip", "empty.txt": b"", "big.txt": b"x" * 101, "q.exe": b"MZ", "noext": b"n"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    df = files.read_files(spark, str(tmp_path), max_bytes=100)
+    got = {r.filename: (r.error_code, r.signature_ok, r.bytes is not None, r.size) for r in df.collect()}
+    assert got == {"x.MD": (None, None, True, 3), "y.pdf": (None, True, True, 6), "z.docx": (None, False, True, 6),
+                   "big.txt": ("FILE_TOO_LARGE", None, False, 101), "q.exe": ("UNSUPPORTED_DOCUMENT_TYPE", None, False, 2), "noext": ("UNSUPPORTED_DOCUMENT_TYPE", None, False, 1)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,100)" in plan
