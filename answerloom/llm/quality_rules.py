@@ -3,14 +3,14 @@
 A text of language compresses within a band that moves with its length. Above the band it repeats itself, below it is
 noise (encoded bytes, random identifiers). The whole text is measured once and every chunk of ``CHUNK`` bytes again, so
 a long text with a repetitive or incompressible stretch is caught though its total looks normal. The last chunk is the
-text's final ``CHUNK`` bytes. A text is rejected when at least BAD_CHUNKS of its chunks, or BAD_RUN of them in a row, lie
-outside their band; in longer texts a stretch that fills fewer chunks than BAD_RUN can pass. Texts below ``CHUNK`` bytes
-are measured whole only, and below 100 bytes no rule but the base rules holds: zstandard doesn't tell prose from noise there.
+text's final ``CHUNK`` bytes. How many chunks, and how many in a row, may lie outside their band moves with the number of
+chunks (LIMITS): a long text may hold a table, an index or a listing, a short one may not consist of it. Texts below ``CHUNK``
+bytes are measured whole only, and below 100 bytes no rule but the base rules holds: zstandard doesn't tell prose from noise there.
 
 Letters of two or three bytes would compress better than the same language in letters of one. Lengths and ratios are
 therefore those of a recoding: ASCII stays, and the other code points of the text get one byte each, from 128 on. Korean
-syllables count as their letters. A text with more than ONE_BYTE other code points (ideographs, many alphabets at once) is
-measured in UTF-8.
+syllables count as their letters. With more than ONE_BYTE other code points the most frequent get one byte and the rare ones
+stay in UTF-8, if the frequent ones are nearly all (FREQUENT) of the occurrences; else (ideographs) the text is measured in UTF-8.
 
 The base rules of the corpus come first: a text with fewer than ten words, or with more than a fifth of its words in
 five-word windows that occur twice, fails. Null text has no words and fails. Every row gives one row; repeated rows give
@@ -41,10 +41,10 @@ BANDS = (
 )
 """(recoded bytes below, least ratio, greatest ratio). Fixed limits of level 3; prose of any length lies inside with room."""
 CHUNK_BAND = (1.30, 2.45)
-BAD_CHUNKS = 0.25
-BAD_RUN = 2
-"""A text is rejected when this share of its chunks, or this many in a row, lie outside CHUNK_BAND."""
+LIMITS = ((8, 0.25, 2), (32, 0.20, 4), (128, 0.15, 10), (1 << 62, 0.15, 20))
+"""(chunks below, share, run): a text is rejected when this share of its chunks, or this many in a row, lie outside CHUNK_BAND."""
 ONE_BYTE = 128
+FREQUENT = 0.9
 SYLLABLES = re.compile("[\uac00-\ud7a3]+")
 SYMBOLS = "#*$%&|<>"
 RESULT = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -84,7 +84,12 @@ def recoded(text: str) -> bytes:
     letters = SYLLABLES.sub(lambda m: unicodedata.normalize("NFD", m[0]), text)
     others = sorted(c for c in set(letters) if c > "\x7f")
     if len(others) > ONE_BYTE:
-        return text.encode("utf-8", "surrogatepass")
+        count = Counter(c for c in letters if c > "\x7f")
+        others = sorted(count, key=lambda c: (-count[c], c))[:ONE_BYTE]
+        if sum(count[c] for c in others) < FREQUENT * count.total():
+            return text.encode("utf-8", "surrogatepass")
+        code = {c: bytes([128 + i]) for i, c in enumerate(others)}
+        return b"".join(code.get(c) or c.encode("utf-8", "surrogatepass") for c in letters)
     return letters.translate({ord(c): chr(128 + i) for i, c in enumerate(others)}).encode("latin-1")
 
 
@@ -107,7 +112,8 @@ def compression(raw: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float
 
 def in_bands(size: int, ratio: float, chunks: int, outside: int, in_a_row: int) -> bool:
     least, most = next((lo, hi) for below, lo, hi in BANDS if size < below)
-    return least <= ratio <= most and in_a_row < BAD_RUN and (not outside or outside < BAD_CHUNKS * chunks)
+    share, run = next((s, r) for below, s, r in LIMITS if chunks < below)
+    return least <= ratio <= most and in_a_row < run and (not outside or outside < share * chunks)
 
 
 def measure(doc_id: int | None, text: str | None, compressor: zstandard.ZstdCompressor) -> tuple:

@@ -5,7 +5,7 @@ from collections import Counter
 
 from cases import PROSE, SMALL, awkward, documents
 
-from answerloom.llm.quality_rules import BANDS, keep_good, quality, repeat_words
+from answerloom.llm.quality_rules import BANDS, keep_good, quality, recoded, repeat_words
 
 
 def brute_repeat(words):
@@ -103,3 +103,26 @@ def test_bands_cover_every_length():
 
 def test_empty_table(spark):
     assert quality(documents(spark, [])).count() == 0 and keep_good(documents(spark, [])).count() == 0
+
+
+def test_a_long_text_may_hold_a_table_an_index_and_a_listing(spark):
+    rng = random.Random(3)
+    words = [w for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()[:60] if r["lang"] == "en" for w in (r["text"] or "").split()]
+    table = "\n".join(" | ".join(f"{rng.random() * 100:.2f}" for _ in range(8)) for _ in range(140))
+    index = "\n".join(f"{rng.choice(words)}, see page {i}" for i in range(380))
+    listing = "\n".join(f"    for (int i = 0; i < n{i % 7}; i++) total[i] += row[i] * {i};" for i in range(140))
+    clean = " ".join(rng.choices(words, k=36_000))
+    assert min(map(len, (table, index, listing))) > 6_000
+    cases = [clean[:len(clean) // 2] + part + clean[len(clean) // 2:] for part in ("", table, index, listing)]
+    cases += [clean[:60_000] + table + clean[60_000:120_000], table, listing * 2]
+    got = {r["doc_id"]: r["kept"] for r in quality(documents(spark, list(enumerate(cases)))).collect()}
+    assert [got[i] for i in range(5)] == [True] * 5 and not got[6]
+
+
+def test_recoding_has_no_step_at_the_number_of_letters():
+    rng = random.Random(2)
+    letters = [chr(0x400 + i) for i in range(120)]
+    words = ["".join(rng.choices(letters[:40], k=rng.randint(2, 9))) for _ in range(900)]
+    text = " ".join(rng.choices(words, k=9000))
+    sizes = [len(recoded(text + " " + "".join(chr(0x2500 + i) for i in range(n)))) for n in (80, 88, 89, 130)]
+    assert max(sizes) - min(sizes) < 500
