@@ -14,7 +14,8 @@ sections of links before its first and after its last content line are left out.
 the section around it is taken instead. Lines come in page order.
 
 Null or empty html gives an empty text, and so does a page without text. Cut pages are read as far as they go; a tag or
-comment that the cut left open is no text. Nothing is capped. Every page gives one row; other columns don't matter.
+comment that the cut left open is no text (``whole``). Time grows with the page whatever its markup: end tags find their
+element by name. Nothing is capped. Every page gives one row; other columns don't matter.
 """
 from __future__ import annotations
 
@@ -41,12 +42,16 @@ LEFT_OUT = frozenset("head title script style noscript template nav aside footer
 CLOSED_BY = {name: BLOCKS - {"html", "body"} for name in ("p",)} | {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 """Elements that a start tag of the given names ends."""
 NOT_CONTENT = re.compile(
-    r"(^|[-_\s])(ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|menu|modal|nav|navbar|navigation|newsletter|"
+    r"(^|[-_\s])(ads?|ads?(box|slot|unit|space|block|container|wrapper)|adsbygoogle|adverts?|advertisements?|advertising|banner|breadcrumbs?|"
+    r"comments?(area|block|body|box|container|form|holder|list|s?ection|thread|wrap|wrapper)?|cookies?|consent|disqus|footer|gdpr|menu|modal|nav|navbar|navigation|newsletter|"
     r"notices?|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor(ed)?|subscribe|toolbar|widget|widgets)($|[-_\s])", re.IGNORECASE)
 STATE = re.compile(r"(?<![^\s])(has|with|no|without|show|hide)[-_]\S+|\S+[-_](on|off|enabled|disabled)(?![^\s])", re.IGNORECASE)
 """Names that say what a wrapper has or does, not what it is."""
 ROLES = frozenset("alert banner complementary contentinfo dialog alertdialog form menu menubar navigation search toolbar".split())
-OPEN_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+OPEN_TAG = re.compile(r"<(?:[a-zA-Z/!?]|\Z)")
+COMMENT_OR_RAW = re.compile(r"<!--|<(script|style)(?=[\s/>])", re.IGNORECASE)
+RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.IGNORECASE) for name in ("script", "style")}
 
 
 @dataclass
@@ -75,6 +80,8 @@ class PageLines(HTMLParser):
         self.outer = [0]  # of each wrapper (a form, or named as no content): the wrapper around it; 0 is the page
         self.named = [""]  # of each wrapper: element, class and id
         self.marks: list[tuple[int, str]] = []  # wrapper and name of every article and main, one inside another not counted
+        self.at: dict[str, list[int]] = {}  # of each element name: where it stands in the open ones
+        self.blocks: list[int] = []  # where block elements stand in the open ones
         self.links = 0
         self.line = Line(0)
 
@@ -95,8 +102,9 @@ class PageLines(HTMLParser):
         if tag in VOID:
             return
         given = dict(attrs)
-        names = f"{given.get('class') or ''} {given.get('id') or ''}"
+        names = HUMP.sub("-", f"{given.get('class') or ''} {given.get('id') or ''}")
         out = out or tag in LEFT_OUT or (tag == "header" and not article) or (given.get("role") or "").lower() in ROLES or "hidden" in given
+        out = out or (given.get("itemprop") or "").lower() == "comment" or (given.get("itemtype") or "").lower().endswith("/comment")
         if tag == "form" or (tag not in ("html", "body", "article", "main") and NOT_CONTENT.search(names) and NOT_CONTENT.search(STATE.sub(" ", names))):
             self.outer.append(wrapper)
             self.named.append(f"{tag} {names}")
@@ -108,6 +116,9 @@ class PageLines(HTMLParser):
                 self.around.append(section)
                 self.kinds.append(tag)
                 section = len(self.kinds) - 1
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
         self.open.append((tag, section, out, article or tag in ("article", "main"), wrapper))
         self.links += tag == "a"
         if tag in BLOCKS:
@@ -118,30 +129,49 @@ class PageLines(HTMLParser):
     def _close(self) -> None:
         tag = self.open.pop()[0]
         self.links -= tag == "a"
+        if tag in self.at:
+            self.at[tag].pop()
         if tag in BLOCKS:
+            self.blocks.pop()
             self.end_line()
 
     def handle_endtag(self, tag: str) -> None:
         self.line.tags += 1
-        depth = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i][0] == tag), 0)
-        if depth and (tag in BLOCKS or all(self.open[i][0] not in BLOCKS for i in range(depth, len(self.open)))):
+        depth = self.at[tag][-1] if self.at.get(tag) else 0
+        if depth and (tag in BLOCKS or not self.blocks or self.blocks[-1] < depth):
             while len(self.open) > depth:
                 self._close()
         elif depth and tag not in BLOCKS:  # an inline end tag inside a block that the inline element doesn't enclose well
             self.links -= tag == "a"
-            name, *rest = self.open[depth]
-            self.open[depth] = ("a-closed" if name == "a" else name, *rest)
+            if tag == "a":
+                self.at["a"].pop()
+                self.open[depth] = ("", *self.open[depth][1:])
 
     def handle_data(self, data: str) -> None:
         if not self.open[-1][2]:
             self.line.parts.append((self.open[-1][4], data, self.links > 0))
 
 
+def whole(html: str) -> str:
+    """The page up to a comment or tag that is never closed. Scripts and styles may hold what looks like one."""
+    at = 0
+    while found := COMMENT_OR_RAW.search(html, at):
+        if found[1]:
+            end = RAW_END[found[1].lower()].search(html, found.end())
+            at = end.end() if end else len(html)
+        else:
+            at = html.find("-->", found.start() + 2) + 3
+            if at < 3:
+                html = html[:found.start()]
+                break
+    cut = OPEN_TAG.search(html, html.rfind(">") + 1)
+    return html[:cut.start()] if cut else html
+
+
 def parsed(html: str) -> PageLines:
     """The parser at the page's end; its lines are those with text."""
     parser = PageLines()
-    cut = OPEN_TAG.search(html, max(0, html.rfind("<")))
-    parser.feed(html[:cut.start()] if cut else html)
+    parser.feed(whole(html))
     parser.close()
     parser.end_line()
     if len(parser.outer) > 1:

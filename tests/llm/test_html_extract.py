@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from answerloom.llm.html_extract import extract, main_text, page_lines, smoothed
 from cases import PROSE, SMALL
 
@@ -90,3 +92,32 @@ def test_ratios_and_smoothing():
     assert [line.text() for line in lines] == ["one two", "three"] and [line.linked for line in lines] == [3, 0]
     flat = smoothed(np.full(9, 4.0))
     assert np.allclose(flat, 4.0) and smoothed(np.array([0, 0, 9.0, 0, 0]))[1] > 1 and len(smoothed(np.array([1.0]))) == 1
+
+
+@pytest.mark.parametrize("wrap", ['<ol class="commentlist">{}</ol>', '<div id="commentsArea">{}</div>', '<div class="commentlist">{}</div>', '<section id="CommentSection">{}</section>',
+                                  '<div class="leftSidebar">{}</div>', '<ins class="adsbygoogle">{}</ins>', '<div itemprop="comment">{}</div>',
+                                  '<div itemscope itemtype="https://schema.org/Comment">{}</div>'])
+@pytest.mark.parametrize("inside", [True, False])
+def test_comments_and_adverts_under_any_name_go(wrap, inside):
+    extra = wrap.format("".join(f"<div><b>reader {i}</b><p>I think remark number {i} is quite wrong, if you ask me.</p></div>" for i in range(3)))
+    body = "".join(f"<p>{PROSE} Part {i}.</p>" for i in range(4))
+    page = f"<html><body><article><h1>Title</h1>{body}{extra if inside else ''}</article>{'' if inside else extra}</body></html>"
+    text = main_text(page)[0]
+    assert "remark number" not in text and all(f"Part {i}." in text for i in range(4))
+
+
+@pytest.mark.parametrize("piece", ["<i>|</b>", "<!--|", "<b><div><i>|</b>", "<a |", "<|", "<!|", "&|", "</|", "<a href='|", "<p>|</p>", "<![CDATA[|", "<?|", "<!-- x -|>", "<td>|", "<a>|</a>", "<script>|", "<form><div class=menu>|"])
+def test_any_markup_takes_linear_time(piece):
+    import time
+
+    head, tail = piece.split("|")
+    page = f"<article><p>{PROSE}</p></article>" + head * (500_000 // len(head)) + tail * (500_000 // max(1, len(tail)))
+    start = time.process_time()
+    assert PROSE.split()[0] in main_text(page)[0]
+    assert time.process_time() - start < 8
+
+
+@pytest.mark.parametrize("tail", ["<!-- secret <p>hidden text", "<!-- secret", "<a href='secret", "<p class=secret <b secret", "<"])
+def test_what_the_cut_left_open_is_no_text(tail):
+    text = main_text(f"<article><p>{PROSE}</p><script>var x = '<!--';</script><p>last words of it</p>{tail}")[0]
+    assert text == f"{' '.join(PROSE.split())}\nlast words of it"
