@@ -1,8 +1,10 @@
 """Document text to source blocks. Everything folds inside the document's own row: no shuffle."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import bind, is_blank, rstrip, split_lines, strip
 
@@ -64,12 +66,6 @@ def _table_text(clean: Column, head: Column) -> Column:
     return F.when(F.size(clean) == 0, F.lit(None)).when(F.size(clean) == 1, single).otherwise(F.array_join(body, "\n"))
 
 
-_STATE = (
-    "struct<done:array<struct<kind:string,lines:array<string>,path:array<string>>>,path:array<string>,"
-    "buf:array<string>,in_table:boolean,skip:boolean>"
-)
-
-
 def _classified_lines(lines: Column) -> Column:
     """One struct per line: text, heading level and title, and what the line may start or end."""
     following = F.concat(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), F.array(F.lit("")))
@@ -86,34 +82,36 @@ def _classified_lines(lines: Column) -> Column:
     return F.zip_with(lines, following, one)
 
 
-def _step(acc: Column, x: Column) -> Column:
-    carry = acc["skip"] | (acc["in_table"] & x["pipe"])
-    plain = (x["level"] == 0) & ~x["blank"] & ~x["opens"]
-    extends = carry | (plain & ~acc["in_table"])
-    heading = ~carry & (x["level"] > 0)
-    opens = ~carry & x["opens"]
-    kind = F.when(acc["in_table"], F.lit("table")).otherwise(F.lit("paragraph"))
-    none = F.array().cast("array<struct<kind:string,lines:array<string>,path:array<string>>>")
-    flushed = F.when(
-        ~extends & (F.size(acc["buf"]) > 0),
-        F.array(F.struct(kind.alias("kind"), acc["buf"].alias("lines"), acc["path"].alias("path"))),
-    ).otherwise(none)
-    path = F.when(heading, F.concat(F.slice(acc["path"], F.lit(1), x["level"] - 1), F.array(x["title"]))).otherwise(
-        acc["path"]
-    )
-    head = F.when(
-        heading, F.array(F.struct(F.lit("heading").alias("kind"), F.array(x["title"]).alias("lines"), path.alias("path")))
-    ).otherwise(none)
-    line = F.array(x["line"])
-    buf = (
-        F.when(acc["skip"], acc["buf"]).when(extends, F.concat(acc["buf"], line))
-        .when(heading | x["blank"], F.array().cast("array<string>")).otherwise(line)
-    )
-    done = F.when(extends, acc["done"]).otherwise(F.concat(acc["done"], flushed, head))
-    return F.struct(
-        done.alias("done"), path.alias("path"), buf.alias("buf"),
-        (carry | opens).alias("in_table"), opens.alias("skip"),
-    )
+def folded_lines(lines: list[str], levels: list[int], titles: list[str], pipes: list[bool], blanks: list[bool], rules: list[bool]) -> list[dict]:
+    """Headings, paragraphs and tables of classified lines. ``rules``: the line opens a table, so the next one is its rule."""
+    done: list[dict] = []
+    path: list[str] = []
+    held: list[str] = []
+    in_table = skip = False
+    for line, level, title, pipe, blank, opens in zip([*lines, ""], [*levels, 0], [*titles, ""], [*pipes, False], [*blanks, True], [*rules, False]):
+        if skip:  # the rule below a table's head
+            skip = False
+            continue
+        carry = in_table and pipe
+        if carry or (not in_table and level == 0 and not blank and not opens):
+            held.append(line)
+            continue
+        if held:
+            done.append({"kind": "table" if in_table else "paragraph", "lines": held, "path": path})
+        if level:
+            path = [*path[:level - 1], title]
+            done.append({"kind": "heading", "lines": [title], "path": path})
+        held = [] if level or blank else [line]
+        in_table = skip = opens
+    return done
+
+
+_TEXTS = T.ArrayType(T.StringType())
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("lines", _TEXTS), T.StructField("path", _TEXTS)])))
+def _folded(items: pd.DataFrame) -> pd.Series:
+    return pd.Series([None if row[0] is None else folded_lines(*row) for row in items.itertuples(index=False)], index=items.index)
 
 
 def markdown_blocks(df: DataFrame, column: str = "text") -> DataFrame:
@@ -124,17 +122,11 @@ def markdown_blocks(df: DataFrame, column: str = "text") -> DataFrame:
     rest = [c for c in df.columns if c != column]
     lines = df.select(*rest, split_lines(F.col(column)).alias("_lines"))
     items = lines.select(*rest, _classified_lines(F.col("_lines")).alias("_items"))
-    # A closing blank line flushes whatever is open, inside the fold.
-    closing = F.struct(
-        F.lit("").alias("line"), F.lit(0).alias("level"), F.lit("").alias("title"), F.lit(False).alias("pipe"),
-        F.lit(True).alias("blank"), F.lit(False).alias("opens"),
-    )
-    start = F.expr(
-        "named_struct('done', array(), 'path', array(), 'buf', array(), 'in_table', false, 'skip', false)"
-    ).cast(_STATE)
-    folded = items.select(
-        *rest, F.aggregate(F.concat("_items", F.array(closing)), start, _step, lambda a: a["done"]).alias("_done")
-    )
+    def every(field: str) -> Column:
+        return F.transform("_items", lambda x: x[field]).alias(field)
+
+    fields = F.struct(*map(every, ("line", "level", "title", "pipe", "blank", "opens")))
+    folded = items.select(*rest, _folded(fields).alias("_done"))
 
     def finished(b: Column) -> Column:
         text = F.when(b["kind"] == "table", normalize_table(F.transform(b["lines"], table_cells))).otherwise(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as lex
 from ..functions.scale import grouped_list
 from ..session import durable
-from ..functions.text import bind, contains_any, fold, rstrip, split_after, split_lines, strip
+from ..functions.text import WHITESPACE, bind, contains_any, fold, rstrip, split_after, split_lines, strip
 
 DRAFT = (
     "struct<local_id:string,kind:string,content:string,source_block_ordinal:int,parent_local_id:string,strategy:string,"
@@ -72,31 +73,38 @@ def sentences(content: Column) -> Column:
     return F.transform(parts, lambda s: F.concat(strip(s), F.when(F.endswith(s, F.lit("\n")), F.lit("\n")).otherwise("")))
 
 
-def _windows(sentence: Column, size: int, overlap: int) -> Column:
+def windows(sentence: str, size: int, overlap: int) -> list[str]:
     """CHK-2: overlapping character windows of one sentence that is longer than ``size``."""
     step = size - overlap
-    last = F.ceil((F.length(sentence) - size) / F.lit(step)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.substring(sentence, i * step + 1, F.lit(size))))
-    return F.filter(cut, lambda p: F.length(p) > 0)
+    cut = (sentence[at:at + size].strip(WHITESPACE) for at in range(0, len(sentence) - size + step, step))
+    return [part for part in cut if part]
+
+
+def packed(parts: list[str], size: int, overlap: int) -> list[str]:
+    """Greedy packing of sentences into bodies of at most ``size`` characters, each sentence looked at once."""
+    out: list[str] = []
+    held: list[str] = []
+    length = 0
+    for sentence in parts:
+        if length + len(sentence) > size or len(sentence) > size:
+            if length:
+                out.append("".join(held))
+            held, length = [], 0
+        if len(sentence) > size:
+            out += windows(sentence, size, overlap)
+        else:
+            held.append(sentence)
+            length += len(sentence)
+    return out + (["".join(held)] if length else [])
 
 
 def pack(parts: Column, size: int, overlap: int) -> Column:
-    """Greedy packing of sentences into bodies of at most ``size`` characters, one fold per block."""
-    def keep(cur: Column) -> Column:
-        return F.when(F.length(cur) > 0, F.array(cur)).otherwise(F.array().cast("array<string>"))
-
-    def step(acc: Column, s: Column) -> Column:
-        long = F.length(s) > size
-        fits = F.length(acc["cur"]) + F.length(s) <= size
-        out = (
-            F.when(long, F.concat(acc["parts"], keep(acc["cur"]), _windows(s, size, overlap)))
-            .when(fits, acc["parts"]).otherwise(F.concat(acc["parts"], keep(acc["cur"])))
-        )
-        cur = F.when(long, F.lit("")).when(fits, F.concat(acc["cur"], s)).otherwise(s)
-        return F.struct(out.alias("parts"), cur.alias("cur"))
+    """``packed`` in Arrow batches: its time grows with the block, which a fold that copies its list does not give."""
+    @F.pandas_udf("array<string>")
+    def bodies(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: None if r is None else packed(r, size, overlap))
 
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("cur"))
-    return F.aggregate(parts, start, step, lambda a: F.concat(a["parts"], keep(a["cur"])))
+    return bodies(parts)
 
 
 def check_window(size: int, overlap: int) -> None:
@@ -355,17 +363,19 @@ def chunk_policy(blocks: DataFrame, markers=lex.EXCEPTION_MARKERS) -> DataFrame:
         parts = F.filter(F.transform(split_after(b["content"]), lambda s: strip(s)), lambda s: F.length(s) > 0)
         return F.transform(parts, lambda s: F.struct(b["ordinal"].alias("ordinal"), s.alias("text")))
 
-    def merge(acc: Column, x: Column) -> Column:
-        opens = reduce(lambda a, b: a | b, [F.startswith(x["text"], F.lit(m)) for m in markers])
-        last = F.element_at(acc, -1)
-        joined = F.concat(
-            F.slice(acc, F.lit(1), F.size(acc) - 1),
-            F.array(F.struct(last["ordinal"].alias("ordinal"), F.concat(last["text"], x["text"]).alias("text"))),
-        )
-        return F.when((F.size(acc) > 0) & opens, joined).otherwise(F.concat(acc, F.array(x)))
+    def opens(x: Column) -> Column:
+        return reduce(lambda a, b: a | b, [F.startswith(x["text"], F.lit(m)) for m in markers])
+
+    # A unit starts at the first sentence and at every one that opens with no marker; it reaches to the next start.
+    starts = F.filter(F.transform("_pieces", lambda x, i: F.when((i == 0) | ~opens(x), i + 1)), lambda i: i.isNotNull())
+
+    def unit(at: Column, n: Column) -> Column:
+        end = F.coalesce(F.get(F.col("_starts"), n + 1), F.size("_pieces") + 1)
+        texts = F.transform(F.slice("_pieces", at, end - at), lambda x: x["text"])
+        return F.struct(F.element_at("_pieces", at)["ordinal"].alias("ordinal"), F.array_join(texts, "").alias("text"))
 
-    units = F.aggregate("_pieces", F.array().cast("array<struct<ordinal:int,text:string>>"), merge)
-    parsed = facts.withColumn("_pieces", F.flatten(F.transform("_blocks", pieces))).withColumn("_units", units)
+    units = F.transform("_starts", unit)
+    parsed = facts.withColumn("_pieces", F.flatten(F.transform("_blocks", pieces))).withColumn("_starts", starts).withColumn("_units", units)
 
     def child(x: Column, i: Column) -> dict[str, Column]:
         return dict(content=_child_text(F.col("heading_path"), x["text"]), body_char_count=F.length(x["text"]),
