@@ -10,11 +10,16 @@ N, average length and df from the same index; sets may overlap and no text or po
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scale import small_side, top_k
 from ..functions.tokens import bigram_tokenizer
@@ -24,8 +29,8 @@ K1, B = 1.2, 0.75
 SET = "target_set"
 BLOCK = 8
 """Chunks in a block, on average."""
-BANDS = 256
-"""Ranges of lengths; a range is cut into blocks by hash of the chunk."""
+TOGETHER = 1024
+"""Chunks whose postings are handed on together; a multiple of BLOCK."""
 SLACK = 1e-7
 """Above the rounding of scores, so a tie with the k-th best is never skipped."""
 
@@ -42,35 +47,63 @@ def gain(tf: Column, length: Column, average: Column, k1: float, b: float) -> Co
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], block: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Postings of every ``block`` rows in turn, and one row without a term that lists the block's chunks."""
+    number = TaskContext.get().partitionId() << 32
+    row = schema.field("rows").type.value_type
+    for batch in batches:
+        for start in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(start, TOGETHER)
+            tokens, lengths = part.column(2).to_pylist(), part.column(3).to_pylist()
+            terms, blocks, most, least, sizes, at, tfs = [], [], [], [], [], [], []
+            for first in range(0, part.num_rows, block):
+                own = range(first, min(first + block, part.num_rows))
+                found: dict[str, list[int]] = {}
+                for i in own:
+                    for term, tf in Counter(tokens[i] or ()).items():
+                        found.setdefault(term, []).extend((i, tf))
+                terms.append(None)
+                sizes.append(len(own))
+                most.append(0)
+                least.append(0)
+                at += own
+                tfs += [0] * len(own)
+                for term, flat in found.items():
+                    terms.append(term)
+                    rows, counts = flat[::2], flat[1::2]
+                    sizes.append(len(rows))
+                    most.append(max(counts))
+                    least.append(min(lengths[i] for i in rows))
+                    at += rows
+                    tfs += counts
+                blocks += [number] * (1 + len(found))
+                number += 1
+            take = pa.array(at, pa.int32())
+            structs = pa.StructArray.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(tfs, pa.int32()), part.column(3).take(take)], fields=list(row))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(terms, pa.string()), pa.array(blocks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(most, pa.int32()), pa.array(least, pa.int32()),
+                pa.ListArray.from_arrays(offsets, structs).cast(schema.field("rows").type)], schema=schema)
+
+
 def build(chunks: DataFrame, tokenizer: Callable[[Column], Column] | None = None, field: str = "text", block: int = BLOCK) -> LexicalIndex:
     """LEX-1, stored: ``chunks`` has chunk_id, the text, and version_id if sets of versions will be searched.
 
-    Texts are tokenized once. Chunks are distributed by block; term frequencies and the grouping by term need no further exchange, and a
-    common term is spread over its blocks."""
+    Nothing is shuffled: a task sorts its chunks by length and turns every ``block`` of them into postings, so a common term is
+    spread over all tasks. Texts are tokenized once."""
     tokenize = tokenizer or bigram_tokenizer()
     version = F.col("version_id") if "version_id" in chunks.columns else F.lit(0)
-    docs = durable(chunks.select("chunk_id", version.alias("version_id"), tokenize(F.col(field)).alias("tokens")).withColumn("length", F.size("tokens")))
-    cuts = docs.agg(F.percentile_approx("length", F.array(*[F.lit(i / BANDS) for i in range(1, BANDS)]), 20 * BANDS)).first()[0] or []
-    band = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("length"))) if cuts else F.lit(0)
-    banded = docs.where("length > 0").withColumn("band", band)
-    counts = {r["band"]: r["count"] for r in banded.groupBy("band").count().toLocalIterator()}  # at most BANDS rows
-    first, blocks, at = [], [], 0
-    for i in range(max(counts, default=0) + 1):
-        first.append(at)
-        blocks.append(max(1, -(-counts.get(i, 0) // block)))
-        at += blocks[-1]
-    own = F.col("band") + 1
-    number = F.element_at(F.array(*map(F.lit, first)), own) + F.pmod(F.xxhash64("chunk_id"), F.element_at(F.array(*map(F.lit, blocks)), own))
-    tf = (
-        banded.withColumn("block", number.cast("long")).repartition(F.col("block"))
-        .select("block", "chunk_id", "version_id", "length", F.explode("tokens").alias("term"))
-        .groupBy("block", "term", "chunk_id", "version_id", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    )
-    rows = tf.groupBy("block", "term").agg(
-        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"),
-        F.collect_list(F.struct("chunk_id", "version_id", "tf", "length")).alias("rows"))  # one block's chunks
-    versions = docs.groupBy("version_id").agg(F.count(F.lit(1)).alias("n"), F.count("length").alias("measured"), F.sum("length").alias("total"))
-    return LexicalIndex(durable(rows), durable(versions))
+    docs = chunks.select("chunk_id", version.alias("version_id"), tokenize(F.col(field)).alias("tokens")).withColumn("length", F.size("tokens"))
+    kinds = dict(docs.dtypes)
+    given = chunks.sparkSession.createDataFrame([], f"term string, block long, n long, max_tf int, min_length int, rows array<struct<chunk_id: {kinds['chunk_id']}, version_id: {kinds['version_id']}, tf: int, length: int>>").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _blocks(batches, block, to_arrow_schema(given))
+
+    table = durable(docs.sortWithinPartitions("length").mapInArrow(run, given))
+    listed = table.where("term is null").select(F.explode("rows").alias("r")).groupBy(F.col("r.version_id").alias("version_id"))
+    versions = listed.agg(F.count(F.lit(1)).alias("n"), F.count("r.length").alias("measured"), F.sum("r.length").alias("total"))
+    return LexicalIndex(table.where("term is not null"), durable(versions))
 
 
 def weights(index: LexicalIndex, queries: DataFrame, tokenizer: Callable[[Column], Column] | None = None, members: DataFrame | None = None) -> DataFrame:
