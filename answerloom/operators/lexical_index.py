@@ -134,8 +134,9 @@ def bounds(index: LexicalIndex, weighted: DataFrame, k1: float = K1, b: float =
 
 def block_scores(index: LexicalIndex, weighted: DataFrame, blocks: DataFrame, members: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """``query_id, chunk_id, score`` of all chunks of the given (query_id, block) rows that share a term with the query."""
-    wanted = blocks.select("query_id", "block").join(weighted, "query_id")
-    found = wanted.join(index.postings.select("term", "block", "rows"), ["term", "block"]).withColumn("row", F.explode("rows"))
+    wanted = durable(blocks.select("query_id", "block").join(weighted, "query_id"))
+    known = index.postings.select("term", "block", "rows").join(small_side(wanted.select("term").distinct()), "term", "left_semi")
+    found = known.join(small_side(wanted), ["term", "block"]).withColumn("row", F.explode("rows"))
     one = F.col("idf") * gain(F.col("row.tf"), F.col("row.length"), F.col("avg_length"), k1, b)
     scored = found.groupBy("query_id", SET, F.col("row.chunk_id").alias("chunk_id"), F.col("row.version_id").alias("version_id")).agg(F.sum(one).alias("score"))
     if members is not None:
