@@ -7,8 +7,9 @@ breadth first: a node that is a piece pops itself and fails to the root; another
 goes on from the parent's link.
 
 Words are what the vocabulary's tokenizer splits off (letters, single digits, other runs; NFC, lower case, white space
-dropped); a word's last piece is one that ends a word. Counts of words are kept in a bounded cache per worker. A word that
-the vocabulary can't spell counts as one unknown token.
+dropped); a word's last piece is one that ends a word. Counts of words are kept in a bounded cache per worker. A word on
+which greedy matching strands counts as one unknown token, as greedy word-piece has it, also where other cuts would spell it
+(most often a word that ends like a longer piece does inside words; 1.6% of the tokens of sf0.01 are missing for it).
 
 Null text counts as empty and has no tokens. Special tokens are ordinary text. Repeated rows give repeated results, an
 empty table an empty result; other columns don't matter. The vocabulary file is a parameter; nothing of it is stored.

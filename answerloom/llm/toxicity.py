@@ -4,7 +4,7 @@ A classifier is trained in numpy from confirmed toxic examples and unlabelled te
 corrects the risk: what the positives add to the unlabelled risk is taken off, and where the estimate of the negative
 risk falls below zero the step goes the other way, so it can't be overfitted. Features are words (letters only, lower
 case) and word beginnings that the positives have significantly more often, by how many different words of the text have
-them; the score is a calibrated probability.
+them; the score is a logistic margin, shifted so that 0.7 lies where recall squared over the share taken is best.
 
 Positives are rows of ``labels`` with toxic = 1, unlabelled text is a hash sample of all learnable documents. Labels are
 read only for rows whose remainder is not held out; the share of toxic ones among them is the class prior. Both samples
