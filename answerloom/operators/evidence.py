@@ -83,7 +83,7 @@ def merge_supplement(first: DataFrame, second: DataFrame, kinds: DataFrame, band
 
     ``kinds``: query_id, score_kind, score of the second run.
     """
-    good = kinds.join(F.broadcast(bands), "score_kind").where(F.col("score") >= F.col("clarify")).select("query_id")
+    good = kinds.join(bands, "score_kind").where(F.col("score") >= F.col("clarify")).select("query_id")
     both = first.withColumn("_run", F.lit(0)).unionByName(second.join(good, "query_id", "left_semi").withColumn("_run", F.lit(1)))
     names = [c for c in first.columns if c not in ("query_id", "parent_id", "rank")]
     kept = both.groupBy("query_id", "parent_id").agg(F.min(F.struct("_run", "rank")).alias("_o"), F.min_by(F.struct(*names), F.struct("_run", "rank")).alias("_v"))
@@ -105,17 +105,20 @@ def policy_table(spark: SparkSession, policies=lex.POLICIES) -> DataFrame:
 def select_policy(queries: DataFrame, policies: DataFrame) -> DataFrame:
     """POL-1: (domain, action) in action order, then the domain, then the global policy, else the last one.
 
-    The policy table is configuration, a handful of rows.
+    A query asks for each of its keys in order of priority, so policies are found by an equality join of any size.
     """
-    small = F.broadcast(policies)
-    position = F.array_position(F.col("actions"), F.col("policy_action"))
-    exact = (F.col("domain") == F.col("policy_domain")) & (position > 0)
-    domain_only = (F.col("domain") == F.col("policy_domain")) & F.col("policy_action").isNull()
-    anywhere = F.col("policy_domain").isNull() & F.col("policy_action").isNull()
-    last = F.col("policy_position") == policies.agg(F.max("policy_position")).scalar()
-    priority = F.when(exact, position).when(domain_only, 1000).when(anywhere, 2000).when(last, 3000)
-    found = queries.join(small, exact | domain_only | anywhere | last).withColumn("_p", priority)
-    return found.groupBy("query_id").agg(F.min_by(F.struct("policy_id", "version"), F.struct("_p", "policy_position")).alias("_b")).select("query_id", "_b.*")
+    last = policies.agg(F.max_by(F.struct("policy_id", "version"), "policy_position").alias("_last"))
+    wish = "struct<d:string,a:string,p:int>"
+    exact = F.transform("actions", lambda a, i: F.struct(F.col("domain").alias("d"), a.alias("a"), (i + 1).alias("p")).cast(wish))
+    own = F.filter(exact, lambda w: w["a"].isNotNull())
+    own = F.concat(F.coalesce(own, F.array().cast(f"array<{wish}>")), F.array(F.struct(F.col("domain").alias("d"), F.lit(None).alias("a"), F.lit(1 << 30).alias("p")).cast(wish)))
+    anywhere = F.array(F.struct(F.lit(None).alias("d"), F.lit(None).alias("a"), F.lit((1 << 30) + 1).alias("p")).cast(wish))
+    asked = queries.select("query_id", F.explode(F.when(F.col("domain").isNull(), anywhere).otherwise(F.concat(own, anywhere))).alias("_w"))
+    found = asked.join(policies, F.col("_w.d").eqNullSafe(F.col("policy_domain")) & F.col("_w.a").eqNullSafe(F.col("policy_action")))
+    best = found.groupBy("query_id").agg(F.min_by(F.struct("policy_id", "version"), F.struct("_w.p", "policy_position")).alias("_b"))
+    chosen = F.coalesce("_b", "_last")
+    return queries.select("query_id").distinct().join(best, "query_id", "left").crossJoin(last).where(F.col("_last").isNotNull()).select(  # one row
+        "query_id", chosen["policy_id"].alias("policy_id"), chosen["version"].alias("version"))
 
 
 def score_kind(views: DataFrame) -> DataFrame:
@@ -133,7 +136,7 @@ def score_kind(views: DataFrame) -> DataFrame:
 
 def decide_quality(scored: DataFrame, bands: DataFrame, minimum: int = 1) -> DataFrame:
     """POL-3: ``scored``: query_id, evidence_count, score_kind, score, missing."""
-    j = scored.join(F.broadcast(bands), "score_kind", "left")
+    j = scored.join(bands, "score_kind", "left")
     reason = (
         F.when((F.col("evidence_count") < minimum) | F.col("score").isNull(), "no_evidence")
         .when(F.size("missing") > 0, "missing_entity_coverage")

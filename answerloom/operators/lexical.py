@@ -131,7 +131,7 @@ def fielded_search(index: DataFrame, queries: DataFrame, k: int = 20, tokenizer=
 
 
 def generation_key(indexes: DataFrame, dictionary_hash: str, schema_tag: str = "lexical-v1") -> DataFrame:
-    """LEX-5: key of the snapshot: schema tag, sorted index ids, dictionary hash. One digest per batch of index ids keeps
-    the gathered list bounded by the number of active indexes of one owner."""
+    """LEX-5: key of the snapshot: schema tag, sorted index ids, dictionary hash. The ids of an owner are
+    gathered into one row, as the digest's definition runs over all of them in order: the row grows with an owner's active indexes."""
     return indexes.groupBy("owner").agg(F.array_sort(F.collect_set("index_version_id")).alias("_ids")).select(
         "owner", F.sha2(F.concat_ws("|", F.lit(schema_tag), F.array_join("_ids", "|"), F.lit(dictionary_hash)), 256).alias("generation"))
