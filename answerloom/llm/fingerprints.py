@@ -33,7 +33,7 @@ from answerloom.session import durable
 K = 256
 SHINGLE = 5
 HASH_BITS = 48
-PART = 4 << 20
+PART = 1 << 19
 """Bytes hashed at once; a longer text is cut into such parts, which share SHINGLE - 1 words."""
 BASE = 0x9E3779B97F4A7C15
 MULTIPLIERS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
