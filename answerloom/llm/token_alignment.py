@@ -8,7 +8,7 @@ intervals of all texts of a block are halved together, level by level, so a leve
 A group links each of its A tokens to each of its B tokens. Counting runs over blocks of texts: a block hands on each id
 pair once with the number of its documents that hold it, pairs are summed over blocks, and what a block needs of these sums
 comes back to it by its number. So what is shuffled are the different pairs of blocks, not the links, and no group holds
-more than one block (``TOGETHER`` bytes of text, or one longer text).
+more than one block (``TOGETHER`` characters of text, or one longer text).
 
 Null and empty texts, and texts that a tokenizer doesn't give back byte for byte, have no tokens: zeros and an empty
 string. Strings of special tokens inside texts are plain text. Repeated rows are documents of their own. An empty table
@@ -32,7 +32,7 @@ from answerloom.llm.packing import byte_of_letter
 from answerloom.session import durable
 
 TOGETHER = 8 << 20
-"""Bytes of text in a block."""
+"""Characters of text in a block."""
 SMALL_GROUP = 1 << 12
 """Links of a group that are written out one by one; a larger group multiplies the counts of its different ids."""
 # Fixed value: the split of tokenizer A's vocabulary.
