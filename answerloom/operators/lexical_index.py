@@ -10,12 +10,12 @@ N, average length and df from the same index; sets may overlap and no text or po
 """
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,42 +48,42 @@ def gain(tf: Column, length: Column, average: Column, k1: float, b: float) -> Co
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Postings of every ``block`` rows in turn, and one row without a term that lists the block's chunks."""
+    """Postings of every ``block`` rows in turn, and one row without a term that lists the block's chunks.
+
+    Tokens become codes once; one sort by (block, term, row) gives term frequencies and the postings in order."""
     number = TaskContext.get().partitionId() << 32
-    row = schema.field("rows").type.value_type
+    kind = schema.field("rows").type
+
+    def rows_of(part: pa.RecordBatch, row: np.ndarray, tf: np.ndarray, starts: np.ndarray) -> pa.Array:
+        take = pa.array(row, pa.int32())
+        structs = pa.StructArray.from_arrays(
+            [part.column(0).take(take), part.column(1).take(take), pa.array(tf, pa.int32()), part.column(3).take(take)], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), structs).cast(kind)
+
+    def batch_of(terms: pa.Array, blocks: np.ndarray, starts: np.ndarray, most: np.ndarray, least: np.ndarray, rows: pa.Array, total: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            terms, pa.array(blocks, pa.int64()), pa.array(np.diff(starts, append=total), pa.int64()), pa.array(most, pa.int32()), pa.array(least, pa.int32()), rows], schema=schema)
+
     for batch in batches:
         for start in range(0, batch.num_rows, TOGETHER):
             part = batch.slice(start, TOGETHER)
-            tokens, lengths = part.column(2).to_pylist(), part.column(3).to_pylist()
-            terms, blocks, most, least, sizes, at, tfs = [], [], [], [], [], [], []
-            for first in range(0, part.num_rows, block):
-                own = range(first, min(first + block, part.num_rows))
-                found: dict[str, list[int]] = {}
-                for i in own:
-                    for term, tf in Counter(tokens[i] or ()).items():
-                        found.setdefault(term, []).extend((i, tf))
-                terms.append(None)
-                sizes.append(len(own))
-                most.append(0)
-                least.append(0)
-                at += own
-                tfs += [0] * len(own)
-                for term, flat in found.items():
-                    terms.append(term)
-                    rows, counts = flat[::2], flat[1::2]
-                    sizes.append(len(rows))
-                    most.append(max(counts))
-                    least.append(min(lengths[i] for i in rows))
-                    at += rows
-                    tfs += counts
-                blocks += [number] * (1 + len(found))
-                number += 1
-            take = pa.array(at, pa.int32())
-            structs = pa.StructArray.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(tfs, pa.int32()), part.column(3).take(take)], fields=list(row))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([
-                pa.array(terms, pa.string()), pa.array(blocks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(most, pa.int32()), pa.array(least, pa.int32()),
-                pa.ListArray.from_arrays(offsets, structs).cast(schema.field("rows").type)], schema=schema)
+            n = part.num_rows
+            own = np.arange(0, n, block)
+            yield batch_of(pa.nulls(len(own), pa.string()), number + np.arange(len(own)), own, 0 * own, 0 * own, rows_of(part, np.arange(n), np.zeros(n, int), own), n)
+            lengths = part.column(3).fill_null(0).to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.list_value_length(part.column(2)), 0).to_numpy(zero_copy_only=False)
+            coded = part.column(2).flatten().dictionary_encode()
+            if len(coded):
+                row, many = np.repeat(np.arange(n), sizes), len(coded.dictionary)
+                key = np.sort(((row // block) * many + coded.indices.to_numpy()) * block + row % block)
+                first = np.flatnonzero(np.diff(key, prepend=-1))
+                key, tf = key[first], np.diff(first, append=len(key))
+                group, row = key // block, key // block // many * block + key % block
+                starts = np.flatnonzero(np.diff(group, prepend=-1))
+                terms = coded.dictionary.take(pa.array(group[starts] % many))
+                yield batch_of(terms.cast(pa.string()), number + group[starts] // many, starts, np.maximum.reduceat(tf, starts),
+                               np.minimum.reduceat(lengths[row], starts), rows_of(part, row, tf, starts), len(row))
+            number += len(own)
 
 
 def build(chunks: DataFrame, tokenizer: Callable[[Column], Column] | None = None, field: str = "text", block: int = BLOCK) -> LexicalIndex:
