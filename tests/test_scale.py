@@ -3,7 +3,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from answerloom.functions.scale import SLICES, _sliced, exact_percentiles, split_previous, split_rank
+from answerloom.functions.scale import SLICES, _sliced, dealt_join, exact_percentiles, split_previous, split_rank
+from answerloom.operators import relational as rel
 
 
 def test_slices_are_even_whatever_the_positions(spark):
@@ -41,3 +42,22 @@ def test_percentiles_equal_nearest_ranks(spark):
         got = exact_percentiles(df, ["k"], "v", {"a": 0.5, "b": 0.95, "c": 1.0, "d": 0.0}, gather)
         assert {r.k: (r.a, r.b, r.c, r.d) for r in got.collect()} == want
     assert exact_percentiles(df.where("k = 'one'"), [], "v", {"a": 0.5}).collect()[0].a == 7.5
+
+
+def test_pairs_of_few_keys_are_dealt_over_tasks(spark):
+    asks = spark.range(300).select(F.col("id").alias("q"), (F.col("id") % 2).alias("owner"))
+    docs = spark.range(400).coalesce(1).select(F.col("id").alias("doc"), (F.col("id") % 2).alias("owner"))
+    want = sorted(map(tuple, asks.join(docs, "owner").select("q", "doc").collect()))
+    for most in (1_000, 10):  # broadcast, and pieces against pieces
+        got = dealt_join(asks, docs, ["owner"], 5_000, most)
+        assert sorted(map(tuple, got.select("q", "doc").collect())) == want
+        parts = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(parts) >= 8 and max(parts) <= len(want) / 3
+
+
+def test_owner_scope_is_not_one_task(spark, monkeypatch):
+    from answerloom.functions import scale
+    monkeypatch.setattr(scale.dealt_join, "__defaults__", (5_000, scale.BROADCAST_ROWS))
+    asks = spark.range(300).select(F.col("id").alias("query_id"), F.lit("o").alias("owner"))
+    docs = spark.range(400).coalesce(1).select(F.col("id").alias("document_id"), F.lit("o").alias("owner"), F.lit("active").alias("document_status"))
+    assert rel.owner_scope(docs, asks).rdd.getNumPartitions() >= 300 * 400 / 5_000
