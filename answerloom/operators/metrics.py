@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as lex
 from ..functions.scale import exact_percentiles
 from ..functions.text import fold, ratio
+from ..session import durable
 
 
 def _mean(value: Column) -> Column:
@@ -84,14 +85,20 @@ def chunk_cases(cases: DataFrame, chunks: DataFrame, errors: DataFrame | None =
     """EVL-4. ``cases``: mode, case_id, ordinals, child_terms, parent_terms array<array<string>>, strategies, min/max_parents,
     min/max_children; ``chunks``: mode, case_id and draft columns; ``errors``: mode, case_id of failed chunking."""
     key = ["mode", "case_id"]
+    # Written once: chunks are read five times below and cases four times, which would chunk every text as often.
+    chunks = durable(chunks.select(*key, "kind", "strategy", "content", "local_id", "parent_local_id", "source_block_ordinal"))
+    cases = durable(cases)
     size = chunks.groupBy(*key).agg(
         F.count_if(F.col("kind") == "parent").alias("parent_count"), F.count_if(F.col("kind") == "child").alias("child_count"),
         F.collect_set(F.when(F.col("kind") == "child", F.col("strategy"))).alias("_strategies"))
 
     def groups(column: str, kind: str) -> DataFrame:
-        wanted = cases.select(*key, F.posexplode(column).alias("_g", "_terms"))
-        body = chunks.where(F.col("kind") == kind).select(*key, "content")
-        met = wanted.join(body, key, "left").groupBy(*key, "_g").agg(F.bool_or(F.coalesce(
+        wanted = cases.select(*key, F.posexplode(column).alias("_g", "_terms")).withColumn(
+            "_longest", F.coalesce(F.array_max(F.transform("_terms", F.length)), F.lit(0)))
+        body = chunks.where(F.col("kind") == kind).select(*[F.col(c).alias(f"_c_{c}") for c in key], "content")
+        # Long terms meet only chunks that can hold them, so no pair is larger than twice its chunk.
+        same = [F.col(c) == F.col(f"_c_{c}") for c in key]
+        met = wanted.join(body, [*same, F.length("content") >= F.col("_longest")], "left").groupBy(*key, "_g").agg(F.bool_or(F.coalesce(
             F.forall("_terms", lambda t: F.contains(F.col("content"), t)), F.lit(False))).alias("_met"))
         return met.groupBy(*key).agg(F.count(F.lit(1)).alias(f"{kind}_total"), F.count_if("_met").alias(f"{kind}_passed"))
 

@@ -122,3 +122,14 @@ def test_descriptions_may_begin_like_steps(spark, tmp_path):
     text = "\n".join(["56.187.231.175 is the address", "open it", "close it", "- a dash", "first", "second", "3. third", "x", "y"])
     docs = spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long")
     agrees(spark, other_table(spark, tmp_path, "documents", docs), "chunk_manual")
+
+
+def plan_of(spark, name):
+    from conftest import SMALL
+
+    from answerloom.plans import QUERIES
+    return QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chunks_are_made_once_for_their_evaluation(spark):
+    assert "ArrowEvalPython" not in plan_of(spark, "chunk_cases")
