@@ -133,3 +133,7 @@ def plan_of(spark, name):
 
 def test_chunks_are_made_once_for_their_evaluation(spark):
     assert "ArrowEvalPython" not in plan_of(spark, "chunk_cases")
+
+
+def test_rules_run_once_for_published_texts(spark):
+    assert "regexp_replace" not in plan_of(spark, "publish_text")
