@@ -2,7 +2,8 @@
 
 Training reads a bounded hash sample and gives a codebook: unit centroids of cells, centroids of sub-vectors, and how many
 cells a query must visit and how many candidates it must rescore so that the sample's own nearest neighbours are found. The
-index has every vector with its cell and one byte per sub-vector. A search visits the nearest cells of every query,
+index has every vector with its cell and one byte per sub-vector. The sample knows neither the table's size nor the filters
+of the queries, so ``widened`` raises both numbers until a bounded sample of the real queries loses no neighbour. A search visits the nearest cells of every query,
 ranks their rows by codes alone (vectors are not read), and fetches vectors only for the best few per query, which the
 exact cosine then ranks. Domain, scopes and whitelist are tested in the cell, before anything is ranked; a query that still
 gets fewer than k hits is searched exactly.
@@ -10,7 +11,7 @@ gets fewer than k hits is searched exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ SAMPLE = 16_384
 """Rows the codebook is trained on, at most."""
 TARGET = 0.998
 """Share of the sample's true neighbours that the chosen probes and the chosen number of rescored rows must each reach."""
+ASKED, MARGIN = 256, 2
+"""Queries that are also searched exactly, and by how much the rest gets more rescored rows than these need."""
 ROWS_PER_TASK = 65_536
 
 
@@ -216,7 +219,28 @@ def search(index: DataFrame, book: Codebook, queries: DataFrame, k: int = 10, re
     return near.join(filled, "query_id", "left_semi").unionByName(rest.select(*near.columns))
 
 
+def widened(index: DataFrame, book: Codebook, queries: DataFrame, k: int = 10, asked: int = ASKED) -> Codebook:
+    """The codebook with the probes and rescored rows by which ``asked`` queries (smallest hash of the id) find all of their exact
+    neighbours in the whole index under their own filters, and a margin for the other queries."""
+    some = durable(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(asked))
+    true = durable(vector_search(index, some, k).select("query_id", "chunk_id").join(
+        index.select(F.col("vec_id").alias("chunk_id"), "cell"), "chunk_id").join(some.select("query_id", "vector"), "query_id"))
+    found = true.groupBy("query_id").agg(F.first("vector").alias("vector"), F.collect_set("cell").alias("cells")).toPandas()  # k cells of ``asked`` queries
+    if found.empty:
+        return book
+    place = np.argsort(book.visits(_unit(found["vector"]), len(book.cells)), axis=1)
+    deepest = 1 + max(int(p[list(c)].max()) for p, c in zip(place, found["cells"]))
+    probes = min(len(book.cells), max(book.probes, deepest + -(-deepest // 8)))
+    rows, rescored = index.count(), book.rescored
+    while rescored < rows and true.join(candidates(index, book, some, rescored, probes), ["query_id", "chunk_id"], "left_anti").limit(1).count():
+        rescored *= 2
+    return replace(book, probes=probes, rescored=MARGIN * rescored)
+
+
 def approximate_search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """VEC-5: train, build and search in one go. A table that is searched again keeps its codebook and index."""
+    """VEC-5: train, build, widen and search in one go. A table that is searched again keeps its widened codebook and index."""
     book = train(vectors, k)
-    return vector_search(vectors, queries, k) if book is None else search(build(vectors, book), book, queries, k, whole=vectors)
+    if book is None:
+        return vector_search(vectors, queries, k)
+    index = build(vectors, book)
+    return search(index, widened(index, book, queries, k), queries, k, whole=vectors)

@@ -203,6 +203,17 @@ def test_index_on_the_given_vectors(spark):
     assert vec.recall_against(exact, near).agg(F.min("recall")).first()[0] >= 0.9
 
 
+def test_index_loses_no_two_neighbours_of_any_query(spark):
+    """Copies of unclustered vectors with noise: the sample's own neighbours call for too few rescored rows here."""
+    rng = np.random.default_rng(1)
+    given = np.concatenate([rng.normal(size=(800, 64))] * 5) + 0.5 * rng.normal(size=(4000, 64))
+    vectors = spark.createDataFrame([(i, given[i].tolist(), i % 5, ["public"] if i % 3 else ["staff"]) for i in range(4000)],
+                                    "vec_id long, embedding array<double>, domain int, access_scope array<string>").repartition(4)
+    queries = vectors.where("vec_id % 4 = 0").selectExpr("vec_id as query_id", "embedding as vector", "domain", "array('public') as allowed_scopes")
+    exact, near = vec.vector_search(vectors, queries, 10), vec.vector_search_lsh(vectors, queries, 10)
+    assert vec.recall_against(exact, near).agg(F.min("recall")).first()[0] >= 0.9
+
+
 def test_index_stands_odd_vectors(spark):
     rows = [(1, [1.0, 0.0, 0.5], 0), (2, None, 0), (3, [0.0, 0.0, 0.0], 0), (4, [1.0, 2.0], 0), (5, [0.9, 0.1, 0.5], 0), (6, [1.0, 0.0, 0.5], None)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, domain int")
