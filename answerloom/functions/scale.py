@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,6 +72,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+SLICE_ROWS = 64
+
+
+def by_slices(rows: pa.Array, work: Callable, kind: pa.DataType) -> pa.Array:
+    """``work`` on every value that is not null, few rows at a time: only these are Python objects at once, not the texts of a whole batch."""
+    parts = (rows.slice(at, SLICE_ROWS).to_pylist() for at in range(0, len(rows), SLICE_ROWS))
+    return pa.concat_arrays([pa.array([], kind), *(pa.array([None if row is None else work(row) for row in part], kind) for part in parts)])
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], keep: list[str] | None = None) -> DataFrame:
     """First row of every key by ``order`` as a combining aggregate.
 

@@ -1,11 +1,13 @@
 """Document text to source blocks. Everything folds inside the document's own row: no shuffle."""
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.scale import by_slices
 from ..functions.text import bind, is_blank, rstrip, split_lines, strip
 
 HEADING_LINE = r"(?U)^(#{1,6})\s+(.+?)\s*$"
@@ -107,11 +109,12 @@ def folded_lines(lines: list[str], levels: list[int], titles: list[str], pipes:
 
 
 _TEXTS = T.ArrayType(T.StringType())
+_FOLDED = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("lines", _TEXTS), T.StructField("path", _TEXTS)]))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("lines", _TEXTS), T.StructField("path", _TEXTS)])))
-def _folded(items: pd.DataFrame) -> pd.Series:
-    return pd.Series([None if row[0] is None else folded_lines(*row) for row in items.itertuples(index=False)], index=items.index)
+@F.arrow_udf(_FOLDED)
+def _folded(items: pa.Array) -> pa.Array:
+    return by_slices(items, lambda row: None if row["line"] is None else folded_lines(*row.values()), to_arrow_type(_FOLDED))
 
 
 def markdown_blocks(df: DataFrame, column: str = "text") -> DataFrame:

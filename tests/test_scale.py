@@ -137,3 +137,22 @@ def test_chunks_are_made_once_for_their_evaluation(spark):
 
 def test_rules_run_once_for_published_texts(spark):
     assert "regexp_replace" not in plan_of(spark, "publish_text")
+
+
+def test_slices_of_a_batch_are_all_that_is_held_as_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from answerloom.functions.scale import by_slices
+
+    texts = [None if i % 7 == 0 else [f"{i} " + "x" * 5000] * 2 for i in range(2000)]
+    batch, kind = pa.array(texts), pa.list_(pa.string())
+    want = pa.array([None if t is None else t[:1] for t in texts], kind)
+    del texts
+    tracemalloc.start()
+    got = by_slices(batch, lambda t: t[:1], kind)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.equals(want) and peak < 2_000_000  # all rows as objects take ten times as much
+    assert len(by_slices(batch.slice(0, 0), lambda t: t, kind)) == 0
