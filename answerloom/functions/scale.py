@@ -64,12 +64,15 @@ def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], pairs_per_tas
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Feed CPU-heavy row-local work to all cores when the input has fewer splits than cores (a few large row groups).
+    """Feed CPU-heavy row-local work to all cores when the rows of the input lie in fewer tasks than there are cores.
 
-    An input with enough splits, as any large one has, is left alone, so nothing is shuffled at scale.
+    Rows per task are counted, not splits: a file of few large row groups has many splits, and most of them are empty. An input
+    whose rows fill most cores, as any large one does, is left alone, so nothing is shuffled at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    parts = df.groupBy(F.spark_partition_id().alias("_p")).agg(F.count(F.lit(1)).alias("n"))  # reads no column of a plain table
+    rows, most = parts.agg(F.sum("n"), F.max("n")).first()
+    return df.repartition(cores, key) if rows and rows < 0.75 * cores * most else df
 
 
 SLICE_ROWS = 64

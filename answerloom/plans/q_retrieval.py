@@ -51,7 +51,8 @@ SELECT doc_id, len(list_distinct(list_concat(list_transform(range(1, greatest(le
   array_to_string(list_sort(list_distinct(list_concat(list_transform(range(1, greatest(length(j), 1)), lambda i: substr(j, i, 2)), regexp_extract_all(s, '[a-z0-9]+')))), ' ') AS tokens FROM c""")
 def q_semantic_tokens(spark, d):
     t = tok.semantic_tokens(F.translate("text", "aeiou", "会员退款费"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n"), joined(F.array_sort(t)).alias("tokens"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", F.size(t).cast("long").alias("n"), joined(F.array_sort(t)).alias("tokens"))
 
 
 # --- dictionary: part names as terms, brands as domains ---------------------------------------------------------------

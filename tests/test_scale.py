@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from answerloom.functions.scale import SLICES, _sliced, dealt_join, exact_percentiles, split_previous, split_rank
+from answerloom.functions.scale import SLICES, _sliced, dealt_join, exact_percentiles, split_previous, split_rank, spread
 from answerloom.operators import relational as rel
 
 
@@ -156,3 +156,15 @@ def test_slices_of_a_batch_are_all_that_is_held_as_objects():
     tracemalloc.stop()
     assert got.equals(want) and peak < 2_000_000  # all rows as objects take ten times as much
     assert len(by_slices(batch.slice(0, 0), lambda t: t, kind)) == 0
+
+
+def test_spread_counts_rows_not_splits(spark):
+    cores = spark.sparkContext.defaultParallelism
+    hot = spark.range(1000).repartition(4 * cores, F.lit(1))  # many partitions, all rows in one
+
+    def most(df):
+        return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+    assert most(hot) == 1000 and most(spread(hot, "id")) < 1000
+    even = spark.range(0, 1000, 1, 4 * cores)
+    assert spread(even, "id") is even and spread(hot.where("false"), "id").count() == 0
