@@ -62,5 +62,5 @@ def q_incremental_index(spark, d):
     docs = table(spark, d, "documents").select(F.col("lang"), F.col("text").alias("value"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()[0]
     docs.repartition(1 + size // FILE_BYTES, F.xxhash64("value")).write.partitionBy("lang").option("lineSep", "\n\n").text(f"{out}/files")
-    st.incremental_index(spark, f"{out}/files", f"{out}/index", f"{out}/checkpoint", 32)
+    st.incremental_index(spark, f"{out}/files", f"{out}/index", f"{out}/checkpoint")
     return st.indexed_chunks(spark, f"{out}/index").select("kind", "content")

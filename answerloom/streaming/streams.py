@@ -30,25 +30,29 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
 
 def incremental_index(spark: SparkSession, landing: str, out: str, checkpoint: str, files_per_batch: int = 1000) -> None:
     """New files become blocks and chunks in bounded batches; ``progress`` holds totals per version, and a version is
-    complete only when every child row is there. The checkpoint is the cursor."""
+    complete only when every child row is there. The checkpoint is the cursor. A batch opens and decodes its files once, into
+    ``staged``, which the next batch overwrites."""
     raw = (
         spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
         .option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").load(landing)
     )
 
     def index(batch: DataFrame, batch_id: int) -> None:
-        routed = files.classify_files(batch)
-        decoded = files.decode_text(routed.where("error_code is null and ext in ('md', 'markdown', 'txt')"))
-        versions = decoded.where("text is not null").select(F.col("sha256").alias("version_id"), "filename", "ext", "text")
+        readable = F.col("error_code").isNull() & F.col("ext").isin(*files.TEXT_EXTENSIONS)
+        routed = files.classify_files(batch).withColumn("bytes", F.when(readable, F.col("bytes")))
+        decoded = files.decode_text(routed).select(F.col("sha256").alias("version_id"), "filename", "ext", "error_code", "text")
+        decoded.write.mode("overwrite").parquet(f"{out}/staged")
+        staged = spark.read.schema(decoded.schema).parquet(f"{out}/staged")
+        versions = staged.where("text is not null")
         markdown = blk.markdown_blocks(versions.where("ext <> 'txt'").select("version_id", "text"))
         plain = blk.text_blocks(versions.where("ext = 'txt'").select("version_id", "text"))
         names = ["version_id", "ordinal", "block_type", "content", "heading_path", "page_number"]
         drafts = chk.assign_chunk_ids(chk.chunk_generic(markdown.select(*names).unionByName(plain.select(*names))))
         drafts.write.mode("overwrite").parquet(f"{out}/chunks/batch={batch_id}")
-        stored = spark.read.parquet(f"{out}/chunks/batch={batch_id}")
+        stored = spark.read.schema(drafts.schema).parquet(f"{out}/chunks/batch={batch_id}")
         progress = stored.groupBy("version_id").agg(F.count_if(F.col("kind") == "child").alias("total"))
         seen = versions.select("version_id", "filename").join(progress, "version_id", "left").fillna(0, ["total"])
-        rejected = routed.where("error_code is not null").select(
+        rejected = staged.where("error_code is not null").select(
             F.lit(None).cast("string").alias("version_id"), "filename", F.lit(0).cast("long").alias("total"), "error_code")
         seen.withColumn("error_code", F.lit(None).cast("string")).unionByName(rejected).write.mode("overwrite").parquet(f"{out}/progress/batch={batch_id}")
 

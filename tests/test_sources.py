@@ -100,6 +100,23 @@ def test_incremental_index(spark, tmp_path):
     assert [r.filename for r in bad] == ["c.exe"]
 
 
+def test_incremental_index_decodes_a_batch_once(spark, tmp_path):
+    land = tmp_path / "land"
+    land.mkdir()
+    for i in range(3):
+        (land / f"{i}.txt").write_text(f"one {i}.\n\ntwo {i}.", encoding="utf-8")
+    (land / "c.exe").write_bytes(b"x")
+    for many in (1, 1000):
+        out = str(tmp_path / f"out{many}")
+        st.incremental_index(spark, str(land), out, str(tmp_path / f"ck{many}"), many)
+        staged = spark.read.parquet(f"{out}/staged")
+        assert staged.count() == min(many, 4) and "content" not in staged.columns and "bytes" not in staged.columns
+        assert st.indexed_chunks(spark, out).where("kind = 'child'").count() == 6
+        rows = spark.read.parquet(f"{out}/progress")
+        assert sorted((r.filename, r.total, r.error_code) for r in rows.collect()) == [
+            ("0.txt", 2, None), ("1.txt", 2, None), ("2.txt", 2, None), ("c.exe", 0, "UNSUPPORTED_DOCUMENT_TYPE")]
+
+
 def test_files_are_rejected_before_they_are_read(spark, tmp_path):
     for name, body in {"a/x.MD": b"# t", "a/b/y.pdf": b"%PDF-1", "z.docx": b"no zip", "empty.txt": b"", "big.txt": b"x" * 101, "q.exe": b"MZ", "noext": b"n"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
