@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scale import fits_broadcast, top_k
+from ..functions.scale import BROADCAST_ROWS, fits_broadcast, top_k
 from ..functions.text import fold, strip
 from ..functions.tokens import bigram_tokenizer
 from ..session import durable
@@ -39,6 +39,31 @@ def postings(docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("tf"))
 
 
+def counted_postings(chunks: DataFrame, tokenizer: Callable[[Column], Column] | None = None, field: str = "text", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``chunk_id, term, tf, length, df`` of every posting of one target set.
+
+    Postings are made inside the tasks that read the texts and written by blocks, so texts are tokenized once and term frequencies need no
+    exchange. Terms of many blocks, at most ``max_rows`` of them, meet their document frequency by a broadcast; only what is left,
+    blocks of rare terms, is shuffled. Chunks that repeat an id are one chunk if they are of one length, which takes an exchange of all postings.
+    """
+    if not chunks.groupBy("chunk_id").count().where("count > 1").isEmpty():
+        tf = postings(bm25_index(chunks, tokenizer, field)[0])
+        return tf.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select("chunk_id", "term", "tf", "length", "df")
+    held = lexical_index.build(chunks, tokenizer, field, lexical_index.TOGETHER).postings
+    df = durable(held.groupBy("term").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("_blocks")))
+    level = F.floor(F.log2("_blocks"))
+    cut, room = 0, max_rows
+    for at, many in sorted(df.groupBy(level).count().collect(), reverse=True):
+        room -= many
+        if room < 0:
+            cut = at + 1
+            break
+    common, rare = df.where(level >= cut).drop("_blocks"), df.where(level < cut).drop("_blocks")
+    seldom = held.join(F.broadcast(common.select("term")), "term", "left_anti").join(rare, "term")
+    met = held.join(F.broadcast(common), "term").select("term", "rows", "df").unionByName(seldom.select("term", "rows", "df"))
+    return met.select("term", "df", F.explode("rows").alias("r")).select("r.chunk_id", "term", F.col("r.tf").cast("long").alias("tf"), "r.length", "df")
+
+
 def bm25_scores(docs: DataFrame, stats: DataFrame, queries: DataFrame, tokenizer=None, k1: float = K1, b: float = B,
                 keep: tuple[str, ...] = (), ask: tuple[str, ...] = (), may: Column | None = None) -> DataFrame:
     """Score of every (query, chunk) pair that shares a term and meets ``may``, a condition on the columns ``keep`` of the

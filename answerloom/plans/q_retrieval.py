@@ -168,10 +168,8 @@ GAIN = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.7
 @query("bm25_index", f"""WITH {BM25}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT t.chunk_id, t.term, t.tf, CAST(l.length AS BIGINT) AS length, f.df FROM tf t JOIN dl l USING (chunk_id) JOIN df f USING (term)""")
 def q_bm25_index(spark, d):
-    docs, _ = lx.bm25_index(corpus(spark, d))
-    tf = lx.postings(docs)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return tf.join(df, "term").select("chunk_id", "term", "tf", F.col("length").cast("long").alias("length"), "df")
+    found = lx.counted_postings(corpus(spark, d).select("chunk_id", "text"))
+    return found.select("chunk_id", "term", "tf", F.col("length").cast("long").alias("length"), "df")
 
 
 @query("bm25_search", f"""WITH {BM25}, st AS (SELECT count(*) AS n, avg(length) AS avg_length FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),

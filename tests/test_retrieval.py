@@ -1,5 +1,8 @@
+import hashlib
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -231,6 +234,39 @@ def test_hash_embed_is_unit_and_near(spark):
     assert rows[1] @ rows[2] > rows[1] @ rows[3]
 
 
+def test_hash_embed_is_row_local_and_counts_every_row(spark):
+    rng = random.Random(4)
+    rows = [(i % 50, " ".join(rng.choices(["a", "bc", "d_1", "é", "会", "X"], k=rng.randint(0, 9)))) for i in range(1500)] + [(7, None), (7, "…")]
+    out = vec.hash_embed(spark.createDataFrame(rows, "chunk_id int, text string").coalesce(1), "text", 16)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert [(r.chunk_id, r.text) for r in got] == rows
+    for r in got[:60] + got[-2:]:
+        words = [w.lower() for w in re.findall("[a-zA-Z0-9_]+|[\u4e00-\u9fff]", r.text or "")]
+        cells = [0.0] * 16
+        for f in words + [a + b for a, b in zip(words, words[1:])]:
+            digest = hashlib.sha256(f.encode()).hexdigest()
+            cells[int(digest[:16], 16) % 16] += 1 if int(digest[17], 16) % 2 else -1
+        norm = math.sqrt(sum(c * c for c in cells))
+        if r.text is not None and not norm:
+            cells, norm = [0.0] * 16, 1.0
+            cells[int(hashlib.sha256(r.text.encode()).hexdigest()[:16], 16) % 16] = 1.0
+        assert np.allclose(r.vector, [c / (norm or 1.0) for c in cells])
+
+
+def test_counted_postings_equal_a_count_by_hand(spark):
+    rng = random.Random(5)
+    texts = [(i, " ".join(f"w{int(rng.random() ** 4 * 300)}" for _ in range(rng.randint(0, 30)))) for i in range(3000)] + [(3000, None), (3001, "")]
+    chunks = spark.createDataFrame(texts, "chunk_id int, text string").repartition(5)
+    count = {i: Counter((t or "").split()) for i, t in texts}
+    df = Counter(w for c in count.values() for w in c)
+    want = sorted((i, w, n, sum(c.values()), df[w]) for i, c in count.items() for w, n in c.items())
+    for max_rows in (0, 20, 1000):
+        assert sorted(map(tuple, lx.counted_postings(chunks, max_rows=max_rows).collect())) == want
+    twice = lx.counted_postings(chunks.unionByName(chunks)).groupBy("term").agg(F.sum("tf").alias("n"), F.max("df").alias("df")).collect()
+    assert {r.term: (r.n, r.df) for r in twice} == {w: (2 * sum(c[w] for c in count.values()), df[w]) for w in df}
+
+
 def test_match_terms_both_ways_agree(spark):
     texts = spark.createDataFrame([("t1", "d", "大会员怎么退款 ABC"), ("t2", "d", "x"), ("t3", "e", "大会员")], "text_id string, domain string, text string")
     entries = spark.createDataFrame([("d", 1, "会员", ["大会员"]), ("d", 2, "退款", ["退费"]), ("d", 3, "a", []), ("e", 1, "无", ["没有"])], "domain string, position int, term string, aliases array<string>")
