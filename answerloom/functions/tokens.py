@@ -53,10 +53,3 @@ def semantic_tokens(c: Column) -> Column:
     none = F.array().cast("array<string>")
     grams = bind(F.regexp_replace(text, "[^一-鿿]+", ""), lambda cjk: F.when(F.length(cjk) > 1, char_bigrams(cjk)).otherwise(none))
     return F.array_distinct(F.concat(grams, F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))))
-
-
-def adjacent_pairs(tokens: Column) -> Column:
-    return F.when(
-        F.size(tokens) > 1,
-        F.zip_with(F.slice(tokens, F.lit(1), F.size(tokens) - 1), F.slice(tokens, F.lit(2), F.size(tokens) - 1), lambda a, b: F.concat(a, b)),
-    ).otherwise(F.array().cast("array<string>"))

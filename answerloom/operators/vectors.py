@@ -2,46 +2,60 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scale import fits_broadcast, top_k
-from ..functions.tokens import adjacent_pairs, tokenize_unigram
+from ..functions.tokens import tokenize_unigram
 
 
-def _bucket(text: Column, dim: int) -> Column:
-    """First 8 bytes of the SHA-256, unsigned, modulo dim; two halves keep the arithmetic inside 64 bits."""
-    digest = F.sha2(text, 256)
-    high = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    low = F.conv(F.substring(digest, 9, 8), 16, 10).cast("long")
-    return ((high % dim) * (2**32 % dim) + low % dim) % dim
+TOGETHER = 1024
+"""Texts whose features are counted together."""
 
 
-def _sign(text: Column) -> Column:
-    odd = F.conv(F.substring(F.sha2(text, 256), 18, 1), 16, 10).cast("int") % 2
-    return F.when(odd == 1, 1.0).otherwise(-1.0)
+def _digests(words: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket (first 8 bytes of the SHA-256, unsigned, modulo dim) and sign (lowest bit of the ninth byte) of every word."""
+    raw = np.frombuffer(b"".join([sha256(w.encode()).digest() for w in words]), np.uint8).reshape(-1, 32)
+    head = np.ascontiguousarray(raw[:, :8]).view(">u8").ravel().astype(np.uint64)
+    return (head % np.uint64(dim)).astype(np.int64), np.where(raw[:, 8] & 1, 1.0, -1.0)
 
 
-def hash_embed(df: DataFrame, text: str = "text", dim: int = 128, key: str = "chunk_id") -> DataFrame:
-    """VEC-1: signed feature hashing of unigrams and adjacent pairs, L2-normalised.
+def _hashed(texts: pa.Array, tokens: pa.Array, dim: int) -> np.ndarray:
+    """(texts, dim): unit vectors. Every distinct feature is hashed once."""
+    n = len(texts)
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    words = tokens.flatten()
+    row = np.repeat(np.arange(n), sizes)
+    inside = pa.array(row[1:] == row[:-1], pa.bool_())
+    pairs = pc.binary_join_element_wise(words[:-1], words[1:], "").filter(inside) if len(words) > 1 else words.slice(0, 0)
+    coded = pa.concat_arrays([words, pairs]).dictionary_encode()
+    bucket, sign = _digests(coded.dictionary.to_pylist(), dim)
+    code = coded.indices.to_numpy()
+    row = np.concatenate([row, row[1:][inside.to_numpy(zero_copy_only=False)]])
+    cells = np.bincount(row * dim + bucket[code], sign[code], n * dim).reshape(n, dim)
+    norm = np.sqrt((cells * cells).sum(1))
+    lone = np.flatnonzero((norm == 0) & texts.is_valid().to_numpy(zero_copy_only=False))
+    cells[lone, _digests(texts.take(pa.array(lone)).to_pylist(), dim)[0]] = 1.0
+    return cells / np.where(norm > 0, norm, 1.0)[:, None]
 
-    Feature counts are combined before the shuffle, so at most ``dim`` rows per text travel.
+
+def hash_embed(df: DataFrame, text: str = "text", dim: int = 128) -> DataFrame:
+    """VEC-1: signed feature hashing of unigrams and adjacent pairs, L2-normalised; a text whose cells are all zero has its own bucket.
+
+    Row-local: features are counted in Arrow batches, so neither they nor the texts are shuffled. A null text has a vector of zeros.
     """
-    tokens = df.select(key, F.col(text).alias("_text"), tokenize_unigram(F.col(text)).alias("_tokens"))
-    features = tokens.select(key, F.explode(F.concat("_tokens", adjacent_pairs(F.col("_tokens")))).alias("_f"))
-    cells = features.select(key, _bucket(F.col("_f"), dim).alias("_b"), _sign(F.col("_f")).alias("_v"))
-    sums = cells.groupBy(key, "_b").agg(F.sum("_v").alias("_v")).where("_v <> 0")
-    sparse = sums.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("_b", "_v"))).alias("_cells"), F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
-        F.try_element_at("_cells", i.cast("long")) / F.col("_norm"), F.lit(0.0)))
-    lone = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(
-        i == _bucket(F.col("_text"), dim), 1.0).otherwise(0.0))
-    return df.join(sparse.select(key, dense.alias("_dense")), key, "left").withColumn("_text", F.col(text)).withColumn(
-        "vector", F.coalesce("_dense", lone)).drop("_dense", "_text")
+    @F.arrow_udf("array<double>")
+    def embed(texts: pa.Array, tokens: pa.Array) -> pa.Array:
+        parts = [_hashed(texts.slice(at, TOGETHER), tokens.slice(at, TOGETHER), dim).ravel() for at in range(0, len(texts), TOGETHER)]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dim, pa.int32()), pa.array(np.concatenate([np.empty(0), *parts])))
+
+    return df.withColumn("vector", embed(F.col(text), tokenize_unigram(F.col(text))))
 
 
 def check_vectors(df: DataFrame, dim: int, key: str = "vec_id", vector: str = "embedding", texts: DataFrame | None = None) -> DataFrame:
