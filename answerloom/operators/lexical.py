@@ -64,23 +64,30 @@ def counted_postings(chunks: DataFrame, tokenizer: Callable[[Column], Column] |
     return met.select("term", "df", F.explode("rows").alias("r")).select("r.chunk_id", "term", F.col("r.tf").cast("long").alias("tf"), "r.length", "df")
 
 
+TOKENS_PER_TASK, PAIRS_PER_TASK, MOST_TASKS = 500_000, 2_000_000, 20_000
+"""What one task of ``bm25_scores`` counts and scores in memory; tasks are set by it, since shuffled bytes say little of either."""
+
+
 def bm25_scores(docs: DataFrame, stats: DataFrame, queries: DataFrame, tokenizer=None, k1: float = K1, b: float = B,
                 keep: tuple[str, ...] = (), ask: tuple[str, ...] = (), may: Column | None = None) -> DataFrame:
     """Score of every (query, chunk) pair that shares a term and meets ``may``, a condition on the columns ``keep`` of the
     documents and ``ask`` of the queries. Statistics are those of all documents.
 
     Only tokens of the query vocabulary survive the scan. They are distributed by chunk, so term frequencies, pair
-    scores and the first top-k cut need no further exchange, and a common term is spread over its chunks. The query
+    scores and the first top-k cut need no further exchange, and a common term is spread over its chunks. Tasks grow with the
+    tokens and with the pairs there can be, so what one task holds does not. The query
     side is broadcast when its measured size allows; otherwise the join shuffles on the term and AQE splits hot terms.
     """
     tokenize = tokenizer or bigram_tokenizer()
+    size = stats.agg(F.coalesce(F.sum(F.col("n") * F.col("avg_length")), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    tasks = min(MOST_TASKS, 1 + int(max(size["tokens"] / TOKENS_PER_TASK, size["n"] * queries.count() / PAIRS_PER_TASK)))
     terms = _with_set(queries).select(SET, "query_id", *ask, F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
     small = fits_broadcast(terms)
     send = F.broadcast if small else (lambda df: df)
     vocabulary = terms.select(SET, "term").distinct()
     tf = (
         docs.select(SET, "chunk_id", *keep, "length", F.explode("tokens").alias("term"))
-        .join(send(vocabulary), [SET, "term"], "left_semi").repartition(F.col("chunk_id"))
+        .join(send(vocabulary), [SET, "term"], "left_semi").repartition(tasks, F.col("chunk_id"))
         .groupBy(SET, "chunk_id", *keep, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
     df = tf.groupBy(SET, "term").agg(F.count(F.lit(1)).alias("df"))

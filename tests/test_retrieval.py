@@ -267,6 +267,33 @@ def test_counted_postings_equal_a_count_by_hand(spark):
     assert {r.term: (r.n, r.df) for r in twice} == {w: (2 * sum(c[w] for c in count.values()), df[w]) for w in df}
 
 
+def test_bm25_scores_deals_tokens_and_pairs_over_tasks(spark, monkeypatch):
+    rng = random.Random(6)
+    docs, stats = lx.bm25_index(spark.createDataFrame([(i, " ".join(rng.choices(["a", "b", "c", "d"], k=10))) for i in range(400)], "chunk_id int, text string"))
+    asks = spark.createDataFrame([(q, w) for q, w in enumerate(["a b", "c", "d a"])], "query_id int, query string")
+    got = {}
+    for name, value, tasks in (("TOKENS_PER_TASK", 10**9, 1), ("TOKENS_PER_TASK", 400, 11), ("PAIRS_PER_TASK", 50, 25)):
+        monkeypatch.setattr(lx, name, value)
+        scores = lx.bm25_scores(docs, stats, asks)
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+        assert tasks == 1 or f", {tasks}), REPARTITION_BY_NUM" in plan, plan
+        got[tasks] = sorted(map(tuple, scores.collect()))
+    assert got[1] == got[11] == got[25] and len(got[1]) > 1000
+
+
+def test_select_policy_does_not_sort_queries_by_key(spark):
+    table = [(3, "b", 1, "d", None), (1, "a", 2, "d", "x"), (2, "a2", 3, "d", "x"), (0, "g", 4, None, None), (5, "y", 5, "d", "y")]
+    policies = spark.createDataFrame(table, "policy_position int, policy_id string, version int, policy_domain string, policy_action string")
+    rows = [(1, "d", ["y", "x"]), (2, "d", ["x", None]), (3, "d", ["z"]), (4, "e", ["x"]), (5, None, ["x"]), (6, "d", None), (7, "d", []), (8, "e", []), (8, "d", ["q", "x"])]
+    asks = spark.createDataFrame(rows, "query_id int, domain string, actions array<string>")
+    got = ev.select_policy(asks, policies)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, "y", 5), (2, "a", 2), (3, "b", 1), (4, "g", 4), (5, "g", 4), (6, "b", 1), (7, "b", 1), (8, "a", 2)]
+    only = ev.select_policy(asks, policies.where("policy_position > 0 and policy_position < 3")).collect()
+    assert {r.query_id: r.policy_id for r in only} == {1: "a", 2: "a", 3: "a2", 4: "a2", 5: "a2", 6: "a2", 7: "a2", 8: "a"}
+    assert ev.select_policy(asks, policies.limit(0)).count() == 0
+
+
 def test_match_terms_both_ways_agree(spark):
     texts = spark.createDataFrame([("t1", "d", "大会员怎么退款 ABC"), ("t2", "d", "x"), ("t3", "e", "大会员")], "text_id string, domain string, text string")
     entries = spark.createDataFrame([("d", 1, "会员", ["大会员"]), ("d", 2, "退款", ["退费"]), ("d", 3, "a", []), ("e", 1, "无", ["没有"])], "domain string, position int, term string, aliases array<string>")
