@@ -8,8 +8,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import lexicons as lex
-from ..functions.scale import grouped_list, top_k
+from ..functions.scale import first_per_key, grouped_list, small_side, top_k
 from ..functions.text import clip, fold, is_blank, rstrip, squeeze, strip
+from ..session import durable
 from .dictionary import alias_list, scan_column
 
 NO_NAMES = "array<string>"
@@ -105,19 +106,26 @@ def policy_table(spark: SparkSession, policies=lex.POLICIES) -> DataFrame:
 def select_policy(queries: DataFrame, policies: DataFrame) -> DataFrame:
     """POL-1: (domain, action) in action order, then the domain, then the global policy, else the last one.
 
-    A query asks for each of its keys in order of priority, so policies are found by an equality join of any size.
+    A query asks for each of its keys in order of priority, so policies are found by an equality join of any size: by a broadcast if they
+    are few, which is measured, since many queries ask for the same key. What is aggregated by query is one number, place of the wish before
+    place of the policy.
     """
     last = policies.agg(F.max_by(F.struct("policy_id", "version"), "policy_position").alias("_last"))
+    keys = ["policy_domain", "policy_action"]
+    place = F.row_number().over(W.orderBy("policy_position", *keys)).cast("long")
+    known = durable(first_per_key(policies, keys, [F.col("policy_position")]).withColumn("_n", place))
     wish = "struct<d:string,a:string,p:int>"
     exact = F.transform("actions", lambda a, i: F.struct(F.col("domain").alias("d"), a.alias("a"), (i + 1).alias("p")).cast(wish))
     own = F.filter(exact, lambda w: w["a"].isNotNull())
     own = F.concat(F.coalesce(own, F.array().cast(f"array<{wish}>")), F.array(F.struct(F.col("domain").alias("d"), F.lit(None).alias("a"), F.lit(1 << 30).alias("p")).cast(wish)))
     anywhere = F.array(F.struct(F.lit(None).alias("d"), F.lit(None).alias("a"), F.lit((1 << 30) + 1).alias("p")).cast(wish))
     asked = queries.select("query_id", F.explode(F.when(F.col("domain").isNull(), anywhere).otherwise(F.concat(own, anywhere))).alias("_w"))
-    found = asked.join(policies, F.col("_w.d").eqNullSafe(F.col("policy_domain")) & F.col("_w.a").eqNullSafe(F.col("policy_action")))
-    best = found.groupBy("query_id").agg(F.min_by(F.struct("policy_id", "version"), F.struct("_w.p", "policy_position")).alias("_b"))
+    found = asked.join(small_side(known.select(*keys, "_n")), F.col("_w.d").eqNullSafe(F.col("policy_domain")) & F.col("_w.a").eqNullSafe(F.col("policy_action")), "left")
+    base = 1 << 32
+    best = found.groupBy("query_id").agg(F.min(F.col("_w.p").cast("long") * F.lit(base) + F.col("_n")).alias("_at")).withColumn("_n", F.col("_at") % base)
+    named = best.join(small_side(known.select("_n", F.struct("policy_id", "version").alias("_b"))), "_n", "left")
     chosen = F.coalesce("_b", "_last")
-    return queries.select("query_id").distinct().join(best, "query_id", "left").crossJoin(last).where(F.col("_last").isNotNull()).select(  # one row
+    return named.crossJoin(F.broadcast(last)).where(F.col("_last").isNotNull()).select(  # one row
         "query_id", chosen["policy_id"].alias("policy_id"), chosen["version"].alias("version"))
 
 
