@@ -3,9 +3,9 @@
 Base spans (email, ip, card, phone) are leftmost matches of fixed patterns that pass a check. Beside them, generous
 generators propose overlapping spans of each kind (other separators, no plus sign, written-out at and dot, IPv6, ...).
 Boosted trees of depth two score a proposal by format (lengths, digit groups, separators) and context (characters and words
-around it, the kind's own check). They are fitted in numpy on a bounded sample of proposals, taking those on a base span of their
+around it, the kind's own check). They are fitted on the proposals of all texts, by sums of gradients that the tasks make, taking those on a base span of their
 kind and those that pass a check and have no word that speaks against it (``confirmed``) as confirmed, and all others, also those that no
-check decides, as not. They are calibrated on the sample's other half: a kind's threshold is the lowest score from which on at least
+check decides, as not. They are calibrated on the other half of the texts: a kind's threshold is the lowest score from which on at least
 PRECISION of the held-out proposals are confirmed, and as many of those that touch no base span, since only such are added. Trees and
 thresholds then are SQL expressions. A proposal that passes, meets its kind's check (Luhn, octets or IPv6 groups, resolvable
 address, number of digits) and touches no base span or better proposal is added.
@@ -18,13 +18,16 @@ other columns don't matter.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.llm.common import fresh
+from answerloom.session import durable
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -57,8 +60,12 @@ WORDS_BEFORE = {
     "net": "ip|host|server|addr|ping|gateway|dns",
     "code": "version|release|isbn|issn|doi|page|rev|build|section|fig|table|chapter|line|commit|id",
 }
-SAMPLE = 20_000
-"""Documents with a hint that the trees are fitted on, in expectation."""
+LARGEST = 1000
+"""Features are numbers of characters or classes; trees do not tell larger ones apart."""
+STEP = 1 / 1024
+"""Thresholds are multiples of it; every held-out proposal counts towards them."""
+UNIT = 1 << 26
+"""Gradients are summed as multiples of 1 / UNIT, so no order of tasks changes a tree."""
 PRECISION, LEAST_CONFIRMED = 0.98, 20
 ROUNDS, RATE = 24, 0.3
 SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
@@ -215,17 +222,17 @@ def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
     return model
 
 
-def calibrated(model: Boosted, x: np.ndarray, y: np.ndarray, free: np.ndarray | None = None) -> Boosted:
+def calibrated(model: Boosted, x: np.ndarray, y: np.ndarray, free: np.ndarray | None = None, times: np.ndarray | None = None) -> Boosted:
     """The lowest margin from which on PRECISION of the held-out proposals are confirmed, at least LEAST_CONFIRMED of them, and
-    PRECISION of the ``free`` ones (those that touch no base span) too."""
-    margin = model.margin(x)
+    PRECISION of the ``free`` ones (those that touch no base span) too. ``x``: features, or margins if of one dimension; ``times``: how often each occurs."""
+    margin = model.margin(x) if x.ndim > 1 else x
     free = np.ones(len(y), bool) if free is None else free.astype(bool)
-    for cut in np.unique(margin):
-        above = y[margin >= cut]
-        alone = y[free & (margin >= cut)]
-        if above.sum() >= LEAST_CONFIRMED and above.mean() >= PRECISION and (not len(alone) or alone.mean() >= PRECISION):
-            return Boosted(model.trees, float(cut))
-    return Boosted(model.trees)
+    times = np.ones(len(y)) if times is None else times
+    cuts, at = np.unique(margin, return_inverse=True)
+    above = lambda w: np.cumsum(np.bincount(at, w * times, len(cuts))[::-1])[::-1]
+    good, every, good_free, every_free = above(y), above(np.ones(len(y))), above(y * free), above(free.astype(float))
+    fits = (good >= LEAST_CONFIRMED) & (good >= PRECISION * every) & (good_free >= PRECISION * every_free)
+    return Boosted(model.trees, float(cuts[fits.argmax()])) if fits.any() else Boosted(model.trees)
 
 
 def with_base(docs: DataFrame, text: str, base: str) -> DataFrame:
@@ -241,35 +248,119 @@ def with_proposals(docs: DataFrame, text: str, proposed: str) -> DataFrame:
     return docs.withColumn(proposed, F.struct(*(F.concat(*(matches(text, p, HINT[k]) for p in GENERATORS[k])).alias(k) for k in KINDS)))
 
 
-def train(docs: DataFrame) -> dict[str, Boosted]:
-    """A calibrated model for each kind. The driver gets numbers of the sample's proposals only."""
+def proposals(docs: DataFrame) -> DataFrame:
+    """``kind, half, x, y, free, n``: features and label of every proposal of every different text, equal ones counted. Only they leave the texts' tasks."""
     texts = docs.select(F.col("text").alias("t")).filter(F.col("t").rlike("|".join(HINT.values())))
-    total = max(1, texts.count())
-    place = F.pmod(F.xxhash64("t"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = with_proposals(with_base(texts.filter(place < SAMPLE / total).distinct(), "t", "base"), "t", "proposed")
+    found = with_proposals(with_base(texts, "t", "base"), "t", "proposed")
 
     def labelled(n: int, kind: str) -> Column:
         free = lambda x: ~F.exists(F.concat(*(F.col(f"base.{k}") for k in KINDS)), lambda b: overlaps(x, b))
         return F.transform(f"proposed.{kind}", lambda x: F.struct(
-            F.lit(n).alias("kind"), features(kind, x).alias("x"), F.coalesce(confirmed(kind, x, "base"), F.lit(False)).alias("y"), free(x).alias("free")))
-
-    rows = sample.select(F.pmod(F.xxhash64("t", F.lit(1)), F.lit(2)).alias("half"), F.explode(F.concat(*(labelled(n, k) for n, k in enumerate(KINDS)))).alias("c"))
-    counted = rows.groupBy("half", "c").count()  # equal proposals travel once
-    held: dict[tuple[int, int], list] = {}
-    for r in sorted(counted.collect()):
-        held.setdefault((r["c"]["kind"], r["half"]), []).append((r["c"]["x"], r["c"]["y"], r["c"]["free"], r["count"]))
-    models = {}
-    for n, kind in enumerate(KINDS):
-        (fx, fy, _), (cx, cy, free) = (_arrays(held.get((n, half), [])) for half in (0, 1))
-        models[kind] = calibrated(boost(fx, fy), cx, cy, free)
+            F.lit(n).alias("kind"), F.transform(features(kind, x), lambda v: F.least(v, F.lit(LARGEST))).alias("x"),
+            F.coalesce(confirmed(kind, x, "base"), F.lit(False)).alias("y"), free(x).alias("free")))
+
+    rows = found.select(F.xxhash64("t").alias("h"), F.md5("t").alias("m"), F.pmod(F.xxhash64("t", F.lit(1)), F.lit(2)).alias("half"),
+                        F.concat(*(labelled(n, k) for n, k in enumerate(KINDS))).alias("cs")).filter(F.size("cs") > 0)
+    once = rows.groupBy("h", "m", "half").agg(F.first("cs").alias("cs"))  # equal texts have equal proposals
+    return once.select("half", F.explode("cs").alias("c")).groupBy("c.kind", "half", "c.x", "c.y", "c.free").agg(F.count(F.lit(1)).alias("n"))
+
+
+def train(docs: DataFrame) -> dict[str, Boosted]:
+    """A calibrated model for each kind, from all proposals. They stay in the tasks; the driver gets sums by value of a feature
+    (at most LARGEST + 1) or by step of the margin."""
+    held = durable(proposals(docs))
+    models = {kind: Boosted([]) for kind in KINDS}
+    active = set(range(len(KINDS)))
+    for _ in range(ROUNDS):
+        roots = _cuts(held.filter("half = 0"), models, {n: None for n in active})
+        active &= set(roots)
+        if not active:
+            break
+        leaves = _cuts(held.filter("half = 0"), models, {n: roots[n] for n in active})
+        for n in active:
+            models[KINDS[n]].trees.append(leaves[n])
+    for n, points in _margins(held.filter("half = 1"), models).items():
+        models[KINDS[n]] = calibrated(models[KINDS[n]], *points)
     return models
 
 
-def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if not rows:
-        return np.empty((0, len(FEATURES))), np.empty(0), np.empty(0)
-    x, y, free, times = zip(*rows)
-    return tuple(np.repeat(np.array(column, float), times, 0) for column in (x, y, free))
+def _numbers(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """kind, features, confirmed, free, times of the rows of each kind."""
+    kind, y, free, n = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("kind", "y", "free", "n"))
+    x = batch.column(batch.schema.get_field_index("x")).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+    for k in np.unique(kind):
+        m = kind == k
+        yield int(k), x[m], y[m].astype(float), free[m].astype(bool), n[m].astype(float)
+
+
+def _cuts(held: DataFrame, models: dict[str, Boosted], roots: dict[int, Split | None]) -> dict[int, Split]:
+    """The next tree of each kind of ``roots``: its first cut, or with a first cut given, both below it. Gradients are summed by
+    side, feature and value in the tasks; kinds without a useful first cut are left out."""
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, x, y, _, times in _numbers(batch):
+                if k not in roots:
+                    continue
+                p = 1 / (1 + np.exp(-models[KINDS[k]].margin(x)))
+                side = np.zeros(len(x), int) if roots[k] is None else (x[:, roots[k].feature] > roots[k].at).astype(int)
+                for f in range(len(FEATURES)):
+                    cell = side * (LARGEST + 1) + x[:, f]
+                    g, h = (np.bincount(cell, np.rint(w * UNIT) * times).astype(int) for w in (p - y, p * (1 - p)))
+                    at = np.flatnonzero(np.bincount(cell))
+                    yield pa.RecordBatch.from_pydict({"kind": np.full(len(at), k), "side": at // (LARGEST + 1), "f": np.full(len(at), f),
+                                                      "value": at % (LARGEST + 1), "g": g[at], "h": h[at]})
+
+    total = held.mapInArrow(sums, "kind long, side long, f long, value long, g long, h long").groupBy("kind", "side", "f", "value").agg(
+        F.sum("g").alias("g"), F.sum("h").alias("h"))
+    rows = sorted(map(tuple, total.collect()))
+    parts: dict[int, dict[int, list]] = {}
+    for kind, side, *cell in rows:
+        parts.setdefault(kind, {}).setdefault(side, []).append(cell)
+    trees = {}
+    for kind, sides in parts.items():
+        first = roots[kind]
+        if first is None:
+            found = _summed_split(sides[0])
+            if isinstance(found, Split):
+                trees[kind] = found
+        else:
+            trees[kind] = Split(first.feature, first.at, *(_summed_split(sides[s]) for s in (0, 1)))
+    return trees
+
+
+def _summed_split(cells: list) -> Split | float:
+    """``best_split`` of depth one from (feature, value, gradient, curvature) in order."""
+    f, value, g, h = (np.array(c, float) for c in zip(*cells))
+    g, h = g / UNIT, h / UNIT
+    whole = f == f[0]
+    gt, ht = g[whole].sum(), h[whole].sum()
+    best = (1e-6, -1, 0.0, 0.0, 0.0)
+    for feature in np.unique(f).astype(int):
+        m = f == feature
+        gs, hs, values = np.cumsum(g[m])[:-1], np.cumsum(h[m])[:-1], value[m]
+        gain = gs**2 / (hs + 1.0) + (gt - gs) ** 2 / (ht - hs + 1.0) - gt**2 / (ht + 1.0)
+        if len(gain) and gain.max() > best[0]:
+            i = int(gain.argmax())
+            best = (float(gain[i]), feature, float(values[i] + values[i + 1]) / 2, gs[i], hs[i])
+    step = lambda a, b: float(-RATE * a / (b + 1.0))
+    if best[1] < 0:
+        return step(gt, ht)
+    return Split(best[1], best[2], step(best[3], best[4]), step(gt - best[3], ht - best[4]))
+
+
+def _margins(held: DataFrame, models: dict[str, Boosted]) -> dict[int, tuple[np.ndarray, ...]]:
+    """Held-out proposals of each kind, counted by margin (in steps of STEP), label and freedom: margin, label, freedom, times."""
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, x, y, free, times in _numbers(batch):
+                at = np.floor(models[KINDS[k]].margin(x) / STEP).astype(int)
+                yield pa.RecordBatch.from_pydict({"kind": np.full(len(at), k), "at": at, "y": y, "free": free, "n": times})
+
+    counted = held.mapInArrow(steps, "kind long, at long, y double, free boolean, n double").groupBy("kind", "at", "y", "free").agg(F.sum("n").alias("n"))
+    out: dict[int, list] = {}
+    for kind, *point in sorted(map(tuple, counted.collect())):
+        out.setdefault(kind, []).append(point)
+    return {k: (np.array(at) * STEP, np.array(y), np.array(free, bool), np.array(n)) for k, points in out.items() for at, y, free, n in [zip(*points)]}
 
 
 def kind_spans(spans: str, kind: int, *more: str) -> Column:

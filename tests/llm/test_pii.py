@@ -7,6 +7,7 @@ import pytest
 from cases import awkward, documents
 from pyspark.sql import functions as F
 
+from answerloom.llm import pii
 from answerloom.llm.pii import FEATURES, GENERATORS, HINT, KINDS, Boosted, Split, boost, calibrated, matches, personal_data, redact, train
 
 # The base rules of the contract, written plainly.
@@ -127,6 +128,25 @@ def test_shapes_that_base_rules_miss_are_found_however_common(spark):
     assert [s.split(":")[0] for s in spans] == ["phone", "ip", "email"]
 
 
+def test_every_proposal_shapes_trees_and_thresholds(spark):
+    rng = random.Random(14)
+    number = lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    texts = [f"please phone {'+1 ' if rng.random() < 0.6 else ''}{number()} before noon {i}" for i in range(300)]
+    texts += [f"lot {number()} of {i}, see 10.0.{i % 300}.7 or {'x' * 2000}{i}@y.org" for i in range(300)]
+    docs = documents(spark, list(enumerate(texts + texts[:200])))
+    rows = pii.proposals(docs).collect()
+    assert sum(r.n for r in rows) == sum(r.n for r in pii.proposals(docs.dropDuplicates(["text"])).collect()) > 1200
+    models = train(docs.repartition(7))
+    assert models == train(docs.coalesce(1))
+    for n, kind in enumerate(KINDS):
+        halves = [[r for r in rows if r.kind == n and r.half == half] for half in (0, 1)]
+        x, y = ([np.repeat(np.array([getattr(r, c) for r in part], float).reshape(-1, *tail), [r.n for r in part], 0) for part in halves] for c, tail in (("x", (len(FEATURES),)), ("y", ())))
+        free = np.repeat([r.free for r in halves[1]], [r.n for r in halves[1]])
+        plain = calibrated(boost(x[0], y[0]), x[1], y[1], free)
+        assert np.allclose(plain.margin(x[1]), models[kind].margin(x[1]), atol=1e-4)
+        assert (models[kind].margin(x[1]) >= models[kind].threshold).sum() == (plain.margin(x[1]) >= plain.threshold).sum()
+
+
 def test_redaction(spark, learnt):
     docs = documents(spark, [(1, "é a@b.cd and 10.0.0.1!"), (2, None), (3, "clean")], extra=True)
     assert {r["doc_id"]: r["text"] for r in redact(docs, learnt).collect()} == {1: "é [email] and [ip]!", 2: None, 3: "clean"}
