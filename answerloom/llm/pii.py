@@ -18,11 +18,10 @@ other columns don't matter.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -284,34 +283,28 @@ def train(docs: DataFrame) -> dict[str, Boosted]:
     return models
 
 
-def _numbers(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """kind, features, confirmed, free, times of the rows of each kind."""
-    kind, y, free, n = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("kind", "y", "free", "n"))
-    x = batch.column(batch.schema.get_field_index("x")).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-    for k in np.unique(kind):
-        m = kind == k
-        yield int(k), x[m], y[m].astype(float), free[m].astype(bool), n[m].astype(float)
+def _by_kind(values: dict[int, str]) -> Column:
+    """The SQL of a row's kind; null for kinds without one."""
+    return F.expr("CASE kind " + " ".join(f"WHEN {n} THEN {v}" for n, v in values.items()) + " END")
+
+
+def _margin(held: DataFrame, models: dict[str, Boosted], kinds: Iterable[int]) -> DataFrame:
+    """The proposals of ``kinds`` with their ``margin``. Trees are added up inside one array function, so no generated method grows with them."""
+    def added(trees: list[Split]) -> str:
+        return f"aggregate(array({', '.join(t.sql('x') for t in trees)}), 0D, (a, t) -> a + t)" if trees else "0D"
+
+    return held.filter(F.col("kind").isin(*kinds)).withColumn("margin", _by_kind({n: added(models[KINDS[n]].trees) for n in kinds}))
 
 
 def _cuts(held: DataFrame, models: dict[str, Boosted], roots: dict[int, Split | None]) -> dict[int, Split]:
     """The next tree of each kind of ``roots``: its first cut, or with a first cut given, both below it. Gradients are summed by
     side, feature and value in the tasks; kinds without a useful first cut are left out."""
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, x, y, _, times in _numbers(batch):
-                if k not in roots:
-                    continue
-                p = 1 / (1 + np.exp(-models[KINDS[k]].margin(x)))
-                side = np.zeros(len(x), int) if roots[k] is None else (x[:, roots[k].feature] > roots[k].at).astype(int)
-                for f in range(len(FEATURES)):
-                    cell = side * (LARGEST + 1) + x[:, f]
-                    g, h = (np.bincount(cell, np.rint(w * UNIT) * times).astype(int) for w in (p - y, p * (1 - p)))
-                    at = np.flatnonzero(np.bincount(cell))
-                    yield pa.RecordBatch.from_pydict({"kind": np.full(len(at), k), "side": at // (LARGEST + 1), "f": np.full(len(at), f),
-                                                      "value": at % (LARGEST + 1), "g": g[at], "h": h[at]})
-
-    total = held.mapInArrow(sums, "kind long, side long, f long, value long, g long, h long").groupBy("kind", "side", "f", "value").agg(
-        F.sum("g").alias("g"), F.sum("h").alias("h"))
+    side = {n: "0" if r is None else f"CASE WHEN x[{r.feature}] <= {r.at} THEN 0 ELSE 1 END" for n, r in roots.items()}
+    rows = _margin(held, models, roots).select("kind", _by_kind(side).alias("side"), "x", "n", F.col("y").cast("double").alias("y"),
+                                               (1 / (1 + F.exp(-F.col("margin")))).alias("p"))
+    units = lambda w: F.rint(w * UNIT).cast("long") * F.col("n")
+    cells = rows.select("kind", "side", F.posexplode("x").alias("f", "value"), units(F.col("p") - F.col("y")).alias("g"), units(F.col("p") * (1 - F.col("p"))).alias("h"))
+    total = cells.groupBy("kind", "side", "f", "value").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     rows = sorted(map(tuple, total.collect()))
     parts: dict[int, dict[int, list]] = {}
     for kind, side, *cell in rows:
@@ -350,13 +343,8 @@ def _summed_split(cells: list) -> Split | float:
 
 def _margins(held: DataFrame, models: dict[str, Boosted]) -> dict[int, tuple[np.ndarray, ...]]:
     """Held-out proposals of each kind, counted by margin (in steps of STEP), label and freedom: margin, label, freedom, times."""
-    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, x, y, free, times in _numbers(batch):
-                at = np.floor(models[KINDS[k]].margin(x) / STEP).astype(int)
-                yield pa.RecordBatch.from_pydict({"kind": np.full(len(at), k), "at": at, "y": y, "free": free, "n": times})
-
-    counted = held.mapInArrow(steps, "kind long, at long, y double, free boolean, n double").groupBy("kind", "at", "y", "free").agg(F.sum("n").alias("n"))
+    at = F.floor(F.col("margin") / STEP)
+    counted = _margin(held, models, range(len(KINDS))).groupBy("kind", at.alias("at"), F.col("y").cast("double").alias("y"), "free").agg(F.sum("n").cast("double").alias("n"))
     out: dict[int, list] = {}
     for kind, *point in sorted(map(tuple, counted.collect())):
         out.setdefault(kind, []).append(point)

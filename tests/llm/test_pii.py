@@ -147,6 +147,22 @@ def test_every_proposal_shapes_trees_and_thresholds(spark):
         assert (models[kind].margin(x[1]) >= models[kind].threshold).sum() == (plain.margin(x[1]) >= plain.threshold).sum()
 
 
+def test_no_python_runs_on_the_executors(spark):
+    rng = random.Random(15)
+    docs = documents(spark, [(i, f"please phone +1 375 {rng.randint(200, 999)} {rng.randint(1000, 9999)} or 10.0.{i}.7, lot {i} 222 333 4444") for i in range(60)])
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    models = train(docs)
+    assert models["phone"].trees
+    personal_data(docs, models).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    count = store.executionsCount() - before
+    run = store.executionsList()
+    plans = [run.apply(i).physicalPlanDescription() for i in range(run.size() - count, run.size())]
+    assert len(plans) > 4 and not [p for p in plans if re.search("InArrow|InPandas|EvalPython", p)]
+
+
 def test_redaction(spark, learnt):
     docs = documents(spark, [(1, "é a@b.cd and 10.0.0.1!"), (2, None), (3, "clean")], extra=True)
     assert {r["doc_id"]: r["text"] for r in redact(docs, learnt).collect()} == {1: "é [email] and [ip]!", 2: None, 3: "clean"}
