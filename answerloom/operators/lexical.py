@@ -109,7 +109,7 @@ def bm25_search(chunks: DataFrame | LexicalIndex, queries: DataFrame, k: int = 2
     LEX-3 with ``targets`` (target_set, version_id): ``queries`` carries ``target_set``, and N, average length and df are those of the set's versions.
     """
     index = chunks if isinstance(chunks, LexicalIndex) else lexical_index.build(chunks, tokenizer, field)
-    return lexical_index.search(index, queries, k, tokenizer, targets)[0]
+    return lexical_index.search(index, queries, k, tokenizer, targets, best=k)[0]
 
 
 def _phrase(tokens: Column) -> Column:

@@ -14,14 +14,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.scale import small_side, top_k
+from ..functions.scale import fits_broadcast, small_side, top_k
 from ..functions.tokens import bigram_tokenizer
 from ..session import durable
 
@@ -132,28 +134,142 @@ def bounds(index: LexicalIndex, weighted: DataFrame, k1: float = K1, b: float =
     return durable(heads.join(small_side(weighted), "term").groupBy("query_id", "block").agg(F.sum(most).alias("bound")))
 
 
-def block_scores(index: LexicalIndex, weighted: DataFrame, blocks: DataFrame, members: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """``query_id, chunk_id, score`` of all chunks of the given (query_id, block) rows that share a term with the query."""
-    wanted = durable(blocks.select("query_id", "block").join(weighted, "query_id"))
-    known = index.postings.select("term", "block", "rows").join(small_side(wanted.select("term").distinct()), "term", "left_semi")
-    found = known.join(small_side(wanted), ["term", "block"]).withColumn("row", F.explode("rows"))
-    one = F.col("idf") * gain(F.col("row.tf"), F.col("row.length"), F.col("avg_length"), k1, b)
-    scored = found.groupBy("query_id", SET, F.col("row.chunk_id").alias("chunk_id"), F.col("row.version_id").alias("version_id")).agg(F.sum(one).alias("score"))
+FEW_QUERIES = 4096
+"""Query sets up to this size go to every task; larger ones meet postings by a join on terms."""
+GROUP = 7
+"""Postings of 2 ** GROUP blocks in a row are scored together."""
+STEP = 1 << 21
+"""(Query, posting) pairs that are numbers at once."""
+CELLS = 1 << 22
+"""(Query, chunk) sums that are kept at once."""
+
+
+def _cut(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges in turn whose sizes add up to about STEP."""
+    upto = np.cumsum(sizes)
+    cuts = np.searchsorted(upto, np.arange(STEP, upto[-1], STEP)) + 1 if len(upto) else []
+    ends = np.unique([0, *cuts, len(sizes)])
+    return zip(ends[:-1].tolist(), ends[1:].tolist())
+
+
+def _pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every range its number and its positions, one after the other."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[of]
+
+
+@dataclass(frozen=True)
+class _Asked:
+    """Weights of all queries, sorted by term. A query and its set have a number."""
+    terms: pd.Index
+    starts: np.ndarray
+    sizes: np.ndarray
+    ids: pd.Index
+    number: np.ndarray
+    own: np.ndarray
+    idf: np.ndarray
+    average: np.ndarray
+    names: pd.DataFrame
+
+
+def _asked(weighted: DataFrame) -> _Asked:
+    rows = weighted.toPandas().sort_values("term", kind="stable")
+    own, ids = pd.factorize(rows["query_id"])
+    number = rows.groupby(["query_id", SET], sort=False).ngroup()
+    names = rows.assign(number=number).drop_duplicates("number").sort_values("number")[["query_id", SET]]
+    terms, starts, sizes = np.unique(rows["term"].to_numpy(object), return_index=True, return_counts=True)
+    return _Asked(pd.Index(terms, dtype=object), starts, sizes, pd.Index(ids), number.to_numpy(), own, rows["idf"].to_numpy(float), rows["avg_length"].to_numpy(float), names)
+
+
+def _group_scores(postings: pa.Table, wanted: pa.Table, asked: _Asked, k1: float, b: float, best: int | None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(query numbers, postings of their chunks, scores) of a group of blocks.
+
+    Terms, chunks and queries are numbers here, and sums are cells of a matrix. With ``best``, chunks that can't be among a query's first
+    ``best`` of the group are left out."""
+    rows = pa.concat_arrays([c.flatten() for c in postings.column("rows").chunks])
+    sizes = pc.list_value_length(postings.column("rows")).to_numpy()
+    code = lambda c: pc.dictionary_encode(rows.field(c), null_encoding="encode").indices.to_numpy()
+    _, sample, chunk = np.unique(code("chunk_id").astype(np.int64) * len(rows) + code("version_id"), return_index=True, return_inverse=True)
+    tf, length = (rows.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("tf", "length"))
+    blocks, block = np.unique(postings.column("block").to_numpy(), return_inverse=True)
+    at = pd.Index(blocks).get_indexer(wanted.column("block").to_numpy())
+    visible = np.zeros((len(blocks), len(asked.ids)), bool)
+    visible[at[at >= 0], asked.ids.get_indexer(wanted.column("query_id").to_pandas())[at >= 0]] = True  # every query here has weights
+    term = asked.terms.get_indexer(postings.column("term").to_pandas())  # and every posting a term of a query
+    first, wide = np.cumsum(sizes) - sizes, max(1, CELLS // len(sample))
+    parts = []
+    for least in range(0, len(asked.names), wide):  # one turn, unless blocks are large
+        score = np.zeros(min(wide, len(asked.names) - least) * len(sample))
+        for low, high in _cut(asked.sizes[term]):
+            head, w = _pairs(asked.starts[term[low:high]], asked.sizes[term[low:high]])
+            head += low
+            seen = visible[block[head], asked.own[w]] & (asked.number[w] >= least) & (asked.number[w] < least + wide)
+            head, w = head[seen], w[seen]
+            for start, end in _cut(sizes[head]):
+                of, posting = _pairs(first[head[start:end]], sizes[head[start:end]])
+                x = w[start:end][of]
+                one = asked.idf[x] * (tf[posting] * (k1 + 1) / (tf[posting] + k1 * (1 - b + b * length[posting] / asked.average[x])))
+                score += np.bincount((asked.number[x] - least) * len(sample) + chunk[posting], one, len(score))
+        score = score.reshape(-1, len(sample))
+        keep = score > 0
+        if best is not None and len(sample) > best:
+            keep &= score >= np.partition(score, len(sample) - best, axis=1)[:, [len(sample) - best]] - SLACK
+        number, c = np.nonzero(keep)
+        parts.append((number + least, sample[c], score[number, c]))
+    number, posting, score = (np.concatenate(c) for c in zip(*parts))
+    return number, rows.take(pa.array(posting)), score
+
+
+def _scored_in_groups(known: DataFrame, blocks: DataFrame, weighted: DataFrame, k1: float, b: float, best: int | None) -> DataFrame:
+    """``query_id, target_set, chunk_id, version_id, score``: postings are shuffled once by group of blocks; no pair of them and a query becomes a row."""
+    row = known.schema["rows"].dataType.elementType
+    given = StructType([weighted.schema["query_id"], weighted.schema[SET], row["chunk_id"], row["version_id"], StructField("score", DoubleType())])
+    shared = known.sparkSession.sparkContext.broadcast(_asked(weighted))
+
+    def run(postings: pa.Table, wanted: pa.Table) -> pa.Table:
+        schema = to_arrow_schema(given)
+        if not postings.num_rows or not wanted.num_rows:
+            return schema.empty_table()
+        number, chosen, score = _group_scores(postings, wanted, shared.value, k1, b, best)
+        names = shared.value.names
+        columns = [pa.array(names[c].to_numpy(), schema.field(c).type).take(pa.array(number)) for c in ("query_id", SET)]
+        columns += [chosen.field(c).cast(schema.field(c).type) for c in ("chunk_id", "version_id")]
+        return pa.Table.from_arrays([*columns, pa.array(score)], schema=schema)
+
+    group = lambda df: df.withColumn("_group", F.shiftright("block", GROUP)).groupBy("_group")
+    return group(known).cogroup(group(blocks)).applyInArrow(run, given)
+
+
+def block_scores(index: LexicalIndex, weighted: DataFrame, blocks: DataFrame, members: DataFrame | None = None, k1: float = K1, b: float = B, best: int | None = None) -> DataFrame:
+    """``query_id, chunk_id, score`` of all chunks of the given (query_id, block) rows that share a term with the query; with ``best``,
+    at least of those that can be among its first ``best``. ``blocks`` is a written table."""
+    if fits_broadcast(weighted) and weighted.select("query_id", SET).distinct().count() <= FEW_QUERIES:
+        blocks = blocks.select("query_id", "block").join(F.broadcast(weighted.select("query_id").distinct()), "query_id", "left_semi")
+        known = index.postings.select("term", "block", "rows").join(F.broadcast(weighted.select("term").distinct()), "term", "left_semi")
+        held = blocks.select("block").distinct()
+        known = known.join(F.broadcast(held), "block", "left_semi") if fits_broadcast(held) else known
+        scored = _scored_in_groups(known, blocks, weighted, k1, b, best if members is None else None)
+    else:
+        wanted = durable(blocks.select("query_id", "block").join(weighted, "query_id"))
+        known = index.postings.select("term", "block", "rows").join(small_side(wanted.select("term").distinct()), "term", "left_semi")
+        found = known.join(small_side(wanted), ["term", "block"]).withColumn("row", F.explode("rows"))
+        one = F.col("idf") * gain(F.col("row.tf"), F.col("row.length"), F.col("avg_length"), k1, b)
+        scored = found.groupBy("query_id", SET, F.col("row.chunk_id").alias("chunk_id"), F.col("row.version_id").alias("version_id")).agg(F.sum(one).alias("score"))
     if members is not None:
         scored = scored.join(members.select(SET, "version_id"), [SET, "version_id"], "left_semi")
     return scored.select("query_id", "chunk_id", F.round("score", 9).alias("score")).where("score > 0")
 
 
 def search(index: LexicalIndex, queries: DataFrame, k: int = 20, tokenizer: Callable[[Column], Column] | None = None, members: DataFrame | None = None,
-           k1: float = K1, b: float = B) -> tuple[DataFrame, DataFrame]:
-    """(top k per query with rank, all scored pairs). With ``members`` (target_set, version_id), ``queries`` carries ``target_set``."""
+           k1: float = K1, b: float = B, best: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(top k per query with rank, all scored pairs; with ``best`` at least k, those that can be among a query's first ``best``). With ``members`` (target_set, version_id), ``queries`` carries ``target_set``."""
     weighted = weights(index, queries, tokenizer, members)
     bound = bounds(index, weighted, k1, b)
     order = [F.col("score").desc(), F.col("chunk_id")]
     first = durable(top_k(bound, ["query_id"], [F.col("bound").desc(), F.col("block")], max(16, 2 * k), "_at").drop("_at"))
-    early = durable(block_scores(index, weighted, first, members, k1, b))
+    early = durable(block_scores(index, weighted, first, members, k1, b, best))
     kth = top_k(early, ["query_id"], order, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     rest = bound.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").join(kth, "query_id", "left").where(
         F.col("least").isNull() | (F.col("bound") + SLACK >= F.col("least")))
-    scored = early.unionByName(block_scores(index, weighted, durable(rest.select("query_id", "block")), members, k1, b))
+    scored = early.unionByName(block_scores(index, weighted, durable(rest.select("query_id", "block")), members, k1, b, best))
     return top_k(scored, ["query_id"], order, k), scored

@@ -89,6 +89,33 @@ def test_stored_index_skips_blocks_and_keeps_the_answer(spark, block):
         assert got.get(q, []) == [(round(s, 6), i) for s, i in plain_bm25({i: x for i, x in texts.items() if i % 4 in sets[q % 3]}, t, 5)]
 
 
+def test_blocks_are_scored_in_groups_and_no_pair_becomes_a_row(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 200}" for _ in range(rng.randint(1, 60))) for _ in range(700)]
+    chunks = spark.createDataFrame([(f"c{i}" if i else None, i % 3, t if i != 5 else None) for i, t in enumerate(texts)], "chunk_id string, version_id int, text string")
+    asks = [(f"q{i}", i % 2, " ".join(rng.sample(texts[i * 7].split(), 1) + ["w1", "w2"][:i % 3])) for i in range(30)]
+    queries = spark.createDataFrame(asks + [("q0", 1, "w3"), ("none", 0, "absent")], "query_id string, target_set int, query string")
+    members = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 2)], "target_set int, version_id int")
+    index = lxi.build(chunks)
+    ran = {}
+    for sets in (None, members):
+        asked = queries if sets is not None else queries.where("target_set = 0")
+        weighted = lxi.weights(index, asked, members=sets)
+        blocks = lxi.bounds(index, weighted)
+        some = scale.durable(blocks.where("block % 3 != 1"))
+        for few, step, cells in ((0, 1 << 21, 1 << 22), (4096, 1 << 21, 1 << 22), (4096, 50, 2000)):
+            monkeypatch.setattr(lxi, "FEW_QUERIES", few)
+            monkeypatch.setattr(lxi, "STEP", step)
+            monkeypatch.setattr(lxi, "CELLS", cells)
+            scored = lxi.block_scores(index, weighted, some, sets)
+            assert ("Generate" in scored._jdf.queryExecution().executedPlan().toString()) == (few == 0)
+            ran[few, step] = sorted((r.query_id, str(r.chunk_id), round(r.score, 7)) for r in scored.collect())
+            top = {(r.query_id, r.rank): round(r.score, 7) for r in lx.bm25_search(index, asked, 5, targets=sets).collect()}
+            ran["top", few, step] = top
+        assert ran[0, 1 << 21] == ran[4096, 1 << 21] == ran[4096, 50] != []
+        assert ran["top", 0, 1 << 21] == ran["top", 4096, 1 << 21] == ran["top", 4096, 50]
+
+
 def test_stored_index_on_the_given_documents_scores_at_most_half(spark):
     from answerloom.plans.q_retrieval import corpus, questions
 
