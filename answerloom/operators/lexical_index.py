@@ -3,7 +3,7 @@
 A block is a handful of chunks of about the same length. The index has one row per term and block: the block's postings and
 their largest term frequency and smallest length. A search first adds up what every block can reach at most for a query,
 scores the most promising blocks, and then only blocks whose bound is not below the k-th best score so far; what is skipped
-can't be in the answer, so the rows are those of an exhaustive search.
+can't be in the answer, so the rows are those of an exhaustive search. For few queries both steps run in the tasks that read the index.
 
 Statistics are additive over versions (chunks, lengths, document frequencies), so any set of versions a query may search gets its own
 N, average length and df from the same index; sets may overlap and no text or posting is repeated for them.
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from ..functions.scale import fits_broadcast, small_side, top_k
 from ..functions.tokens import bigram_tokenizer
@@ -181,7 +181,16 @@ def _asked(weighted: DataFrame) -> _Asked:
     return _Asked(pd.Index(terms, dtype=object), starts, sizes, pd.Index(ids), number.to_numpy(), own, rows["idf"].to_numpy(float), rows["avg_length"].to_numpy(float), names)
 
 
-def _group_scores(postings: pa.Table, wanted: pa.Table, asked: _Asked, k1: float, b: float, best: int | None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def _visible(postings: pa.Table, wanted: pa.Table, asked: _Asked) -> tuple[np.ndarray, np.ndarray]:
+    """The number of every posting's block, and which blocks a query wants."""
+    blocks, block = np.unique(postings.column("block").to_numpy(), return_inverse=True)
+    at = pd.Index(blocks).get_indexer(wanted.column("block").to_numpy())
+    visible = np.zeros((len(blocks), len(asked.ids)), bool)
+    visible[at[at >= 0], asked.ids.get_indexer(wanted.column("query_id").to_pandas())[at >= 0]] = True  # every query here has weights
+    return block, visible
+
+
+def _group_scores(postings: pa.Table, block: np.ndarray, visible: np.ndarray, asked: _Asked, k1: float, b: float, best: int | None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(query numbers, postings of their chunks, scores) of a group of blocks.
 
     Terms, chunks and queries are numbers here, and sums are cells of a matrix. With ``best``, chunks that can't be among a query's first
@@ -191,10 +200,6 @@ def _group_scores(postings: pa.Table, wanted: pa.Table, asked: _Asked, k1: float
     code = lambda c: pc.dictionary_encode(rows.field(c), null_encoding="encode").indices.to_numpy()
     _, sample, chunk = np.unique(code("chunk_id").astype(np.int64) * len(rows) + code("version_id"), return_index=True, return_inverse=True)
     tf, length = (rows.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("tf", "length"))
-    blocks, block = np.unique(postings.column("block").to_numpy(), return_inverse=True)
-    at = pd.Index(blocks).get_indexer(wanted.column("block").to_numpy())
-    visible = np.zeros((len(blocks), len(asked.ids)), bool)
-    visible[at[at >= 0], asked.ids.get_indexer(wanted.column("query_id").to_pandas())[at >= 0]] = True  # every query here has weights
     term = asked.terms.get_indexer(postings.column("term").to_pandas())  # and every posting a term of a query
     first, wide = np.cumsum(sizes) - sizes, max(1, CELLS // len(sample))
     parts = []
@@ -220,30 +225,174 @@ def _group_scores(postings: pa.Table, wanted: pa.Table, asked: _Asked, k1: float
     return number, rows.take(pa.array(posting)), score
 
 
+def _score_type(known: DataFrame, weighted: DataFrame) -> StructType:
+    row = known.schema["rows"].dataType.elementType
+    return StructType([weighted.schema["query_id"], weighted.schema[SET], row["chunk_id"], row["version_id"], StructField("score", DoubleType())])
+
+
+def _score_rows(number: np.ndarray, chosen: pa.Array, score: np.ndarray, asked: _Asked, schema: pa.Schema) -> pa.Table:
+    columns = [pa.array(asked.names[c].to_numpy(), schema.field(c).type).take(pa.array(number)) for c in ("query_id", SET)]
+    columns += [chosen.field(c).cast(schema.field(c).type) for c in ("chunk_id", "version_id")]
+    return pa.Table.from_arrays([*columns, pa.array(score)], schema=schema)
+
+
 def _scored_in_groups(known: DataFrame, blocks: DataFrame, weighted: DataFrame, k1: float, b: float, best: int | None) -> DataFrame:
     """``query_id, target_set, chunk_id, version_id, score``: postings are shuffled once by group of blocks; no pair of them and a query becomes a row."""
-    row = known.schema["rows"].dataType.elementType
-    given = StructType([weighted.schema["query_id"], weighted.schema[SET], row["chunk_id"], row["version_id"], StructField("score", DoubleType())])
+    given = _score_type(known, weighted)
     shared = known.sparkSession.sparkContext.broadcast(_asked(weighted))
 
     def run(postings: pa.Table, wanted: pa.Table) -> pa.Table:
         schema = to_arrow_schema(given)
         if not postings.num_rows or not wanted.num_rows:
             return schema.empty_table()
-        number, chosen, score = _group_scores(postings, wanted, shared.value, k1, b, best)
-        names = shared.value.names
-        columns = [pa.array(names[c].to_numpy(), schema.field(c).type).take(pa.array(number)) for c in ("query_id", SET)]
-        columns += [chosen.field(c).cast(schema.field(c).type) for c in ("chunk_id", "version_id")]
-        return pa.Table.from_arrays([*columns, pa.array(score)], schema=schema)
+        scores = _group_scores(postings, *_visible(postings, wanted, shared.value), shared.value, k1, b, best)
+        return _score_rows(*scores, shared.value, schema)
 
     group = lambda df: df.withColumn("_group", F.shiftright("block", GROUP)).groupBy("_group")
     return group(known).cogroup(group(blocks)).applyInArrow(run, given)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(postings, number of each one's block among them, whether each block may go on elsewhere) of at most ``most`` blocks in turn.
+
+    Postings of a block follow each other in a written file. What is read of a file begins and ends anywhere, so the first and last block of
+    every ``_split`` may be cut; all others are whole."""
+    def out(part: pa.Table, starts: np.ndarray, cut: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+        ends = np.append(starts, part.num_rows)
+        for low in range(0, len(starts), most):
+            high = min(low + most, len(starts))
+            yield part.slice(ends[low], ends[high] - ends[low]), np.repeat(np.arange(high - low), np.diff(ends[low:high + 1])), cut[low:high]
+
+    held, before = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        part = part if held is None else pa.concat_tables([held, part]).combine_chunks()
+        block, split = (part.column(c).to_numpy() for c in ("block", "_split"))
+        starts = np.flatnonzero(np.append(True, (np.diff(block) != 0) | (np.diff(split) != 0)))
+        own = split[starts]
+        other = np.append(before is None or own[0] != before, np.diff(own) != 0)  # begins a split
+        yield from out(part.slice(0, starts[-1]), starts[:-1], other[:-1] | other[1:])
+        held, before = part.slice(starts[-1]), own[-2] if len(own) > 1 else before
+    if held is not None:
+        yield from out(held, np.zeros(1, int), np.ones(1, bool))
+
+
+def _bounds_of(part: pa.Table, block: np.ndarray, many: int, asked: _Asked, k1: float, b: float) -> np.ndarray:
+    """What no chunk of a block can exceed, by block and query."""
+    term = asked.terms.get_indexer(part.column("term").to_pandas())
+    most, least = (part.column(c).to_numpy().astype(float) for c in ("max_tf", "min_length"))
+    bound = np.zeros(many * len(asked.ids))
+    for low, high in _cut(asked.sizes[term]):
+        head, x = _pairs(asked.starts[term[low:high]], asked.sizes[term[low:high]])
+        head += low
+        one = asked.idf[x] * (most[head] * (k1 + 1) / (most[head] + k1 * (1 - b + b * least[head] / asked.average[x])))
+        bound += np.bincount(block[head] * len(asked.ids) + asked.own[x], one, len(bound))
+    return bound.reshape(many, -1)
+
+
+class _Scan:
+    """Bounds and scores made inside the tasks that read the index, for up to FEW_QUERIES queries: whole blocks need no exchange, and no
+    bound of a (query, block) pair is kept that isn't among a query's first or can't hold one of its answers."""
+
+    def __init__(self, index: LexicalIndex, weighted: DataFrame, k1: float, b: float):
+        context = weighted.sparkSession.sparkContext
+        self.weighted, self.k1, self.b = weighted, k1, b
+        asked = _asked(weighted)
+        self.asked, self.most = context.broadcast(asked), max(1, CELLS // max(1, len(asked.ids)))
+        split = F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("_split")
+        self.known = index.postings.select("term", "block", "max_tf", "min_length", "rows", split).join(F.broadcast(weighted.select("term").distinct()), "term", "left_semi")
+
+    def first(self, depth: int) -> DataFrame:
+        """``query_id, block, bound, cut`` of at least ``depth`` blocks a query: those of the highest bounds, and all that may be cut."""
+        shared, most, k1, b = self.asked, self.most, self.k1, self.b
+        given = StructType([self.weighted.schema["query_id"], StructField("block", LongType()), StructField("bound", DoubleType()), StructField("cut", BooleanType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, schema = shared.value, to_arrow_schema(given)
+            floor, kept, room = np.full(len(asked.ids), -np.inf), [], 0
+
+            def rows(query: np.ndarray, block: np.ndarray, bound: np.ndarray, cut: bool) -> pa.RecordBatch:
+                ids = pa.array(asked.ids.to_numpy(), schema.field("query_id").type).take(pa.array(query))
+                return pa.RecordBatch.from_arrays([ids, pa.array(block), pa.array(bound), pa.array(np.full(len(query), cut))], schema=schema)
+
+            def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                query, block, bound = (np.concatenate(c) for c in zip(*kept))
+                order = np.lexsort((block, -bound, query))
+                query, block, bound = query[order], block[order], bound[order]
+                at = np.arange(len(query)) - np.searchsorted(query, query)
+                floor[query[at == depth - 1]] = bound[at == depth - 1]
+                return query[at < depth], block[at < depth], bound[at < depth]
+
+            for part, of, cut in _runs(batches, most):
+                bound = _bounds_of(part, of, len(cut), asked, k1, b)
+                names = part.column("block").to_numpy()[np.searchsorted(of, np.arange(len(cut)))]
+                at, query = np.nonzero((bound > 0) & cut[:, None])
+                if len(at):
+                    yield rows(query, names[at], bound[at, query], True)
+                at, query = np.nonzero((bound > floor) & (bound > 0) & ~cut[:, None])
+                kept.append((query, names[at], bound[at, query]))
+                room += len(at)
+                if room > 4 * depth * len(floor):
+                    kept = [best()]
+                    room = len(kept[0][0])
+            if room:
+                yield rows(*best(), False)
+
+        found = durable(self.known.drop("rows").mapInArrow(run, given))
+        whole = found.where("not cut")
+        parted = found.where("cut").groupBy("query_id", "block").agg(F.sum("bound").alias("bound"), F.first("cut").alias("cut"))
+        return durable(whole.unionByName(parted.select(*whole.columns)))
+
+    def rest(self, first: DataFrame, kth: DataFrame, best: int | None) -> DataFrame:
+        """As ``_scored_in_groups``, of the whole blocks that are not among ``first`` and whose bound is not below ``least``."""
+        shared, most, k1, b = self.asked, self.most, self.k1, self.b
+        asked = shared.value
+        least = np.full(len(asked.ids), -np.inf)
+        known = kth.toPandas()
+        least[asked.ids.get_indexer(known["query_id"])] = known["least"]
+        done = first.select("query_id", "block").toPandas()
+        done = done.assign(query=asked.ids.get_indexer(done["query_id"])).sort_values("block")
+        state = self.weighted.sparkSession.sparkContext.broadcast((least, done["block"].to_numpy(np.int64), done["query"].to_numpy(int)))
+        given = _score_type(self.known, self.weighted)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, (least, blocks, queries), schema = shared.value, state.value, to_arrow_schema(given)
+            for part, of, cut in _runs(batches, most):
+                bound = _bounds_of(part, of, len(cut), asked, k1, b)
+                visible = (bound > 0) & (bound + SLACK >= least) & ~cut[:, None]
+                names = part.column("block").to_numpy()[np.searchsorted(of, np.arange(len(cut)))]
+                low, high = np.searchsorted(blocks, names), np.searchsorted(blocks, names, "right")
+                at, pair = _pairs(low, high - low)
+                visible[at, queries[pair]] = False
+                held = visible.any(axis=1)
+                if held.any():
+                    part = part.filter(pa.array(held[of]))
+                    number, chosen, score = _group_scores(part, (np.cumsum(held) - 1)[of[held[of]]], visible[held], asked, k1, b, best)
+                    if best is not None:
+                        own = asked.ids.get_indexer(asked.names["query_id"])[number]
+                        keep = score + SLACK >= least[own]
+                        number, chosen, score = number[keep], chosen.filter(pa.array(keep)), score[keep]
+                    yield from _score_rows(number, chosen, score, asked, schema).combine_chunks().to_batches()
+
+        return self.known.mapInArrow(run, given)
+
+
+def _few(weighted: DataFrame) -> bool:
+    return fits_broadcast(weighted) and weighted.select("query_id", SET).distinct().count() <= FEW_QUERIES
+
+
+def _of_members(scored: DataFrame, members: DataFrame | None) -> DataFrame:
+    if members is not None:
+        scored = scored.join(members.select(SET, "version_id"), [SET, "version_id"], "left_semi")
+    return scored.select("query_id", "chunk_id", F.round("score", 9).alias("score")).where("score > 0")
+
+
 def block_scores(index: LexicalIndex, weighted: DataFrame, blocks: DataFrame, members: DataFrame | None = None, k1: float = K1, b: float = B, best: int | None = None) -> DataFrame:
     """``query_id, chunk_id, score`` of all chunks of the given (query_id, block) rows that share a term with the query; with ``best``,
     at least of those that can be among its first ``best``. ``blocks`` is a written table."""
-    if fits_broadcast(weighted) and weighted.select("query_id", SET).distinct().count() <= FEW_QUERIES:
+    if _few(weighted):
         blocks = blocks.select("query_id", "block").join(F.broadcast(weighted.select("query_id").distinct()), "query_id", "left_semi")
         known = index.postings.select("term", "block", "rows").join(F.broadcast(weighted.select("term").distinct()), "term", "left_semi")
         held = blocks.select("block").distinct()
@@ -255,21 +404,37 @@ def block_scores(index: LexicalIndex, weighted: DataFrame, blocks: DataFrame, me
         found = known.join(small_side(wanted), ["term", "block"]).withColumn("row", F.explode("rows"))
         one = F.col("idf") * gain(F.col("row.tf"), F.col("row.length"), F.col("avg_length"), k1, b)
         scored = found.groupBy("query_id", SET, F.col("row.chunk_id").alias("chunk_id"), F.col("row.version_id").alias("version_id")).agg(F.sum(one).alias("score"))
-    if members is not None:
-        scored = scored.join(members.select(SET, "version_id"), [SET, "version_id"], "left_semi")
-    return scored.select("query_id", "chunk_id", F.round("score", 9).alias("score")).where("score > 0")
+    return _of_members(scored, members)
 
 
 def search(index: LexicalIndex, queries: DataFrame, k: int = 20, tokenizer: Callable[[Column], Column] | None = None, members: DataFrame | None = None,
            k1: float = K1, b: float = B, best: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(top k per query with rank, all scored pairs; with ``best`` at least k, those that can be among a query's first ``best``). With ``members`` (target_set, version_id), ``queries`` carries ``target_set``."""
     weighted = weights(index, queries, tokenizer, members)
-    bound = bounds(index, weighted, k1, b)
     order = [F.col("score").desc(), F.col("chunk_id")]
-    first = durable(top_k(bound, ["query_id"], [F.col("bound").desc(), F.col("block")], max(16, 2 * k), "_at").drop("_at"))
-    early = durable(block_scores(index, weighted, first, members, k1, b, best))
-    kth = top_k(early, ["query_id"], order, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-    rest = bound.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").join(kth, "query_id", "left").where(
-        F.col("least").isNull() | (F.col("bound") + SLACK >= F.col("least")))
-    scored = early.unionByName(block_scores(index, weighted, durable(rest.select("query_id", "block")), members, k1, b, best))
+    depth = max(16, 2 * k)
+
+    def first_of(bound: DataFrame) -> DataFrame:
+        return durable(top_k(bound, ["query_id"], [F.col("bound").desc(), F.col("block")], depth, "_at").drop("_at"))
+
+    def kth_of(early: DataFrame) -> DataFrame:
+        return top_k(early, ["query_id"], order, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+
+    def left(bound: DataFrame, first: DataFrame, kth: DataFrame) -> DataFrame:
+        return durable(bound.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").join(kth, "query_id", "left").where(
+            F.col("least").isNull() | (F.col("bound") + SLACK >= F.col("least"))).select("query_id", "block"))
+
+    if _few(weighted):
+        scan = _Scan(index, weighted, k1, b)
+        bound = scan.first(depth)
+        first = first_of(bound)
+        early = durable(block_scores(index, weighted, first, members, k1, b, best))
+        kth = durable(kth_of(early))
+        cut = block_scores(index, weighted, left(bound.where("cut"), first, kth), members, k1, b, best)
+        scored = early.unionByName(cut).unionByName(_of_members(scan.rest(first, kth, best if members is None and best is not None and best <= k else None), members))
+    else:
+        bound = bounds(index, weighted, k1, b)
+        first = first_of(bound)
+        early = durable(block_scores(index, weighted, first, members, k1, b, best))
+        scored = early.unionByName(block_scores(index, weighted, left(bound, first, kth_of(early)), members, k1, b, best))
     return top_k(scored, ["query_id"], order, k), scored

@@ -116,6 +116,55 @@ def test_blocks_are_scored_in_groups_and_no_pair_becomes_a_row(spark, monkeypatc
         assert ran["top", 0, 1 << 21] == ran["top", 4096, 1 << 21] == ran["top", 4096, 50]
 
 
+def test_blocks_cut_by_the_reader_are_put_together(spark):
+    """An index in small row groups that are read apart: blocks go on in another task."""
+    rng = random.Random(13)
+    texts = {i: " ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randint(1, 60))) for i in range(1_500)}
+    asks = {q: " ".join(f"w{rng.randint(0, 40)}" for _ in range(6)) for q in range(40)}
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id int, text string").coalesce(2)
+    queries = spark.createDataFrame(list(asks.items()), "query_id int, query string")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    bytes_before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    hadoop.setInt("parquet.block.size", 20_000)
+    try:
+        index = lxi.build(chunks)
+    finally:
+        hadoop.unset("parquet.block.size")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        pieces = index.postings.rdd.getNumPartitions()
+        weighted = lxi.weights(index, queries)
+        every = lxi.bounds(index, weighted)
+        want = {(r.query_id, r.block): r.bound for r in every.collect()}
+        found = lxi._Scan(index, weighted, lxi.K1, lxi.B).first(16).collect()
+        hits, _ = lxi.search(index, queries, 3, best=3)
+        got = {}
+        for r in hits.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((round(-r.score, 6), r.chunk_id))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_before)
+    assert pieces > 2 and any(r.cut for r in found) and any(not r.cut for r in found)
+    assert all(abs(r.bound - want[r.query_id, r.block]) < 1e-9 for r in found) and len(found) == len({(r.query_id, r.block) for r in found})
+    for q, t in asks.items():
+        assert got[q] == [(round(s, 6), i) for s, i in plain_bm25(texts, t, 3)]
+
+
+def test_no_table_of_all_bounds_is_written(spark, monkeypatch):
+    rng = random.Random(14)
+    chunks = spark.createDataFrame([(i, " ".join(f"w{rng.randint(0, 30)}" for _ in range(20))) for i in range(4_000)], "chunk_id int, text string").coalesce(2)
+    queries = spark.createDataFrame([(q, f"w{q % 30} w{q % 7} w{q % 11}") for q in range(40)], "query_id int, query string")
+    index, sizes, write = lxi.build(chunks), [], lxi.durable
+
+    def counted(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(lxi, "durable", counted)
+    hits, _ = lxi.search(index, queries, 3, best=3)
+    assert hits.count() == 120 and max(sizes) < 40 * 500 / 4  # blocks of 8 chunks; nearly every one can hold an answer of every query
+
+
 def test_stored_index_on_the_given_documents_scores_at_most_half(spark):
     from answerloom.plans.q_retrieval import corpus, questions
 
