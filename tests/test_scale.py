@@ -111,6 +111,16 @@ def test_active_indexes_are_dealt_by_pairs(spark, monkeypatch):
     assert sorted(map(tuple, got.select("query_id", "index_version_id").collect())) == sorted(want)
 
 
+def test_active_indexes_take_little_of_the_disk(spark, monkeypatch, tmp_path):
+    from answerloom.functions import scale
+    monkeypatch.setattr(scale.dealt_join, "__defaults__", (500_000, scale.BROADCAST_ROWS))
+    _, vers, docs, idx = served_tables(spark)
+    asks = spark.range(9_000).select((F.col("id") * 7).alias("query_id"), F.lit("o").alias("owner"), F.lit("0").alias("domain"), F.array(F.lit("public")).alias("allowed_scopes"))
+    got = rel.active_indexes(asks, vers, docs, idx).select("query_id", "index_version_id", "document_id")
+    assert written(got, str(tmp_path / "pairs")) < 0.5  # in the order of a join 1.8 bytes
+    assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == 9_000 * 400
+
+
 def test_compatible_counts_need_no_pairs(spark):
     tables = served_tables(spark)
     key = ["query_id", "mode", "compatible", "incompatible"]
